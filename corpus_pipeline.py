@@ -34,8 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: a row for every copy that is drawn of a document."""
-    _, draws, _ = mixing.mix(docs)
-    return mixing.mixed_texts(docs.select(*COLUMNS), draws)
+    sized, draws, _ = mixing.mix(docs)
+    return mixing.mixed_texts(docs.select(*COLUMNS), sized, draws)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,12 +1,12 @@
 """Chat formatting by incremental black-box rendering.
 
 ``render(turns, open_reply)`` is any template: a function from a list of (role, text) to one
-string. It is called on every successive prefix of a conversation; where the output for the
+string, which may leave an assistant's reply open at the end. It is called on every successive prefix of a conversation; where the output for the
 longer prefix starts with the output for the shorter one, the rest is the new turn's span.
 Where it does not, the template rewrites history: the conversation is flagged and its spans
 from there on are located in the full output only if the span is still a suffix of it. The
-part of a span that is the turn's text is found by rendering the same turn with an empty
-text and taking the common ends away. Text spans of assistant turns form the loss mask.
+part of a span that is the turn's text is found by rendering the same turn with two
+one-character texts and taking away what both outputs share at either end. Text spans of assistant turns form the loss mask.
 
 A conversation is one output row, so its turns meet in one task; nothing else is grouped.
 Null roles and texts count as empty; turns with equal numbers are ordered by role and text;
@@ -66,6 +66,13 @@ def _common_start(a: str, b: str) -> int:
     return low
 
 
+def _around(before: list[Turn], role: str, at: int, render: Render) -> tuple[int, int]:
+    """Characters that the template puts before and after the text of a turn behind ``before``,
+    found by rendering two one-character texts that differ."""
+    a, b = (render([*before, (role, c)], False)[at:] for c in "\ue000\ue001")
+    return _common_start(a, b), _common_start(a[::-1], b[::-1])
+
+
 def spans(turns: list[Turn], render: Render, masked_role: str = "assistant") -> tuple[str, list[tuple[int, int]], list[tuple[int, int]], bool]:
     """The output for all turns, each turn's span, the spans of masked text, whether history is rewritten."""
     previous, found, masked, rewrites = render([], False), [], [], False
@@ -78,14 +85,8 @@ def spans(turns: list[Turn], render: Render, masked_role: str = "assistant") ->
             continue
         found.append((len(previous), len(now)))
         if role == masked_role:
-            opened = render(turns[:i], True)
-            bare = render([*turns[:i], (role, "")], False)
-            if bare.startswith(opened) and now.startswith(opened):
-                masked.append((len(opened), len(now) - (len(bare) - len(opened))))
-            else:  # no reply can be opened: take what the empty turn shares at both ends away
-                a, b = now[len(previous) :], bare[len(previous) :]
-                head = _common_start(a, b)
-                masked.append((len(previous) + head, len(now) - (len(b) - head)))
+            head, tail = _around(turns[:i], role, len(previous), render)
+            masked.append((len(previous) + head, len(now) - tail))
         previous = now
     if rewrites:  # offsets of earlier prefixes need not hold in the last output
         found, masked = [(-1, -1)] * len(turns), []

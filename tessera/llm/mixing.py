@@ -163,12 +163,17 @@ def taken_by_document(documents: DataFrame, draws: DataFrame, sources: list[Sour
     return found.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
-def mixed_texts(docs: DataFrame, draws: DataFrame, block_words: int = 128) -> DataFrame:
+def mixed_texts(docs: DataFrame, documents: DataFrame, draws: DataFrame, block_words: int = 128) -> DataFrame:
     """The mix as documents: a row for every copy, its text the drawn blocks in order (whole copies unchanged)."""
-    drawn = draws.groupBy("doc_id", "source", "copy").agg(F.array_sort(F.collect_set("block")).alias("__blocks"))
-    joined = docs.join(drawn.withColumnRenamed("source", "__source").withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")))
-    n = F.regexp_count(F.col("text"), F.lit(WORD))
-    all_of_it = F.size("__blocks") >= F.ceil(n / block_words)
+    drawn = draws.groupBy("row_id", "copy").agg(F.array_sort(F.collect_set("block")).alias("__blocks"))
+    keys = lambda size: [F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("__id"), F.coalesce("source", F.lit("\0")).alias("__source"), size.alias("__size")]
+    drawn = documents.join(drawn, "row_id").select(*keys(F.col("size")), "__blocks")
+    n = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
+    # rows that agree in id, source and size are told apart by their draws only
+    one = Window.partitionBy("__id", "__source", "__size").orderBy("text")
+    texts = docs.select("*", *keys(n)).withColumn("__n", F.row_number().over(one)).where("__n = 1")
+    joined = texts.join(drawn, ["__id", "__source", "__size"])
+    all_of_it = F.size("__blocks") >= F.ceil(F.col("__size") / block_words)
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
     some = F.array_join(F.flatten(F.transform("__blocks", lambda b: F.slice(F.col("__words"), b * block_words + 1, F.lit(block_words)))), " ")
     cut = joined.withColumn("__words", F.when(~all_of_it, words))

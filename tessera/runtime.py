@@ -24,3 +24,25 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     context.addPyFile(target)
     _shipped.add(context.applicationId)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir), or in a temporary one."""
+    import uuid
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not _own:
+            _own.append(f"file://{tempfile.mkdtemp(prefix='spark-')}")
+        base = _own[0]
+    return f"{base}/tessera-{uuid.uuid4().hex}/{name}"
+
+
+def stored(df, name: str = "t"):
+    """df written to the shared folder and read back, which cuts its lineage."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_own: list[str] = []

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.runtime import stored
+
 SEPARATORS = ("\n\n", "\n", " ")
 
 
@@ -65,6 +67,7 @@ def number(chunks: DataFrame, start: int = 0, order: list[str] | None = None) ->
     order = order or ["doc_id", "pos"]
     dealt = chunks.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
     dealt = dealt.withColumn("__p", F.shiftright("__m", 33)).withColumn("__i", F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)))
+    dealt = stored(dealt, "dealt")  # partition numbers must be the same in both uses
     counts = dealt.groupBy("__p").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # a row a partition

@@ -41,7 +41,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-SKETCH = 256
+SKETCH = 128
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -151,14 +151,39 @@ def _prefixes(docs: DataFrame, frequency: np.ndarray, width: int, percent: int,
                     order = np.lexsort([s, own])
                     x, p = choose_prefix(s[order], own[order], percent, most, verify_cost)
                     level.append(x)
-                    prefix.append(np.sort(p).view(np.int64))
-                    sketch.append(np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes())
+                    prefix.append(p.view(np.int64))
+                    sketch.append(np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes())
                 part = rb.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(level, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "n", "fingerprint", "level", "prefix", "sketch"])
 
     return docs.select("doc_id", "text").mapInArrow(run, _PREFIX)
 
 
+def _near(a: np.ndarray, b: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
+    """Whether histograms a and b (rows) leave the threshold possible; they differ by at most the symmetric difference."""
+    apart = np.abs(a - b).sum(1)
+    return 100 * (total - apart) >= percent * (total + apart)
+
+
+def _histograms(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), SKETCH).astype(np.int16)
+
+
+def _plausible(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of pairs whose sizes and shingle histograms do not exclude the threshold."""
+    facts = own.select(F.col("doc_id"), F.col("n"), F.col("sketch"))
+    left = pairs.join(facts, pairs["a"] == facts["doc_id"]).select("a", "b", F.col("n").alias("x"), F.col("sketch").alias("p"))
+    both = left.join(facts, left["b"] == facts["doc_id"]).where(100 * F.least("x", "n") >= percent * F.greatest("x", "n")).select("a", "b", (F.col("x") + F.col("n")).alias("t"), "p", F.col("sketch").alias("q"))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            if rb.num_rows:
+                good = _near(_histograms(rb.column(3).to_pylist()), _histograms(rb.column(4).to_pylist()), rb.column(2).to_numpy(), percent)
+                yield rb.filter(pa.array(good)).select(["a", "b"])
+
+    return both.mapInArrow(keep, "a long, b long")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, bits: int = 20) -> DataFrame:
     """The (a, b) of pairs that reach the threshold on their texts.
 
@@ -198,7 +223,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, bits:
 def _pairs_of(rows: list[tuple], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j) of rows of one block that may link at this shingle.
 
-    A row: part, doc_id, component, size, level, prefix (sorted), sketch; token is the same for all."""
+    A row: token (the same for all), part, doc_id, component, size, level, open shingles of the prefix (sorted), sketch."""
     token, rows = rows[0][0], [r[1:] for r in rows]
     part = np.array([r[0] for r in rows])
     comp, size, level = (np.array([r[i] for r in rows]) for i in (2, 3, 4))
@@ -223,13 +248,11 @@ def _pairs_of(rows: list[tuple], percent: int) -> tuple[np.ndarray, np.ndarray]:
     i, j = np.nonzero(ok)
     i, j = left[i], right[j]
     if len(i):
-        sketch = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), SKETCH).astype(np.int16)
+        sketch = _histograms([r[6] for r in rows])
         good = np.zeros(len(i), bool)
         for k in range(0, len(i), 4096):
             a, b = i[k : k + 4096], j[k : k + 4096]
-            apart = np.abs(sketch[a] - sketch[b]).sum(1)  # at most the symmetric difference
-            total = size[a] + size[b]
-            good[k : k + 4096] = 100 * (total - apart) >= percent * (total + apart)
+            good[k : k + 4096] = _near(sketch[a], sketch[b], size[a] + size[b], percent)
         i, j = i[good], j[good]
     return i, j
 
@@ -261,7 +284,7 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
                     b += y
                     held.clear()
                     key = now
-                held.append((np.uint64(token[r] & 0xFFFFFFFFFFFFFFFF), part[r], doc[r], comp[r], n[r], level[r], values[off[r] : off[r + 1]].view(np.uint64), sketch[r]))
+                held.append((token[r], part[r], doc[r], comp[r], n[r], level[r], np.sort(values[off[r] : off[r + 1]]), sketch[r]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
         x, y = solve()
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
@@ -269,6 +292,17 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def _still_open(postings: DataFrame) -> DataFrame:
+    """postings: doc_id, token, comp, level. Those that a pair across components can still need, with ``need``.
+
+    A pair shares at least the smaller l of the two, all in shingles met in several components; so a
+    document with fewer of these than ``need`` - its own l or the least l met in them - is in no pair."""
+    met = postings.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("level").alias("least")).where("x <> y").select("token", "least")
+    mixed = materialize(postings.select("doc_id", "token", "comp", "level").join(met, "token"), "mixed")
+    need = mixed.groupBy("doc_id").agg(F.count("*").alias("m"), F.least(F.min("level"), F.min("least")).alias("need")).where("m >= need").select("doc_id", "need")
+    return mixed.drop("least").join(need, "doc_id").select("doc_id", "token", "comp", "level", "need")
+
+
 def jaccard_components(docs: DataFrame, *, width: int = 3, percent: int = 90, most_matches: int = 6, verify_cost: float = 8.0, cells: int = 1 << 18, block: int = 512) -> DataFrame:
     """docs: doc_id, text. One row a document: doc_id, n_shingles, component_id."""
     frequency = _frequencies(docs, width, cells)
@@ -288,18 +322,24 @@ def jaccard_components(docs: DataFrame, *, width: int = 3, percent: int = 90, mo
         ask = held.where(F.col(leader) != F.col("doc_id"))
         best = ask.groupBy("doc_id", leader).count().groupBy("doc_id").agg(F.max_by(leader, F.struct("count", F.col(leader))).alias("b"))
         pairs = materialize(best.select(F.col("doc_id").alias("a"), "b"), "pairs")
+        pairs = materialize(_plausible(pairs, own, percent), "plausible")
         found = _verified(pairs, docs, width, percent)
         edges = materialize(found if edges is None else found.union(edges), "edges")
     label = materialize(components(edges), "label")
     placed = own.join(label, own["doc_id"] == label["v"], "left").select("doc_id", "n", "level", "prefix", "sketch", F.coalesce("c", "doc_id").alias("comp"))
-    placed = materialize(placed, "placed")
-    split = held.select("doc_id", "token").join(placed.select("doc_id", "comp"), "doc_id")
-    mixed = split.groupBy("token").agg(F.count("*").alias("k"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token", F.ceil(F.col("k") / block).cast("int").alias("parts"))
-    mixed = materialize(mixed, "mixed")
+    placed = materialize(placed.drop("prefix"), "placed")
+    open_ = held.select("doc_id", "token").join(placed.select("doc_id", "comp", "level"), "doc_id")
+    for _ in range(2):
+        open_ = materialize(_still_open(open_), "open")
+    # of its prefix a document carries the shingles that are open: it shares no others across components
+    carried = open_.groupBy("doc_id").agg(F.array_sort(F.collect_list("token")).alias("prefix"), F.first("need").alias("need"))
+    carried = materialize(carried, "carried")
     # a token's documents in blocks; each block meets every other, and itself, once
-    open_ = held.select("doc_id", "token").join(mixed, "token").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.col("parts")).cast("int"))
-    open_ = materialize(open_, "open")
-    rows = open_.join(placed, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sizes = open_.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    # no shingle before the need-th can be the one at which a pair is compared
+    light = carried.select("doc_id", F.explode(F.slice("prefix", F.col("need"), F.size("prefix"))).alias("token")).join(sizes, "token")
+    light = light.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.col("parts")).cast("int"))
+    rows = light.join(placed.join(carried.drop("need"), "doc_id"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("token", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "doc_id", "comp", "n", "level", "prefix", "sketch")
     rows = rows.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
     candidates = materialize(_across(rows, percent), "candidates")

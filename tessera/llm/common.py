@@ -30,14 +30,50 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir[0]}"
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage is cut, and the files outlive executors."""
+#: Spark then removes a query's shuffle files when the query ends, not when the driver next collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize(df: DataFrame, name: str = "t") -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage is cut, and the files outlive executors."""
+    return _write(df, f"{shared_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}/{name}")
+
+
+class Scratch:
+    """Tables of one run in the shared folder, each deleted once no later step reads it."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._root, self._n, self._paths = spark, f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}", 0, {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self._n += 1
+        path = f"{self._root}/{name}-{self._n}"
+        out = _write(df, path)
+        self._paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables of keep(); what is still to be computed must not read them."""
+        jvm = self._spark._jvm
+        for t in tables:
+            path = jvm.org.apache.hadoop.fs.Path(self._paths.pop(id(t))[1])
+            path.getFileSystem(self._spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def fold(modulus: int, col: str = "doc_id"):
     """crc32(doc_id as text) mod modulus; null ids get null."""
     return F.pmod(F.crc32(F.col(col).cast("string")), F.lit(modulus))

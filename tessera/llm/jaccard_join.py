@@ -30,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import byte_buffer, materialize, mix64, sub_batches
+from tessera.llm.common import Scratch, byte_buffer, mix64, sub_batches
 from tessera.llm.graph import components
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -223,15 +223,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, bits:
 def _pairs_of(rows: list[tuple], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j) of rows of one block that may link at this shingle.
 
-    A row: token (the same for all), part, doc_id, component, size, level, open shingles of the prefix (sorted), sketch."""
-    token, rows = rows[0][0], [r[1:] for r in rows]
+    A row: part, doc_id, component, size, level, open shingles of the prefix before this one, sketch."""
     part = np.array([r[0] for r in rows])
     comp, size, level = (np.array([r[i] for r in rows]) for i in (2, 3, 4))
     sides = np.unique(part)
     left = np.flatnonzero(part == sides[0])
     right = left if len(sides) == 1 else np.flatnonzero(part == sides[1])
     # how many shingles below the token each pair shares: a product of 0/1 matrices
-    own = [r[5][: np.searchsorted(r[5], token)] for r in rows]
+    own = [r[5] for r in rows]
     names, at = np.unique(np.concatenate(own), return_inverse=True) if any(map(len, own)) else (np.zeros(0), np.zeros(0, int))
     of = np.repeat(np.arange(len(rows)), [len(o) for o in own])
     often = np.bincount(at, minlength=len(names)) > 1
@@ -268,7 +267,7 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
             if len(held) < 2:
                 return [], []
             i, j = _pairs_of(held, percent)
-            ids = np.array([r[2] for r in held])
+            ids = np.array([r[1] for r in held])
             return np.maximum(ids[i], ids[j]).tolist(), np.minimum(ids[i], ids[j]).tolist()
 
         for rb in batches:
@@ -284,7 +283,7 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
                     b += y
                     held.clear()
                     key = now
-                held.append((token[r], part[r], doc[r], comp[r], n[r], level[r], np.sort(values[off[r] : off[r + 1]]), sketch[r]))
+                held.append((part[r], doc[r], comp[r], n[r], level[r], values[off[r] : off[r + 1]], sketch[r]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
         x, y = solve()
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
@@ -292,62 +291,91 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _still_open(postings: DataFrame) -> DataFrame:
-    """postings: doc_id, token, comp, level. Those that a pair across components can still need, with ``need``.
+def _met(postings: DataFrame) -> DataFrame:
+    """postings: doc_id, token, comp, level, bucket. Those met by another component's document of a size that may link.
 
-    A pair shares at least the smaller l of the two, all in shingles met in several components; so a
+    ``bucket`` grows by one where the size grows by more than the threshold allows, so a pair lies in equal or
+    neighbouring buckets. ``least`` is the least level met there. A token's window holds a row a bucket."""
+    near = Window.partitionBy("token").orderBy("bucket").rangeBetween(-1, 1)
+    cells = postings.groupBy("token", "bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("level").alias("l"))
+    cells = cells.select("token", "bucket", F.min("x").over(near).alias("x"), F.max("y").over(near).alias("y"), F.min("l").over(near).alias("least"))
+    return postings.join(cells.where("x <> y").select("token", "bucket", "least"), ["token", "bucket"])
+
+
+def _still_open(postings: DataFrame, work: Scratch) -> DataFrame:
+    """postings: doc_id, token, comp, level, bucket. Those that a pair across components can still need, with ``need``.
+
+    A pair shares at least the smaller l of the two, all in shingles met across components; so a
     document with fewer of these than ``need`` - its own l or the least l met in them - is in no pair."""
-    met = postings.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("level").alias("least")).where("x <> y").select("token", "least")
-    mixed = materialize(postings.select("doc_id", "token", "comp", "level").join(met, "token"), "mixed")
+    mixed = work.keep(_met(postings), "mixed")
     need = mixed.groupBy("doc_id").agg(F.count("*").alias("m"), F.least(F.min("level"), F.min("least")).alias("need")).where("m >= need").select("doc_id", "need")
-    return mixed.drop("least").join(need, "doc_id").select("doc_id", "token", "comp", "level", "need")
+    out = work.keep(mixed.drop("least").join(need, "doc_id").select("doc_id", "token", "comp", "level", "bucket", "need"), "open")
+    work.drop(mixed)
+    return out
 
 
 def jaccard_components(docs: DataFrame, *, width: int = 3, percent: int = 90, most_matches: int = 6, verify_cost: float = 8.0, cells: int = 1 << 18, block: int = 512) -> DataFrame:
     """docs: doc_id, text. One row a document: doc_id, n_shingles, component_id."""
+    work = Scratch(docs.sparkSession)
     frequency = _frequencies(docs, width, cells)
-    prefix = materialize(_prefixes(docs, frequency, width, percent, most_matches, verify_cost), "prefix")
+    prefix = work.keep(_prefixes(docs, frequency, width, percent, most_matches, verify_cost), "prefix")
+    sized = work.keep(prefix.select("doc_id", F.col("n").alias("n_shingles"), "fingerprint"), "sized")
     named = prefix.where("n > 0 and doc_id is not null")
-    classes = materialize(named.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = work.keep(named.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "classes")
     # the representative's row; rows repeated with the same id and set are one
     own = named.join(classes, (named["fingerprint"] == classes["fingerprint"]) & (named["doc_id"] == classes["rep"]), "left_semi")
-    own = materialize(own.dropDuplicates(["doc_id", "fingerprint"]).drop("fingerprint"), "own")
+    own = work.keep(own.dropDuplicates(["doc_id", "fingerprint"]).drop("fingerprint"), "own")
+    work.drop(prefix)
     postings = own.select("doc_id", F.explode("prefix").alias("token"))
     shared = postings.groupBy("token").agg(F.count("*").alias("k"), F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"))
-    shared = materialize(shared.where("k > 1"), "shared")
-    held = materialize(postings.join(shared.select("token", "least", "greatest"), "token"), "held")
+    shared = work.keep(shared.where("k > 1"), "shared")
+    held = work.keep(postings.join(shared.select("token", "least", "greatest"), "token"), "held")
+    work.drop(shared)
+    facts = work.keep(own.drop("prefix"), "facts")
+    work.drop(own)
     # star rounds: one leader a document, the one it shares most prefix shingles with
     edges = None
     for leader in ("least", "greatest"):
         ask = held.where(F.col(leader) != F.col("doc_id"))
         best = ask.groupBy("doc_id", leader).count().groupBy("doc_id").agg(F.max_by(leader, F.struct("count", F.col(leader))).alias("b"))
-        pairs = materialize(best.select(F.col("doc_id").alias("a"), "b"), "pairs")
-        pairs = materialize(_plausible(pairs, own, percent), "plausible")
-        found = _verified(pairs, docs, width, percent)
-        edges = materialize(found if edges is None else found.union(edges), "edges")
-    label = materialize(components(edges), "label")
-    placed = own.join(label, own["doc_id"] == label["v"], "left").select("doc_id", "n", "level", "prefix", "sketch", F.coalesce("c", "doc_id").alias("comp"))
-    placed = materialize(placed.drop("prefix"), "placed")
-    open_ = held.select("doc_id", "token").join(placed.select("doc_id", "comp", "level"), "doc_id")
+        pairs = work.keep(best.select(F.col("doc_id").alias("a"), "b"), "pairs")
+        plausible = work.keep(_plausible(pairs, facts, percent), "plausible")
+        found = _verified(plausible, docs, width, percent)
+        edges = work.keep(found if edges is None else found.union(edges), "edges")
+        work.drop(pairs, plausible)
+    label = work.keep(components(edges), "label")
+    placed = facts.join(label, facts["doc_id"] == label["v"], "left").select("doc_id", "n", "level", "sketch", F.coalesce("c", "doc_id").alias("comp"))
+    placed = work.keep(placed, "placed")
+    work.drop(facts, label)
+    bucket = F.floor(F.log("n") / math.log(100 / (percent - 0.5))).cast("int")
+    open_ = work.keep(held.select("doc_id", "token").join(placed.select("doc_id", "comp", "level", bucket.alias("bucket")), "doc_id"), "open")
+    work.drop(held)
     for _ in range(2):
-        open_ = materialize(_still_open(open_), "open")
+        before, open_ = open_, _still_open(open_.drop("need"), work)
+        work.drop(before)
     # of its prefix a document carries the shingles that are open: it shares no others across components
-    carried = open_.groupBy("doc_id").agg(F.array_sort(F.collect_list("token")).alias("prefix"), F.first("need").alias("need"))
-    carried = materialize(carried, "carried")
+    carried = open_.groupBy("doc_id").agg(F.array_sort(F.collect_list("token")).alias("prefix"), F.first("need").alias("need"), *[F.first(c).alias(c) for c in ("comp", "level", "bucket")])
+    carried = work.keep(carried, "carried")
+    work.drop(open_)
+    # no shingle before the need-th can be the one at which a pair is compared; ``earlier`` counts those before it
+    light = carried.select("doc_id", "comp", "level", "bucket", "need", F.posexplode(F.slice("prefix", F.col("need"), F.size("prefix"))).alias("at", "token"))
+    light = light.withColumn("earlier", F.col("need") - 1 + F.col("at")).drop("need", "at")
+    light = work.keep(_met(light).select("doc_id", "token", "earlier"), "light")
     # a token's documents in blocks; each block meets every other, and itself, once
-    sizes = open_.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    # no shingle before the need-th can be the one at which a pair is compared
-    light = carried.select("doc_id", F.explode(F.slice("prefix", F.col("need"), F.size("prefix"))).alias("token")).join(sizes, "token")
-    light = light.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.col("parts")).cast("int"))
-    rows = light.join(placed.join(carried.drop("need"), "doc_id"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("token", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "doc_id", "comp", "n", "level", "prefix", "sketch")
+    sizes = light.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    dealt = light.join(sizes, "token").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.col("parts")).cast("int"))
+    rows = dealt.join(placed.join(carried.select("doc_id", "prefix"), "doc_id"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    before = F.slice("prefix", F.lit(1), F.col("earlier")).alias("before")
+    rows = rows.select("token", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "doc_id", "comp", "n", "level", before, "sketch")
     rows = rows.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
-    candidates = materialize(_across(rows, percent), "candidates")
-    found = _verified(candidates, docs, width, percent)
+    candidates = work.keep(_across(rows, percent), "candidates")
+    work.drop(light, carried, placed)
+    found = work.keep(_verified(candidates, docs, width, percent).union(edges), "found")
+    work.drop(candidates, edges)
     # lift to components: one label a document
-    label = materialize(components(edges.union(found)), "label")
-    vertex = classes.join(label, classes["rep"] == label["v"], "left").select("fingerprint", F.coalesce("c", "rep").alias("component_id"))
-    vertex = materialize(vertex, "vertex")
+    label = work.keep(components(found), "label")
+    vertex = work.keep(classes.join(label, classes["rep"] == label["v"], "left").select("fingerprint", F.coalesce("c", "rep").alias("component_id")), "vertex")
+    work.drop(classes, found, label)
     # an id with several different texts is one vertex: it links their classes
-    done = prefix.select("doc_id", F.col("n").alias("n_shingles"), "fingerprint").join(vertex, "fingerprint", "left")
+    done = sized.join(vertex, "fingerprint", "left")
     return done.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

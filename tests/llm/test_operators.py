@@ -1,6 +1,7 @@
 """Every operator against a plain version on small tables, and its defined edge cases."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -456,3 +457,25 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in seen[2][1].collect()} == set(comp.values())
     assert all(r["round_trip"] for r in docs.select("round_trip").collect())
     assert docs.count() == seen[3][1].count()
+
+
+def test_scratch_drops_tables_and_restores_the_setting(spark):
+    from tessera.llm import common
+
+    before = spark.conf.get(common._CLEANUP, None)
+    work = common.Scratch(spark)
+    kept, gone = work.keep(spark.range(5).toDF("v"), "t"), work.keep(spark.range(0).toDF("v"), "t")
+    path = work._paths[id(gone)][1].removeprefix("file://").removeprefix("file:")
+    assert gone.count() == 0 and os.path.isdir(path)
+    work.drop(gone)
+    assert not os.path.exists(path)
+    assert kept.count() == 5
+    assert spark.conf.get(common._CLEANUP, None) == before
+
+
+def test_open_shingles_meet_neighbouring_sizes_only(spark):
+    from tessera.llm.jaccard_join import _met
+
+    rows = [(1, 7, 1, 2, 10), (2, 7, 2, 1, 11), (3, 7, 3, 1, 13), (4, 8, 4, 1, 5), (5, 8, 4, 1, 5), (6, 9, 6, 1, 1)]
+    got = _met(spark.createDataFrame(rows, "doc_id long, token long, comp long, level int, bucket int")).select("doc_id", "least").collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (2, 1)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import ann, chat, html_text, jaccard_join, langid, mixing, piece_codec, quality, token_counts, topk_join
 from tessera.llm.common import fold, table
+from tessera.llm.sql import ORACLE_SQL as ORACLE_SQL
 
 try:
     import public_tokenizers as vocabularies
@@ -87,4 +88,3 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_source_mix, op2_language, op3_topk, op4_pieces, op5_quality, op6_main_text, op7_chat, op8_ann, op9_jaccard, op10_token_counts, pipeline)}
-ORACLE_SQL: dict[str, str] = {}

@@ -13,6 +13,7 @@ import pytest
 import sentencepiece
 
 from tessera.llm import ann, chat, html_text, jaccard_join, langid, mixing, piece_codec, quality, queries, token_counts, topk_join
+from tests import compare
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, words string, s string, score double"
@@ -43,6 +44,13 @@ def none(spark):
     return spark.createDataFrame([], DOCS)
 
 
+# SQL -------------------------------------------------------------------------------------------
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+@pytest.mark.parametrize("sf", [SF, SF.replace("0.01", "0.001")])
+def test_queries_equal_their_sql(spark, name, sf):
+    assert compare.differ(spark, sf, queries.QUERIES[name], queries.ORACLE_SQL[name]) is None
+
+
 # 1 ---------------------------------------------------------------------------------------------
 def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import annotation as A
+from tessera.operators import build as B
 from tessera.operators import chunking as K
 from tessera.operators import conversations as C
 from tessera.operators import evaluation as V
 from tessera.operators import extraction as E
+from tessera.operators.graph import Graph
 from tessera.plans.graph_queries import W, tokens_sql
 from tessera.plans.registry import query, table
 from tessera.plans.star_graph import star_graph
@@ -144,6 +146,11 @@ def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.lit("g0").alias("graph_id"), F.col("l_orderkey").alias("chunk_id"), F.row_number().over(w).alias("pos"), F.col("p_name").alias("name"), F.lit("item").alias("type"), F.col("p_type").alias("description"), F.col("l_quantity").alias("q"))
 
 
+def _relations(e: DataFrame) -> DataFrame:
+    nxt = e.select("chunk_id", (F.col("pos") - 1).alias("pos"), F.col("name").alias("node2"))
+    return e.join(nxt, ["chunk_id", "pos"]).select("graph_id", "chunk_id", "pos", F.col("name").alias("node1"), "node2", F.lit("came before").alias("relation_from1to2"), F.lit("came after").alias("relation_from2to1"), F.lit("").alias("description"), F.col("q").alias("weight"))
+
+
 @query(f"SELECT chunk_id, pos, id FROM ({_ENTN})")
 def ext_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.entity_nodes(_entities(spark, sf_dir)).select("chunk_id", "pos", "id")
@@ -164,9 +171,7 @@ _EDGES = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER B
   SELECT id, source, target, chunk_id FROM ({_EDGES})""")
 def ext_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _entities(spark, sf_dir)
-    nxt = e.select("chunk_id", (F.col("pos") - 1).alias("pos"), F.col("name").alias("node2"))
-    rel = e.join(nxt, ["chunk_id", "pos"]).select("graph_id", "chunk_id", "pos", F.col("name").alias("node1"), "node2", F.lit("came before").alias("relation_from1to2"), F.lit("came after").alias("relation_from2to1"), F.lit("").alias("description"), F.col("q").alias("weight"))
-    return E.relation_edges(rel, E.entity_nodes(e)).select("id", "source", "target", "chunk_id")
+    return E.relation_edges(_relations(e), E.entity_nodes(e)).select("id", "source", "target", "chunk_id")
 
 
 @query(f"WITH f AS (SELECT {_BASE.format('name')} AS id, max_by(ptype, chunk_id * 100 + pos) AS d, max_by(name, chunk_id * 100 + pos) AS nm FROM ({_ENT}) GROUP BY 1), k AS (SELECT {_BASE.format('p_name')} AS id, min(p_name) AS name FROM part WHERE p_partkey % 2 = 0 GROUP BY 1) SELECT coalesce(k.id, f.id) AS id, coalesce(k.name, f.nm) AS name, coalesce(f.d, 'old') AS description FROM k FULL JOIN f ON k.id = f.id")
@@ -218,6 +223,50 @@ def ext_prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.prompt_rows(chunks, _entities(spark, sf_dir).where("pos > 1").select("chunk_id", "name"))
 
 
+_BUILT = "SELECT 'node' AS kind, id, name, description, chunks FROM built UNION ALL SELECT 'edge', id, source, target, chunk_id FROM joined"
+_FIRSTS = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY chunk_id, pos) AS r FROM (SELECT rel.*, x.id AS i1, y.id AS i2, {_BASE.format("n1 || ' came before ' || n2 || ' edge'")} AS fid FROM ({_REL}) rel JOIN nm x ON {{x}}x.name = n1 JOIN nm y ON {{y}}y.name = n2)) WHERE r = 1"
+
+
+def _built(g: Graph, description: str) -> DataFrame:
+    nodes = g.nodes.select(F.lit("node").alias("kind"), "id", "name", F.col(description).alias("description"), F.size("chunk_id").cast("long").alias("chunks"))
+    return nodes.union(g.edges.select(F.lit("edge"), "id", "source", "target", "chunk_id"))
+
+
+_AT = "chunk_id * 100 + pos"
+
+
+@query(f"""WITH ent AS ({_ENTN}), lead AS (SELECT lower(trim(name)) AS key, min_by(id, {_AT}) AS id, min_by(name, (-length(name), CASE WHEN regexp_matches(name, '^[A-Z]') THEN 0 ELSE 1 END, lower(name))) AS name, max_by(ptype, {_AT}) AS description, count(DISTINCT chunk_id) AS chunks FROM ent GROUP BY 1),
+  led AS (SELECT ent.id AS own, lead.id FROM ent JOIN lead ON key = lower(trim(ent.name))), nm AS (SELECT chunk_id, name, max_by(id, pos) AS id FROM ent GROUP BY chunk_id, name),
+  firsts AS ({_FIRSTS.format(x="x.chunk_id = rel.chunk_id AND ", y="y.chunk_id = rel.chunk_id AND ")}),
+  built AS (SELECT * FROM lead), joined AS (SELECT e.id, a.id AS source, b.id AS target, e.chunk_id FROM ({_EDGES}) e JOIN led a ON a.own = e.source JOIN led b ON b.own = e.target) {_BUILT}""")
+def g_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _entities(spark, sf_dir)
+    return _built(B.from_entities(e, _relations(e)), "base_description")
+
+
+_NAMED = f"""WITH ent AS (SELECT *, base || CASE WHEN k = 1 THEN '' ELSE '_' || (k - 1) END AS id FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY chunk_id, pos) AS k FROM (SELECT *, {_BASE.format('name')} AS base FROM ({{names}})))),
+  lead AS (SELECT lower(trim(name)) AS key, min_by(id, {_AT}) AS id, min_by(name, (-length(name), CASE WHEN regexp_matches(name, '^[A-Z]') THEN 0 ELSE 1 END, lower(name))) AS name FROM ent GROUP BY 1),
+  told AS (SELECT t.chunk_id, t.pos, t.name, t.ptype, coalesce(lead.id, {_BASE.format('t.name')}) AS id FROM ({_ENT}) t LEFT JOIN lead ON key = lower(trim(t.name))),
+  places AS (SELECT chunk_id, pos, ent.name, lead.id FROM ent JOIN lead ON key = lower(trim(ent.name)) UNION ALL SELECT chunk_id, pos, name, id FROM told),
+  nm AS (SELECT name, max_by(id, {_AT}) AS id FROM places GROUP BY name), firsts AS ({_FIRSTS.format(x="", y="")}),
+  f AS (SELECT id, max_by(name, {_AT}) AS name, max_by(ptype, {_AT}) AS description FROM told GROUP BY id),
+  built AS (SELECT id, coalesce(lead.name, f.name) AS name, coalesce(f.description, '') AS description, chunks FROM lead FULL JOIN f USING (id) JOIN (SELECT id, count(DISTINCT chunk_id) AS chunks FROM places GROUP BY id) USING (id)),
+  joined AS (SELECT id, source, target, chunk_id FROM ({_EDGES})) {_BUILT}"""
+
+
+@query(_NAMED.format(names=f"SELECT chunk_id, pos, name FROM ({_ENT}) WHERE q > 20"))
+def g_build_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names come from lines of more than 20 pieces; details from all lines."""
+    e = _entities(spark, sf_dir)
+    return _built(B.from_names(e.where("q > 20"), e, _relations(e)), "description")
+
+
+@query(_NAMED.format(names=f"SELECT chunk_id, row_number() OVER (PARTITION BY chunk_id ORDER BY text) AS pos, text AS name FROM ({_FUSE})"))
+def g_build_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _entities(spark, sf_dir)
+    return _built(B.from_mentions(_fused(spark, sf_dir).withColumn("graph_id", F.lit("g0")), e, _relations(e)), "description")
+
+
 @query(f"WITH have AS ({_ENTN.replace('lineitem', '(SELECT * FROM lineitem WHERE l_orderkey % 2 = 0)')}), used AS (SELECT base, count(*) AS u FROM have GROUP BY base) SELECT chunk_id, pos, m.base || CASE WHEN k - 1 + coalesce(u, 0) = 0 THEN '' ELSE '_' || (k - 1 + coalesce(u, 0)) END AS id FROM ({_ENTN.replace('lineitem', '(SELECT * FROM lineitem WHERE l_orderkey % 2 = 1)')}) m LEFT JOIN used USING (base)")
 def cmp_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _entities(spark, sf_dir)

@@ -46,6 +46,23 @@ def _text_files(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+@query("SELECT 'node' AS kind, 'customer_' || c_custkey AS a, NULL AS b, c_name AS value FROM customer UNION ALL SELECT 'edge', 'customer_' || c_custkey, 'nation_' || c_nationkey, c_mktsegment FROM customer")
+def src_graphml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and the nations they live in, written as GraphML parts and read again."""
+    path = scratch(spark, "graphml")
+    safe = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    node = F.format_string('<node id="customer_%d"><data key="d0">%s</data></node>', "c_custkey", safe(F.col("c_name")))
+    edge = F.format_string('<edge source="customer_%d" target="nation_%d"><data key="d1">%s</data></edge>', "c_custkey", "c_nationkey", safe(F.col("c_mktsegment")))
+    part = (F.col("c_custkey") % 4).alias("part")
+    rows = table(spark, sf_dir, "customer").select(part, F.lit(1).alias("place"), F.concat_ws("\n", node, edge).alias("value"))
+    parts = rows.select("part").distinct()
+    ends = parts.select("part", F.lit(0), F.lit("<graphml><graph>")).union(parts.select("part", F.lit(2), F.lit("</graph></graphml>")))
+    rows.union(ends).repartition("part").sortWithinPartitions("part", "place").select("part", "value").write.partitionBy("part").text(path)
+    g = S.read_graphml(spark, path)
+    nodes = g.nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.lit(None).cast("string").alias("b"), F.col("data")["d0"].alias("value"))
+    return nodes.union(g.edges.select(F.lit("edge"), "source", "target", F.col("data")["d1"]))
+
+
 @query()
 def src_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.load_text(spark, _text_files(spark, sf_dir) + "/*.txt").select(F.length("text").alias("size"))

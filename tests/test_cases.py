@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import annotation, chunking, evaluation, resolution, responses, retrieval, temporal
+from tessera.operators import annotation, build, chunking, evaluation, resolution, responses, retrieval, temporal
 from tessera.operators.graph import Graph, put_edges, remove_nodes, repair_dangling
 from tessera.plans import source_queries, text_queries
 from tests.conftest import SMALL
@@ -88,3 +88,30 @@ def test_graph_tables(spark):
 def test_stream_equals_batch(spark):
     stream = {tuple(r) for r in source_queries.stream_chat_window(spark, SMALL).select("conv_id", "n", "context").collect()}
     assert stream == {tuple(r) for r in text_queries.chat_window(spark, SMALL).select("conv_id", "n", "context").collect()} | {r for r in stream if r[1] == 0}
+
+
+ENTITY = "graph_id string, chunk_id long, pos int, name string, type string, description string"
+RELATION = "graph_id string, chunk_id long, pos int, node1 string, node2 string, relation_from1to2 string, relation_from2to1 string, description string, weight double"
+
+
+def test_builds_merge_names_and_keep_edges(spark):
+    told = [("g", 1, 0, "Ann", "character", "a"), ("g", 1, 1, "Bob", "character", "b"), ("g", 2, 0, "ann", "character", "later"), ("g", 2, 1, "Inn", "location", ""), ("h", 1, 0, "Ann", "character", "other")]
+    said = [("g", 1, 0, "Ann", "Bob", "knows", "is known by", "", 1.0), ("g", 2, 0, "ann", "Inn", "stays at", "hosts", "", 1.0), ("g", 2, 1, "ann", "nobody", "sees", "is seen by", "", 1.0)]
+    entities, relations = spark.createDataFrame(told, ENTITY), spark.createDataFrame(said, RELATION)
+    missing = spark.createDataFrame([("g", 3, 0, "Bob", "group", "a band")], ENTITY)
+    g = build.from_entities(entities, relations, missing=missing)
+    assert {(r["graph_id"], r["id"]): (r["base_description"], r["chunk_id"]) for r in g.nodes.collect()} == {
+        ("g", "ann"): ("later", [1, 2]), ("g", "bob"): ("b", [1]), ("g", "bob_1"): ("a band", [3]), ("g", "inn"): ("", [2]), ("h", "ann"): ("other", [1])
+    }
+    ends = {("ann", "knows", "bob"), ("bob", "is known by", "ann"), ("ann", "stays at", "inn"), ("inn", "hosts", "ann")}
+    assert {(r["source"], r["relation"], r["target"]) for r in g.edges.collect()} == ends
+    names = entities.where("name <> 'Inn'")
+    n = build.from_names(names, entities, relations)
+    assert {(r["graph_id"], r["id"]): (r["description"], r["chunk_id"]) for r in n.nodes.collect()} == {
+        ("g", "ann"): ("later", [1, 2]), ("g", "bob"): ("b", [1]), ("g", "inn"): ("", [2]), ("h", "ann"): ("other", [1])
+    }
+    assert {(r["source"], r["relation"], r["target"]) for r in n.edges.collect()} == ends
+    m = build.from_mentions(names.withColumnRenamed("name", "text"), entities, relations)
+    assert {r["id"] for r in m.nodes.collect()} == {"ann", "bob", "inn"} and m.edges.count() == 4
+    assert build.from_names(names.limit(0), entities.limit(0), relations).nodes.count() == 0
+    assert build.from_entities(entities.limit(0), relations).edges.count() == 0

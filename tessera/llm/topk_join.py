@@ -93,6 +93,8 @@ def topk_join(table: DataFrame, *, every: int = 50, k: int = 5, scale: float = 2
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not dim:
         return empty
+    # before any distance is counted: copies of one id would fill the places of the bounds
+    rows = rows.groupBy("vec_id").agg(F.min(F.struct("vec", "norm2")).alias("r")).select("vec_id", "r.vec", "r.norm2")
     rows = materialize(rows, "vectors")
     facts = rows.agg(F.count("*").alias("n"), F.max("norm2").alias("m")).first()
     lift = float(facts["m"])
@@ -100,7 +102,7 @@ def topk_join(table: DataFrame, *, every: int = 50, k: int = 5, scale: float = 2
     base = np.unique(np.array([np.frombuffer(r["vec"], np.float64) for r in chosen]), axis=0)
     centers = np.concatenate([base, np.sqrt(np.maximum(lift - (base * base).sum(1), 0))[:, None]], 1)
     data = _cells(rows, centers, lift, dim, False)
-    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
     queries = materialize(_cells(asked, centers, lift, dim, True), "queries")
     data = materialize(data, "data")
     near = Window.partitionBy("cell").orderBy("dist")
@@ -139,7 +141,6 @@ def topk_join(table: DataFrame, *, every: int = 50, k: int = 5, scale: float = 2
     def solve(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(d) and len(q):
-            d = d.sort_values(["vec_id", "vec"]).drop_duplicates("vec_id")
             ids, x = d["vec_id"].to_numpy(), matrix(d["vec"], dim)
             asked, y = q["query_id"].to_numpy(), matrix(q["vec"], dim)
             for a in range(0, len(y), 256):

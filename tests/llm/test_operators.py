@@ -196,6 +196,13 @@ def test_topk_prunes_and_stays_exact_on_clusters_and_ties(spark):
     assert grouped(topk_join.topk_join(table, group_queries=10).collect()) == {q: [(i, int(v)) for i, v in r] for q, r in want.items()}
 
 
+def test_topk_counts_a_repeated_id_once(spark):
+    far = [(i, [-1.0, i / 64]) for i in range(2, 9)]
+    rows = [(0, [1.0, 0.0]), *[(1, [1.0, 0.0])] * 10, *far]
+    got = grouped(topk_join.topk_join(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == {0: [(1, 65536), *[(i, -65536) for i in range(2, 6)]]}
+
+
 def test_ann_recall_and_scores(spark):
     for x, table in (clustered(spark), (vectors("/root/testdata/sf0.1")[1], spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"))):
         ids = np.arange(len(x))

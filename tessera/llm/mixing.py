@@ -96,16 +96,23 @@ def shard_quotas(quota: np.ndarray, first: int, last: int, shards: int, seed: in
     yield from walk(1, 0, shards, quota, np.zeros_like(quota))
 
 
+def _identified(rows: DataFrame) -> DataFrame:
+    """rows: doc_id, source, __hash (of the text), .... Replaces __hash by __row, which every reading
+    of the table gives alike; rows that are equal in the three are told apart by a number."""
+    number = F.row_number().over(Window.partitionBy("doc_id", "source", "__hash").orderBy("__hash"))
+    row = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("source", F.lit("\0")), "__hash", number)
+    return rows.withColumn("__row", row).drop("__hash")
+
+
 def mix(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_repeat: int = 2, block_words: int = 128, shard_blocks: int = 8192, bucket_blocks: int = 512, seed: int = 11) -> tuple[DataFrame, DataFrame, list[Source]]:
     """docs: doc_id, source, text. Returns (documents, draws, sources).
 
     documents: row_id, doc_id, source, size. draws: row_id, doc_id, source, block, words,
     copy (0, 1, ...), shard, place (order in the shard). A block is words block*block_words on."""
     spark = docs.sparkSession
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    # rows that are equal in everything used here are told apart by a number
-    same = Window.partitionBy("doc_id", "source", "size").orderBy("size")
-    sized = materialize(sized.withColumn("row_id", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("source", F.lit("\0")), "size", F.row_number().over(same))), "sized")
+    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
+    sized = _identified(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("__hash")))
+    sized = materialize(sized.withColumnRenamed("__row", "row_id"), "sized")
     rows = [(r["source"], int(r["n"])) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()]
     sources = targets(rows, weights, share, max_repeat)
     # one row a source
@@ -164,15 +171,10 @@ def taken_by_document(documents: DataFrame, draws: DataFrame, sources: list[Sour
 
 
 def mixed_texts(docs: DataFrame, documents: DataFrame, draws: DataFrame, block_words: int = 128) -> DataFrame:
-    """The mix as documents: a row for every copy, its text the drawn blocks in order (whole copies unchanged)."""
+    """The mix as documents: a row for every copy, its text the drawn blocks of its own row in order (whole copies unchanged)."""
     drawn = draws.groupBy("row_id", "copy").agg(F.array_sort(F.collect_set("block")).alias("__blocks"))
-    keys = lambda size: [F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("__id"), F.coalesce("source", F.lit("\0")).alias("__source"), size.alias("__size")]
-    drawn = documents.join(drawn, "row_id").select(*keys(F.col("size")), "__blocks")
-    n = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    # rows that agree in id, source and size are told apart by their draws only
-    one = Window.partitionBy("__id", "__source", "__size").orderBy("text")
-    texts = docs.select("*", *keys(n)).withColumn("__n", F.row_number().over(one)).where("__n = 1")
-    joined = texts.join(drawn, ["__id", "__source", "__size"])
+    drawn = documents.select("row_id", F.col("size").alias("__size")).join(drawn, "row_id").withColumnRenamed("row_id", "__row")
+    joined = _identified(docs.withColumn("__hash", F.xxhash64("text"))).join(drawn, "__row")
     all_of_it = F.size("__blocks") >= F.ceil(F.col("__size") / block_words)
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
     some = F.array_join(F.flatten(F.transform("__blocks", lambda b: F.slice(F.col("__words"), b * block_words + 1, F.lit(block_words)))), " ")

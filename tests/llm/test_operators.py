@@ -115,6 +115,20 @@ def test_mix_odd_rows(spark, odd, none):
     assert mixing.taken_by_document(d, w, s).count() == 0
 
 
+def test_mixed_texts_are_cut_from_their_own_rows(spark):
+    said = lambda row: " ".join(f"r{row}w{i}" for i in range(300))
+    rows = [(None, "a", said(r), str(r)) for r in (0, 1, 2, 2)] + [(5, "a", said(3), "3"), (5, "a", said(4), "4")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, mark string")
+    documents, draws, _ = mixing.mix(docs)
+    row_of = {w: r for r in range(5) for w in said(r).split()}
+    taken = Counter()
+    for r in mixing.mixed_texts(docs, documents, draws).collect():
+        assert {row_of[w] for w in words(r["text"])} == {int(r["mark"])}
+        taken[int(r["mark"])] += len(words(r["text"]))
+    assert all(taken[r] >= 300 for r in range(5)) and taken[2] >= 600
+    assert sum(taken.values()) == draws.agg({"words": "sum"}).first()[0]
+
+
 # 2 ---------------------------------------------------------------------------------------------
 def test_language_held_out(spark):
     got = {r["doc_id"]: r for r in queries.op2_language(spark, SF).collect()}

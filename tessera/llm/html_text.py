@@ -1,8 +1,11 @@
 """Main text of web pages by composite text density.
 
 A page is read tag by tag into a tree (end tags that HTML lets authors leave out are
-supplied). Elements that are never part of an article - by element name, ARIA role, or a
-word of their class or id - are cut off. For every remaining node the composite density is
+supplied). Elements that are never part of an article, by element name or ARIA role, are cut
+off. Forms, and elements marked by a word of their class or id, are cut off unless they hold
+a main element, the article with the most plain text, or most of the page's plain text: the
+mark then says something about a wrapper, and what is in it is judged by itself. A class that
+says what is there or not ("has-sidebar", "no-comments") marks nothing. For every remaining node the composite density is
 its characters per tag, adjusted by the share of linked characters and tags and by the
 page's own link share. A node's density sum is the sum of its children's densities. The
 container with the greatest density sum is selected; the least density on its path up to
@@ -34,14 +37,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre td th caption figcaption summary address legend tr".split())
-CUT = frozenset("head nav footer aside form script style noscript template iframe button select option optgroup input textarea dialog menu object embed canvas svg title xmp noembed noframes audio video datalist".split())
-CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form status".split())
+CUT = frozenset("head nav footer aside script style noscript template iframe button select option optgroup input textarea dialog menu object embed canvas svg title xmp noembed noframes audio video datalist".split())
+CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar status".split())
 #: Words of a class or id that mark what is not the article.
 CUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal newsletter "
     "subscribe subscription signup sidebar rail widget widgets nav navbar navigation menu breadcrumb breadcrumbs pagination pager masthead footer comment comments disqus "
     "respond replies social share sharing related recommended recommendations trending login toolbar copyright hidden".split()
 )
+#: Words beside which a word of CUT_WORDS says what a wrapper has, not what it is.
+_STATES = frozenset("has have having no not with without".split())
 #: Start tags that close an open paragraph.
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Start tag: the open elements it closes, up to the nearest of the second set.
@@ -58,60 +63,84 @@ _CLOSES = {
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "chars", "linked", "tags", "links", "density", "sum", "cut", "picked")
+    __slots__ = ("tag", "parent", "children", "chars", "linked", "tags", "links", "density", "sum", "cut", "marked", "picked")
 
-    def __init__(self, tag: str, parent: _Node | None, cut: bool):
-        self.tag, self.parent, self.cut = tag, parent, cut
+    def __init__(self, tag: str, parent: _Node | None, cut: bool, marked: bool):
+        self.tag, self.parent, self.cut, self.marked = tag, parent, cut, marked
         self.children: list[_Node] = []
         self.chars = self.linked = self.tags = self.links = 0
         self.density = self.sum = 0.0
         self.picked = False
 
 
-def _is_cut(tag: str, attributes: str, node: _Node) -> bool:
+def _judged(tag: str, attributes: str, node: _Node) -> tuple[bool, bool]:
+    """Whether an element in ``node`` is cut off whatever it holds, and whether it is marked to be."""
     if tag in CUT:
-        return True
+        return True, False
+    marked = tag == "form"
     inside = node
     while inside is not None and inside.tag not in ("article", "main"):
         inside = inside.parent
     if tag == "header" and inside is None:
-        return True
+        return True, False
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, marked
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "role" and value.strip().lower() in CUT_ROLES):
-            return True
+            return True, False
+        marked = marked or (name == "role" and value.strip().lower() == "form")
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return True, False
         if name in ("class", "id"):
-            words = {w.lower() for w in _TOKENS.findall(value)}
-            if words & CUT_WORDS or ("header" in words and inside is None):
-                return True
-    return False
+            for one in value.split():
+                words = {w.lower() for w in _TOKENS.findall(one)}
+                marked = marked or (not words & _STATES and bool(words & CUT_WORDS or ("header" in words and inside is None)))
+    return False, marked
+
+
+def _settle(root: _Node) -> None:
+    """Cuts the marked elements that hold neither a main element nor the greatest article nor most of the plain text."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(c for c in node.children if not c.cut)
+    if not any(n.marked for n in order):
+        return
+    plain: dict[_Node, int] = {}
+    for node in reversed(order):
+        plain[node] = node.chars - node.linked + sum(plain[c] for c in node.children if not c.cut)
+    articles = [n for n in order if n.tag == "article" and plain[n]]
+    core = [n for n in order if n.tag == "main" and plain[n]] + ([max(articles, key=plain.__getitem__)] if articles else [])
+    spared = set()
+    for node in core:
+        while node is not None:
+            spared.add(node)
+            node = node.parent
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node.marked and node not in spared and 2 * plain[node] <= plain[root]:
+            node.cut = True
+        for c in node.children:
+            c.cut = c.cut or node.cut
+            stack.append(c)
 
 
 def _parse(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
     """The tree, and the blocks in page order with the container of each."""
-    root = _Node("html", None, False)
-    node, blocks, buffer, owner = root, [], [], None
+    root = _Node("html", None, False, False)
+    node, runs, buffer = root, [], []
 
     def flush() -> None:
-        nonlocal owner
         if buffer:
-            if text := _SPACE.sub(" ", _html.unescape("".join(buffer))).strip():
-                blocks.append((owner, text))
+            runs.append(buffer.copy())
             buffer.clear()
-        owner = None
 
     def say(text: str) -> None:
-        nonlocal owner
         if text and not node.cut:
-            if owner is None:
-                owner = node
-                while owner.parent is not None and (owner.tag in INLINE or owner.tag in LEAF):
-                    owner = owner.parent
-            buffer.append(text)
+            buffer.append((node, text))
             size = len(_SPACE.sub(" ", _html.unescape(text)).strip())
             node.chars += size
             inside = node
@@ -162,10 +191,10 @@ def _parse(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
                 found = found.parent
             if outer is not None:
                 close_to(outer)
-        cut = node.cut or _is_cut(tag, m[3], node)
+        cut, marked = _judged(tag, m[3], node)
         if tag not in INLINE:
             flush()
-        child = _Node(tag, node, cut)
+        child = _Node(tag, node, node.cut or cut, marked)
         node.children.append(child)
         if tag == "br":
             say(" ")
@@ -176,6 +205,15 @@ def _parse(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
             node = child
     say(page[at:])
     flush()
+    _settle(root)
+    blocks = []
+    for run in runs:
+        run = [(n, text) for n, text in run if not n.cut]
+        if text := _SPACE.sub(" ", _html.unescape("".join(text for _, text in run))).strip():
+            owner = run[0][0]
+            while owner.parent is not None and (owner.tag in INLINE or owner.tag in LEAF):
+                owner = owner.parent
+            blocks.append((owner, text))
     return root, blocks
 
 

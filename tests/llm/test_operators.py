@@ -325,6 +325,20 @@ def test_main_text_cases(spark):
 
 
 # 7 ---------------------------------------------------------------------------------------------
+def test_main_text_in_marked_wrappers():
+    said = "<p>" + "Some words of the article itself. " * 9 + "</p>"
+    ad, said_text = "<div class='ad'><p>Buy now, it is cheap.</p></div>", ("Some words of the article itself. " * 9).strip()
+    for open_, close in (
+        ("<div class='has-sidebar'>", "</div>"), ("<div class='no-sidebar page'>", "</div>"), ("<div class='with-comments'>", "</div>"), ("<div class='sidebar-layout'>", "</div>"),
+        ("<form id='page' role='form'>", "</form>"), ("<div class='sidebar'><main>", "</main></div>"), ("<form><div class='widget'><article>", "</article></div></form>"),
+    ):
+        assert html_text.main_text(f"<body>{open_}{said}{ad}{said}{close}</body>") == said_text + "\n\n" + said_text
+    # marked parts beside it still go, whatever they hold
+    for part in ("<div class='comments'><article><p>I like it.</p></article></div>", "<form><p>Your name</p></form>", "<p class='share'>Tell others</p>"):
+        assert html_text.main_text(f"<body><div class='no-sidebar'><article>{said}</article>{part}</div></body>") == said_text
+    assert html_text.main_text(f"<article><p>One <span class='ad'>buy</span> two.</p>{said}</article>") == "One two.\n\n" + said_text
+
+
 def test_chat_reads_back(spark):
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     talks = defaultdict(list)

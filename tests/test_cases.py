@@ -51,6 +51,15 @@ def test_cycles_empty_their_graph_only(spark):
     assert {tuple(r) for r in temporal.event_levels(events, before).collect()} == {("b", "1", 0), ("b", "2", 1), ("b", "3", 2)}
 
 
+def test_levels_of_long_chains(spark):
+    n = 1200
+    names = [("a", f"{i}") for i in range(n)] + [("c", f"{i}") for i in range(5)]
+    links = [("a", f"{i}", f"{i + 1}") for i in range(n - 1)] + [("a", "0", "0x"), ("c", "0", "1"), ("c", "2", "3"), ("c", "3", "4"), ("c", "4", "2")]
+    events = spark.createDataFrame(names, "graph_id string, id string")
+    got = temporal.event_levels(events, spark.createDataFrame(links, "graph_id string, source string, target string")).collect()
+    assert {tuple(r) for r in got} == {("a", f"{i}", i) for i in range(n)}
+
+
 def test_packing_passes_over_what_does_not_fit(spark):
     items = spark.createDataFrame([(1, "a", 3.0, 5, "x"), (1, "b", 2.0, 9, "y"), (1, "c", 1.0, 4, "z")], "query_id int, id string, score double, tokens long, text string")
     got = retrieval.pack(items, spark.createDataFrame([(1, 10)], "query_id int, budget int")).collect()

@@ -19,7 +19,8 @@ def spark():
     local = tempfile.mkdtemp(prefix="spark-")
     s = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.driver.memory", "6g")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.local.dir", local).config("spark.sql.warehouse.dir", f"{local}/warehouse").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.local.dir", local).config("spark.sql.warehouse.dir", f"{local}/warehouse").config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", f"file://{local}/shared").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     return s

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a temporary one if driver and tasks are one
+    process, as in tests; on a cluster an error, since executors would each write to their own disk."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="spark-"))
     return f"file://{_own_dir[0]}"
@@ -32,32 +37,80 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Spark then removes a query's shuffle files when the query ends, not when the driver next collects garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock = threading.Lock()
+#: Session -> (writes under way, the setting before the first of them).
+_writing: dict[int, tuple[int, str | None]] = {}
+
+
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """Sets _CLEANUP while any write of the session is under way, whatever threads they run in."""
+    with _lock:
+        count, before = _writing.get(id(spark), (0, spark.conf.get(_CLEANUP, None)))
+        _writing[id(spark)] = count + 1, before
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            count, before = _writing.pop(id(spark))
+            if count > 1:
+                _writing[id(spark)] = count - 1, before
+            elif before is None:
+                spark.conf.unset(_CLEANUP)
+            else:
+                spark.conf.set(_CLEANUP, before)
 
 
 def _write(df: DataFrame, path: str) -> DataFrame:
-    spark = df.sparkSession
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _cleaning(df.sparkSession):
         df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+#: Paths of tables that operators' results still read, by session.
+_results: dict[int, list[str]] = {}
+
+
+@contextmanager
+def discarding_results(spark: SparkSession) -> Iterator[None]:
+    """Deletes, on leaving, what operators called inside have written for their results: these must be read by then."""
+    outer = _results.pop(id(spark), [])
+    try:
+        yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+        for path in _results.pop(id(spark), []):
+            _delete(spark, path)
+        _results[id(spark)] = outer
 
 
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage is cut, and the files outlive executors."""
-    return _write(df, f"{shared_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}/{name}")
+    """Writes df to the shared folder and reads it back: lineage is cut, and the files outlive executors.
+
+    The table is a result: it stays until ``discarding_results`` or the owner of the folder deletes it."""
+    path = f"{shared_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}/{name}"
+    _results.setdefault(id(df.sparkSession), []).append(path)
+    return _write(df, path)
 
 
 class Scratch:
-    """Tables of one run in the shared folder, each deleted once no later step reads it."""
+    """Tables of one run in the shared folder. Each may be dropped once no later step reads it; on leaving
+    the ``with`` block, by its end or by an error, all others go but the one released as the result."""
 
     def __init__(self, spark: SparkSession):
-        self._spark, self._root, self._n, self._paths = spark, f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}", 0, {}
+        self._spark, self._root, self._n = spark, f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}", 0
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.drop(*[t for t, _ in self._paths.values()])
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self._n += 1
@@ -68,10 +121,14 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables of keep(); what is still to be computed must not read them."""
-        jvm = self._spark._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(self._paths.pop(id(t))[1])
-            path.getFileSystem(self._spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            _delete(self._spark, self._paths.pop(id(t))[1])
+
+    def release(self, df: DataFrame, name: str = "result") -> DataFrame:
+        """df as a table that outlives the run."""
+        out = self.keep(df, name)
+        _results.setdefault(id(self._spark), []).append(self._paths.pop(id(out))[1])
+        return out
 
 
 def fold(modulus: int, col: str = "doc_id"):
@@ -80,14 +137,23 @@ def fold(modulus: int, col: str = "doc_id"):
 
 
 def sample_share(df: DataFrame, want: int, key: str, seed: int = 17) -> DataFrame:
-    """About ``want`` rows of df, chosen by a hash of ``key``; all rows if there are fewer.
+    """About ``want`` ids of df, chosen by a hash of ``key``, a row each (the least of several), all if there are
+    fewer. ``__order`` sorts them for a ``limit`` that makes the bound exact.
 
-    The count is taken over all rows, and the choice is made row by row, so no task holds
-    more than its own rows."""
-    total = df.count()
+    Ids are counted by a sketch over all rows; the choice is made row by row and copies of a
+    chosen id are combined before they are shuffled, so no task holds more than its own rows."""
+    total = df.agg(F.approx_count_distinct(key, 0.02)).first()[0]
     grain = 1 << 30
     keep = grain if total <= want else int(grain * want / total)
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(grain)) < keep)
+    order = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(grain))
+    others = [c for c in df.columns if c != key]
+    rows = df.where(order < keep).groupBy(key).agg(F.min(F.struct(*others)).alias("__least"))
+    return rows.select(key, "__least.*", order.alias("__order"))
+
+
+def without(columns: list[str], added: tuple[str, ...]) -> list[str]:
+    """The columns that an operator hands on: one of a name that it adds is replaced."""
+    return [c for c in columns if c not in added]
 
 
 def sub_batches(texts: list, limit: int = 2_000_000):
@@ -118,11 +184,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
-
-
-def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name] for f in schema], schema=schema)
-
-
-def passthrough(rb: pa.RecordBatch, names: list[str]) -> dict[str, pa.Array]:
-    return {n: rb.column(n) for n in names}

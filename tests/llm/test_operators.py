@@ -207,14 +207,39 @@ def test_topk_prunes_and_stays_exact_on_clusters_and_ties(spark):
     x, table = clustered(spark)
     f = np.floor(256 * x)
     want = plain_top(np.arange(len(x)), lambda q: f @ f[q], 50, 5, -1)
-    assert grouped(topk_join.topk_join(table, group_queries=10).collect()) == {q: [(i, int(v)) for i, v in r] for q, r in want.items()}
+    want = {q: [(i, int(v)) for i, v in r] for q, r in want.items()}
+    report = {}
+    assert grouped(topk_join.topk_join(table, report=report).collect()) == want
+    assert report["groups"] >= 4 and report["sent"] / (report["rows"] * report["groups"]) < 0.5
+    assert grouped(topk_join.topk_join(table, group_queries=3, slice_rows=300).collect()) == want
 
 
 def test_topk_counts_a_repeated_id_once(spark):
+    kind = "vec_id long, embedding array<float>"
     far = [(i, [-1.0, i / 64]) for i in range(2, 9)]
     rows = [(0, [1.0, 0.0]), *[(1, [1.0, 0.0])] * 10, *far]
-    got = grouped(topk_join.topk_join(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    got = grouped(topk_join.topk_join(spark.createDataFrame(rows, kind)).collect())
     assert got == {0: [(1, 65536), *[(i, -65536) for i in range(2, 6)]]}
+    for repeated in ([(1, [1.0, 0.0])] * 30, [(50, [1.0, 0.0])] * 10, [(1, [1.0, 0.0]), (1, [-1.0, 0.0])]):
+        rows = [(i, [-1.0, i / 640]) for i in range(2, 49)] + [(50, [1.0, 0.0])] + repeated
+        least = {}
+        for i, v in rows:
+            f = [float(np.floor(256 * c)) for c in v]
+            least[i] = min(least.get(i, f), f, key=lambda v: np.array(v).tobytes())
+        ids, x = np.array(sorted(least)), np.array([least[i] for i in sorted(least)])
+        want = plain_top(ids, lambda q: x @ np.array(least[q]), 50, 5, -1)
+        got = grouped(topk_join.topk_join(spark.createDataFrame(rows, kind)).collect())
+        assert got == {q: [(i, int(v)) for i, v in r] for q, r in want.items()}
+
+
+def test_topk_of_equal_and_zero_vectors(spark):
+    rng = np.random.default_rng(3)
+    x = np.where(np.arange(900)[:, None] % 3 == 0, 0.5, rng.normal(size=(900, 8)))
+    x[100:130] = 0
+    f = np.floor(256 * x)
+    want = plain_top(np.arange(900), lambda q: f @ f[q], 50, 5, -1)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert grouped(topk_join.topk_join(table).collect()) == {q: [(i, int(v)) for i, v in r] for q, r in want.items()}
 
 
 def test_ann_recall_and_scores(spark):

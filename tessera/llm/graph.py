@@ -8,28 +8,26 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Scratch
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (longs). (v, c) for every vertex of an edge, c the least vertex of its component.
 
     Every round is written to the shared folder; hot vertices meet their minimum in a join
-    of two written tables, which adaptive execution can split."""
-    work = Scratch(edges.sparkSession)
-    now = work.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
-    for _ in range(max_rounds):
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = work.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = work.keep(large.where("u <> v").distinct(), "large")
-        work.drop(least, now)
-        least = work.keep(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        now = work.keep(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-        work.drop(least, large)
-        state = now.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first()
-        if state == seen:
-            break
-        seen = state
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return now.select(F.col("u").alias("v"), F.col("v").alias("c")).union(now.select(F.col("v").alias("v"), F.col("v").alias("c")).distinct())
+    of two written tables, which adaptive execution can split. Rounds go on until the stars
+    no longer change; their number grows with the logarithm of the vertices, not their chains' lengths."""
+    with Scratch(edges.sparkSession) as work:
+        now = work.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+        seen, state = None, ()
+        while state != seen:
+            seen = state
+            both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = work.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+            large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large = work.keep(large.where("u <> v").distinct(), "large")
+            work.drop(least, now)
+            least = work.keep(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+            small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+            now = work.keep(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+            work.drop(least, large)
+            state = tuple(now.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first())
+        ends = now.select(F.col("v").alias("v"), F.col("v").alias("c")).distinct()
+        return work.release(now.select(F.col("u").alias("v"), F.col("v").alias("c")).union(ends))

@@ -8,6 +8,7 @@ a fixed table of hashed counters, ties by hash). Every document picks its own l:
 candidates' cost for l is the summed frequency of its prefix, plus the price of verifying
 at most sum / l candidates. A pair has to share the smaller l of the two in their prefixes.
 
+Words are hashed by a keyed cryptographic function, and links are verified on the words themselves.
 Equal sets fall into classes by a 128-bit fingerprint first; only class representatives
 are joined. Links are wanted as components, so a star round pairs every representative
 with one leader only - the one it shares most prefix shingles with - and verifies these
@@ -18,8 +19,9 @@ already excludes the threshold are dropped, the others verified. No link between
 components is lost, and pairs inside one are never emitted.
 
 Null texts and texts without words have no shingles and no links; with fewer words than a
-shingle the whole sequence is one shingle; rows that share an id are one vertex; documents
-of any length are read whole; rows with a null id stay alone.
+shingle the whole sequence is one shingle; rows that share an id are one vertex, which links
+what any of their texts links, and give a row each; documents of any length are read whole;
+rows with a null id stay alone, without a component; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,65 +29,69 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, byte_buffer, mix64, sub_batches
+from tessera.llm.common import Scratch, mix64, sub_batches
 from tessera.llm.graph import components
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
 SKETCH = 128
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    size, step = 1, np.uint64(base)
-    while size < n:  # doubling
-        more = min(size, n - size)
-        out[size : size + more] = out[:more] * step
-        step *= step
-        size *= 2
-    return out
+class WordHashes(dict):
+    """Words (bytes) to 64-bit hashes of a cryptographic function; emptied when it outgrows ``limit``."""
+
+    def __init__(self, limit: int = 400_000):
+        self._limit = limit
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self._limit:
+            self.clear()
+        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"shingle").digest(), "little")
+        return value
+
 
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text: bytes are lower-cased and split at white space by ASCII rules, which are the ones wanted."""
+    return text.encode("utf-8", "replace").lower().split() if text else []
 
-def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
+
+def shingle_sets(texts: list[str | None], width: int, hashes: WordHashes) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of every text."""
-    buf, off = byte_buffer([t or "" for t in texts])
-    buf = _LOWER[buf]
-    word = ~_BLANK[buf]
-    before = np.concatenate([[False], word[:-1]]) if len(word) else word
-    before[off[:-1][off[:-1] < len(word)]] = False  # a text's first byte follows nothing
-    start = np.flatnonzero(word & ~before)
-    after = np.concatenate([word[1:], [False]]) if len(word) else word
-    last = off[1:][off[1:] > 0] - 1
-    after[last] = False
-    end = np.flatnonzero(word & ~after) + 1
-    inverse = pow(_BASE, -1, 1 << 64)
+    split = [words_of(t) for t in texts]
+    size = [len(w) for w in split]
+    h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(split)), np.uint64, sum(size))
+    out, at = [], 0
     with np.errstate(over="ignore"):
-        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _powers(len(buf), _BASE), dtype=np.uint64)])
-        h = mix64((run[end] - run[start]) * _powers(len(buf) + 1, inverse)[start] + (end - start).astype(np.uint64))
-        first = np.searchsorted(start, off)
-        out = []
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            own = h[a:b]
-            if not len(own):
-                out.append(own)
-                continue
-            w = min(width, len(own))
-            s = np.full(len(own) - w + 1, w, np.uint64)
+        for n in size:
+            w = min(width, n)
+            s = np.full(max(0, n - w + 1) if n else 0, w, np.uint64)
             for i in range(w):
-                s = mix64(s * np.uint64(0xD6E8FEB86659FD93) + own[i : len(own) - w + 1 + i])
+                s = mix64(s * np.uint64(0xD6E8FEB86659FD93) + h[at + i : at + n - w + 1 + i])
             out.append(np.unique(s))
+            at += n
     return out
 
 
+def exact_sets(texts: list[str], width: int) -> list[np.ndarray]:
+    """Sorted distinct numbers of every text's shingles: equal in all of ``texts`` if and only if the shingles are."""
+    number: dict[bytes, int] = {}
+    split = [[number.setdefault(w, len(number)) for w in words_of(t)] for t in texts]
+    rows = []
+    for w in split:  # a shorter text is one shingle, filled up by a number that no word has
+        w = w + [-1] * (width - len(w)) if w else w
+        rows.append(np.lib.stride_tricks.sliding_window_view(np.array(w, np.int64), width) if w else np.zeros((0, width), np.int64))
+    if (len(number) + 1) ** width < 1 << 62:
+        place = np.array([(len(number) + 1) ** i for i in range(width)], np.int64)
+        return [np.unique((r + 1) @ place) for r in rows]
+    name = np.unique(np.concatenate(rows), axis=0, return_inverse=True)[1].ravel()
+    return [np.unique(part) for part in np.split(name, np.cumsum([len(r) for r in rows])[:-1])]
+
+
 def least_overlap(size: int, percent: int) -> int:
     return -(-size * percent // 100)
 
@@ -112,11 +118,11 @@ def _frequencies(docs: DataFrame, width: int, cells: int) -> np.ndarray:
     """Hashed document frequencies of all shingles: a table of fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.int64)
+        total, hashes = np.zeros(cells, np.int64), WordHashes()
         for rb in batches:
             texts = rb.column(0).to_pylist()
             for a, b in sub_batches(texts, 1_000_000):
-                sets = shingle_sets(texts[a:b], width)
+                sets = shingle_sets(texts[a:b], width, hashes)
                 total += np.bincount((np.concatenate(sets) & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["cell", "n"])
@@ -134,12 +140,12 @@ def _prefixes(docs: DataFrame, frequency: np.ndarray, width: int, percent: int,
     shared = docs.sparkSession.sparkContext.broadcast(frequency)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = shared.value
+        f, hashes = shared.value, WordHashes()
         for rb in batches:
             texts = rb.column(1).to_pylist()
             for a, b in sub_batches(texts, 1_000_000):
                 n, key, level, prefix, sketch = [], [], [], [], []
-                for s in shingle_sets(texts[a:b], width):
+                for s in shingle_sets(texts[a:b], width, hashes):
                     n.append(len(s))
                     key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     if not len(s):
@@ -152,9 +158,12 @@ def _prefixes(docs: DataFrame, frequency: np.ndarray, width: int, percent: int,
                     x, p = choose_prefix(s[order], own[order], percent, most, verify_cost)
                     level.append(x)
                     prefix.append(p.view(np.int64))
-                    sketch.append(np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes())
-                part = rb.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(level, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "n", "fingerprint", "level", "prefix", "sketch"])
+                    in_cell = np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=SKETCH)
+                    sketch.append(np.minimum(in_cell, 255).astype(np.uint8).tobytes())
+                kinds = (pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary())
+                made = [pa.array(v, k) for v, k in zip((n, key, level, prefix, sketch), kinds, strict=True)]
+                ids = rb.slice(a, b - a).column(0).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, *made], names=["doc_id", "n", "fingerprint", "level", "prefix", "sketch"])
 
     return docs.select("doc_id", "text").mapInArrow(run, _PREFIX)
 
@@ -173,7 +182,8 @@ def _plausible(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of pairs whose sizes and shingle histograms do not exclude the threshold."""
     facts = own.select(F.col("doc_id"), F.col("n"), F.col("sketch"))
     left = pairs.join(facts, pairs["a"] == facts["doc_id"]).select("a", "b", F.col("n").alias("x"), F.col("sketch").alias("p"))
-    both = left.join(facts, left["b"] == facts["doc_id"]).where(100 * F.least("x", "n") >= percent * F.greatest("x", "n")).select("a", "b", (F.col("x") + F.col("n")).alias("t"), "p", F.col("sketch").alias("q"))
+    both = left.join(facts, left["b"] == facts["doc_id"]).where(100 * F.least("x", "n") >= percent * F.greatest("x", "n"))
+    both = both.select("a", "b", (F.col("x") + F.col("n")).alias("t"), "p", F.col("sketch").alias("q"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -202,7 +212,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, bits:
             if found.num_rows:
                 yield found.select(["doc_id", "text"])
 
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("c", cell).mapInArrow(some, "doc_id long, text string")
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = texts.withColumn("c", cell).mapInArrow(some, "doc_id long, text string")
     left = pairs.join(texts.withColumnRenamed("text", "x"), pairs["a"] == F.col("doc_id")).select("a", "b", "x")
     full = left.join(texts.withColumnRenamed("text", "y"), F.col("b") == F.col("doc_id")).select("a", "b", "x", "y")
 
@@ -211,9 +222,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, bits:
             x, y = rb.column(2).to_pylist(), rb.column(3).to_pylist()
             good = []
             for i, j in sub_batches([p + q for p, q in zip(x, y, strict=True)], 1_000_000):
-                seen: dict[str, np.ndarray] = {}
                 both = list(dict.fromkeys(x[i:j] + y[i:j]))
-                seen.update(zip(both, shingle_sets(both, width), strict=True))
+                seen = dict(zip(both, exact_sets(both, width), strict=True))
                 good += [linked(seen[p], seen[q], percent) for p, q in zip(x[i:j], y[i:j], strict=True)]
             yield rb.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
@@ -314,18 +324,41 @@ def _still_open(postings: DataFrame, work: Scratch) -> DataFrame:
     return out
 
 
-def jaccard_components(docs: DataFrame, *, width: int = 3, percent: int = 90, most_matches: int = 6, verify_cost: float = 8.0, cells: int = 1 << 18, block: int = 512) -> DataFrame:
+def jaccard_components(
+    docs: DataFrame, *, width: int = 3, percent: int = 90, most_matches: int = 6, verify_cost: float = 8.0, cells: int = 1 << 18, block: int = 512,
+) -> DataFrame:
     """docs: doc_id, text. One row a document: doc_id, n_shingles, component_id."""
-    work = Scratch(docs.sparkSession)
-    frequency = _frequencies(docs, width, cells)
-    prefix = work.keep(_prefixes(docs, frequency, width, percent, most_matches, verify_cost), "prefix")
-    sized = work.keep(prefix.select("doc_id", F.col("n").alias("n_shingles"), "fingerprint"), "sized")
-    named = prefix.where("n > 0 and doc_id is not null")
-    classes = work.keep(named.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "classes")
-    # the representative's row; rows repeated with the same id and set are one
-    own = named.join(classes, (named["fingerprint"] == classes["fingerprint"]) & (named["doc_id"] == classes["rep"]), "left_semi")
-    own = work.keep(own.dropDuplicates(["doc_id", "fingerprint"]).drop("fingerprint"), "own")
-    work.drop(prefix)
+    with Scratch(docs.sparkSession) as work:
+        frequency = _frequencies(docs, width, cells)
+        prefix = work.keep(_prefixes(docs, frequency, width, percent, most_matches, verify_cost), "prefix")
+        sized = work.keep(prefix.select("doc_id", F.col("n").alias("n_shingles"), "fingerprint"), "sized")
+        named = prefix.where("n > 0 and doc_id is not null")
+        classes = work.keep(named.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "classes")
+        # the representative's row; rows repeated with the same id and set are one
+        own = named.join(classes, (named["fingerprint"] == classes["fingerprint"]) & (named["doc_id"] == classes["rep"]), "left_semi")
+        own = work.keep(own.dropDuplicates(["doc_id", "fingerprint"]).drop("fingerprint"), "own")
+        work.drop(prefix)
+        # an id with several texts is one vertex: it links their classes
+        ids = sized.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("fingerprint").alias("x"), F.max("fingerprint").alias("y"))
+        repeated = work.keep(ids.where("n > 1 and x is not null").select("doc_id", (F.col("x") < F.col("y")).alias("several")), "repeated")
+        found = work.keep(_links(own, docs, work, width, percent, block), "found")
+        again = sized.where("fingerprint is not null").join(repeated.where("several").select("doc_id"), "doc_id")
+        tied = again.join(classes, "fingerprint").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
+        # lift to components: one label a document
+        label = work.keep(components(found.union(tied)), "label")
+        vertex = classes.join(label, classes["rep"] == label["v"], "left").select("fingerprint", F.coalesce("c", "rep").alias("component_id"))
+        vertex = work.keep(vertex, "vertex")
+        work.drop(classes, found, label)
+        done = sized.where("fingerprint is not null and doc_id is not null").join(vertex, "fingerprint").select("doc_id", "n_shingles", "component_id")
+        # a row without words has its id's component, if that has rows with words, else it stays alone
+        bare = sized.where("fingerprint is null or doc_id is null").select("doc_id", "n_shingles")
+        worded = sized.join(repeated, "doc_id", "left_semi").join(vertex, "fingerprint").groupBy("doc_id").agg(F.min("component_id").alias("c"))
+        bare = bare.join(worded, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
+        return work.release(done.union(bare))
+
+
+def _links(own: DataFrame, docs: DataFrame, work: Scratch, width: int, percent: int, block: int) -> DataFrame:
+    """Links (a, b) of representatives, enough of them to connect every component. Drops ``own``."""
     postings = own.select("doc_id", F.explode("prefix").alias("token"))
     shared = postings.groupBy("token").agg(F.count("*").alias("k"), F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"))
     shared = work.keep(shared.where("k > 1"), "shared")
@@ -348,17 +381,19 @@ def jaccard_components(docs: DataFrame, *, width: int = 3, percent: int = 90, mo
     placed = work.keep(placed, "placed")
     work.drop(facts, label)
     bucket = F.floor(F.log("n") / math.log(100 / (percent - 0.5))).cast("int")
-    open_ = work.keep(held.select("doc_id", "token").join(placed.select("doc_id", "comp", "level", bucket.alias("bucket")), "doc_id"), "open")
+    open_ = held.select("doc_id", "token").join(placed.select("doc_id", "comp", "level", bucket.alias("bucket")), "doc_id")
+    open_ = work.keep(open_, "open")
     work.drop(held)
     for _ in range(2):
         before, open_ = open_, _still_open(open_.drop("need"), work)
         work.drop(before)
     # of its prefix a document carries the shingles that are open: it shares no others across components
-    carried = open_.groupBy("doc_id").agg(F.array_sort(F.collect_list("token")).alias("prefix"), F.first("need").alias("need"), *[F.first(c).alias(c) for c in ("comp", "level", "bucket")])
-    carried = work.keep(carried, "carried")
+    facts_of = [F.first(c).alias(c) for c in ("need", "comp", "level", "bucket")]
+    carried = work.keep(open_.groupBy("doc_id").agg(F.array_sort(F.collect_list("token")).alias("prefix"), *facts_of), "carried")
     work.drop(open_)
     # no shingle before the need-th can be the one at which a pair is compared; ``earlier`` counts those before it
-    light = carried.select("doc_id", "comp", "level", "bucket", "need", F.posexplode(F.slice("prefix", F.col("need"), F.size("prefix"))).alias("at", "token"))
+    late = F.posexplode(F.slice("prefix", F.col("need"), F.size("prefix"))).alias("at", "token")
+    light = carried.select("doc_id", "comp", "level", "bucket", "need", late)
     light = light.withColumn("earlier", F.col("need") - 1 + F.col("at")).drop("need", "at")
     light = work.keep(_met(light).select("doc_id", "token", "earlier"), "light")
     # a token's documents in blocks; each block meets every other, and itself, once
@@ -366,16 +401,9 @@ def jaccard_components(docs: DataFrame, *, width: int = 3, percent: int = 90, mo
     dealt = light.join(sizes, "token").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.col("parts")).cast("int"))
     rows = dealt.join(placed.join(carried.select("doc_id", "prefix"), "doc_id"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     before = F.slice("prefix", F.lit(1), F.col("earlier")).alias("before")
-    rows = rows.select("token", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "doc_id", "comp", "n", "level", before, "sketch")
+    sides = [F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")]
+    rows = rows.select("token", *sides, "part", "doc_id", "comp", "n", "level", before, "sketch")
     rows = rows.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
     candidates = work.keep(_across(rows, percent), "candidates")
     work.drop(light, carried, placed)
-    found = work.keep(_verified(candidates, docs, width, percent).union(edges), "found")
-    work.drop(candidates, edges)
-    # lift to components: one label a document
-    label = work.keep(components(found), "label")
-    vertex = work.keep(classes.join(label, classes["rep"] == label["v"], "left").select("fingerprint", F.coalesce("c", "rep").alias("component_id")), "vertex")
-    work.drop(classes, found, label)
-    # an id with several different texts is one vertex: it links their classes
-    done = sized.join(vertex, "fingerprint", "left")
-    return done.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return _verified(candidates, docs, width, percent).union(edges)

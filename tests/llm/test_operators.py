@@ -349,7 +349,6 @@ def test_main_text_cases(spark):
     assert html_text.extract(table.limit(0)).count() == 0
 
 
-# 7 ---------------------------------------------------------------------------------------------
 def test_main_text_in_marked_wrappers():
     said = "<p>" + "Some words of the article itself. " * 9 + "</p>"
     ad, said_text = "<div class='ad'><p>Buy now, it is cheap.</p></div>", ("Some words of the article itself. " * 9).strip()
@@ -364,6 +363,41 @@ def test_main_text_in_marked_wrappers():
     assert html_text.main_text(f"<article><p>One <span class='ad'>buy</span> two.</p>{said}</article>") == "One two.\n\n" + said_text
 
 
+def test_main_text_keeps_what_a_word_alone_does_not_mark():
+    said = "<p>" + "Some words of the article itself. " * 9 + "</p>"
+    text = ("Some words of the article itself. " * 9).strip()
+    page = f"""<body><article><h1 id=ad>Title</h1>{said}<h2 id="notice-of-appeal">Appeal</h2>{said}<section class="social-history"><h3>Then</h3>{said}</section>
+    <p id="comments">Last, <a href=x>linked</a>.</p><div class="related-work"><a href=1>One</a> <a href=2>Two</a></div><div class="cookie-notice">We use them.</div></article></body>"""
+    assert html_text.main_text(page).split("\n\n") == ["Title", text, "Appeal", text, "Then", text, "Last, linked."]
+
+
+def test_main_text_by_density_alone():
+    said = [" ".join(f"word{i}{k}" for k in range(60)) + "." for i in range(5)]
+    para = "".join(f"<p>{t}</p>" for t in said)
+    links = "".join(f"<li><a href='/{i}'>Entry number {i}</a></li>" for i in range(12))
+    pages = {
+        "a container": (f"<body><div id=top>Site</div><ul>{links}</ul><div class=x>{para}</div><div><ul>{links}</ul></div></body>", said),
+        "a heading in the wrapper": (f"<body><div><ul>{links}</ul></div><div class='navigation-systems'><h1>Head</h1><div>{para}</div><p>Short end.</p></div></body>", ["Head", *said, "Short end."]),
+        "a heading in body": (f"<body><h1>Head</h1><ul>{links}</ul><div>{para}</div></body>", ["Head", *said]),
+        "two parts": (f"<body><table><tr><td><ul>{links}</ul></td><td><div>{para}</div><div>{para}</div></td></tr></table></body>", said + said),
+        "comments": (f"<body><div>{para}</div><div class='post-comments'>{para}</div><div id='disqus_thread'>{para}</div></body>", said),
+        "misleading names": (f"<body><div class='sidebar-layout with-ads'><div class='menu-planning'>{para}</div><div class='sidebar'><p>Beside it</p></div></div></body>", said),
+    }
+    for name, (page, want) in pages.items():
+        assert html_text.main_text(page).split("\n\n") == want, name
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "deep" + "</div>" * 100_000, "<a b" * 100_000, "<li><div>x" * 20_000, "<a '>' " * 50_000 + "'", "<b>" * 20_000 + "<hr>x" * 20_000, "<script>" + "</script" * 50_000])
+def test_main_text_takes_linear_time(page):
+    import time
+
+    html_text.main_text("<p>warm")
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 4
+
+
+# 7 ---------------------------------------------------------------------------------------------
 def test_chat_reads_back(spark):
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     talks = defaultdict(list)

@@ -8,9 +8,12 @@ A held-back part of the sample sets the softmax temperature and the score under
 prediction is rejected: ``reject_share`` of that part, and never more than a score of 0.5.
 
 The model is fitted on a bounded sample (``sample_docs`` documents, chosen by a hash of
-their id from all labelled ones); prediction reads every whole text, in slices of bounded
-size. Null texts and texts without a letter give ``und``, score 0, rejected. With nothing to
-learn from, everything is ``und``. Repeated rows and rows with null ids are predicted alike.
+their id from all labelled ones; an id met more than once counts once); prediction reads
+every whole text, in slices of bounded size. Null texts and texts without a letter (Unicode
+category L) give ``und``, score 0, rejected. With nothing to learn from, everything is
+``und``. Repeated rows and rows with null ids are predicted alike; of equal probabilities the
+first language in code point order is predicted; an empty table gives no rows; columns of
+the input named like those added are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import byte_buffer, sample_share, sub_batches
+from tessera.llm.common import byte_buffer, sample_share, sub_batches, without
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 SIZES = (2, 3, 4)
@@ -135,32 +138,38 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], buckets: int, dim: int
     return Model(langs, emb, w, temperature, floor)
 
 
-def fit(docs: DataFrame, usable: Column, *, sample_docs: int = 2000, buckets: int = 1 << 15, dim: int = 16, epochs: int = 8, rate: float = 2.0, reject_share: float = 0.001) -> Model | None:
+def fit(
+    docs: DataFrame, usable: Column, *, sample_docs: int = 2000, buckets: int = 1 << 15, dim: int = 16, epochs: int = 8, rate: float = 2.0, reject_share: float = 0.001
+) -> Model | None:
     """Learns from text and lang of the ``usable`` rows with non-null lang and text."""
     own = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    chosen = sample_share(own.select("doc_id", "lang", "text"), sample_docs, "doc_id").select("lang", "text")
+    chosen = sample_share(own.select("doc_id", "lang", "text"), sample_docs, "doc_id").select("lang", "text", "__order")
+    names = ["lang", "idx", "val", "__order"]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            langs, texts = rb.column(0).to_pylist(), [letters(t) for t in rb.column(1).to_pylist()]
             idx, val = [], []
-            for t in texts:
-                found = np.concatenate(subwords([t], buckets)[0])
+            for t in rb.column(1).to_pylist():
+                found = np.concatenate(subwords([letters(t)], buckets)[0])
                 u, n = np.unique(found, return_counts=True)
                 idx.append(u.astype(np.int32))
                 val.append((n / max(1, len(found))).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32()))], names=["lang", "idx", "val"])
+            made = [pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays([rb.column(0), *made, rb.column(2)], names=names)
 
-    got = chosen.mapInArrow(features, "lang string, idx array<int>, val array<float>").toArrow()
-    rows = sorted(((a, np.asarray(i), np.asarray(v, float)) for a, i, v in zip(got["lang"].to_pylist(), got["idx"].to_numpy(), got["val"].to_numpy(), strict=True)), key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
+    got = chosen.mapInArrow(features, "lang string, idx array<int>, val array<float>, __order long").orderBy("__order", "lang").limit(sample_docs).toArrow()
+    rows = [(a, np.asarray(i), np.asarray(v, float)) for a, i, v in zip(got["lang"].to_pylist(), got["idx"].to_numpy(), got["val"].to_numpy(), strict=True)]
+    rows.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
     return train(rows, buckets, dim, epochs, rate, reject_share)
 
 
 def predict(docs: DataFrame, model: Model | None, *, keep: list[str] | None = None) -> DataFrame:
     """Adds lang_pred, score (calibrated probability of it) and rejected to the columns of ``keep``."""
-    keep = keep if keep is not None else docs.columns
+    added = ("lang_pred", "score", "rejected")
+    keep = without(keep if keep is not None else docs.columns, added)
     names = [f"k{i}" for i in range(len(keep))]
-    out = T.StructType([T.StructField(n, docs.schema[c].dataType) for n, c in zip(names, keep, strict=True)] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    own = [T.StructField(n, docs.schema[c].dataType) for n, c in zip(names, keep, strict=True)]
+    out = T.StructType(own + [T.StructField(c, t) for c, t in zip(added, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +181,7 @@ def predict(docs: DataFrame, model: Model | None, *, keep: list[str] | None = No
             texts = rb.column("__text").to_pylist()
             for a, b in sub_batches(texts):
                 clean = [letters(t) for t in texts[a:b]]
-                some = np.array([bool(c.strip()) for c in clean])
+                some = np.array([any(map(str.isalpha, c)) for c in clean])  # the first character tells, as a rule
                 lang, score = np.array([UNKNOWN] * (b - a), object), np.zeros(b - a)
                 if m is not None:
                     mean, _ = mean_rows(lookup, clean)
@@ -180,7 +189,8 @@ def predict(docs: DataFrame, model: Model | None, *, keep: list[str] | None = No
                     lang[some], score[some] = np.array(m.langs, object)[p.argmax(1)][some], np.clip(p.max(1), 0, 1)[some]
                 low = ~some | (score < (m.reject_below if m else 0))
                 part = rb.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + [pa.array(lang, pa.string()), pa.array(score), pa.array(low)], names=[*names, "lang_pred", "score", "rejected"])
+                made = [pa.array(lang, pa.string()), pa.array(score), pa.array(low)]
+                yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + made, names=[*names, *added])
 
     found = docs.select(*[docs[c].alias(n) for n, c in zip(names, keep, strict=True)], docs["text"].alias("__text")).mapInArrow(run, out)
-    return found.toDF(*keep, "lang_pred", "score", "rejected")
+    return found.toDF(*keep, *added)

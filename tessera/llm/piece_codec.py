@@ -8,7 +8,8 @@ gathers. A model whose pieces do cross markers is detected and its texts are seg
 whole. The table is emptied when it outgrows ``table_limit`` chunks, so memory is bounded.
 
 Null texts count as empty (only the end id); any length is taken whole; rows keep their
-other columns (``keep``), repeated rows give repeated results, an empty table gives none.
+other columns (``keep``) but ones named like those added; repeated rows give repeated
+results, an empty table gives none.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tessera.llm.common import sub_batches, without
+
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -79,10 +82,9 @@ class ChunkTable:
 
 def encode_decode(docs: DataFrame, model_path: str, *, keep: list[str] | None = None, text: str = "text", eos: bool = True) -> DataFrame:
     """Adds ``ids`` (array<int>, with the end id) and ``decoded`` to the columns of ``keep``."""
-    from tessera.llm.common import sub_batches
-
-    keep = keep if keep is not None else [c for c in docs.columns if c != text]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    keep = without(keep if keep is not None else [c for c in docs.columns if c != text], ("ids", "decoded"))
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    schema = T.StructType([docs.schema[c] for c in keep] + added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece

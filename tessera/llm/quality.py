@@ -7,9 +7,12 @@ ensemble is flattened into three arrays (feature, threshold, leaf value), and sc
 all trees of a batch at once with numpy gathers.
 
 The model is fitted on a bounded sample (``sample_docs`` labelled rows, chosen by a hash of
-their id); scoring covers all rows. Null and empty texts get the statistics of an empty text
-and so a score like any other. Labels that are null are skipped; an id with several labels
-counts once with their maximum. With nothing to learn from, every score is 0.5.
+their id); scoring covers all rows and whole texts of any length. Null and empty texts get
+the statistics of an empty text and so a score like any other. Labels that are null are
+skipped; an id with several labels counts once with their maximum, one with several texts
+with the least. With nothing to learn from, every score is 0.5. Of equally good splits the
+first statistic and least threshold is taken; repeated rows are scored alike; an empty table
+gives no rows; a column of the input named ``score`` is replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import sample_share
+from tessera.llm.common import sample_share, without
 
 _UPPER, _DIGIT, _OTHER = re.compile(r"[^\W\d_a-zß-öø-ÿ]"), re.compile(r"\d"), re.compile(r"[^\w\s]|_")
 
@@ -110,13 +113,16 @@ def score(model: Trees | None, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-(model.base + model.leaf[tree, node].sum(1))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, *, sample_docs: int = 12_000, trees: int = 60, depth: int = 4, bins: int = 48, rate: float = 0.2, l2: float = 2.0) -> Trees | None:
+def fit(
+    docs: DataFrame, labels: DataFrame, usable: Column, *, sample_docs: int = 12_000, trees: int = 60, depth: int = 4, bins: int = 48, rate: float = 0.2, l2: float = 2.0
+) -> Trees | None:
     """labels: doc_id, quality (0 or 1). ``usable`` is a condition on doc_id."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("__y"))
     known = known.where(usable).groupBy("doc_id").agg(F.max("__y").alias("__y"))
-    chosen = sample_share(known, sample_docs, "doc_id")
+    chosen = sample_share(known, sample_docs, "doc_id").orderBy("__order", "doc_id").limit(sample_docs).drop("__order")
     # bounded by sample_docs, so its ids may be sent to every task
-    own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("__y", "text")
+    own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    own = own.groupBy("doc_id").agg(F.min(F.struct("__y", "text")).alias("r")).select("r.*")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -133,9 +139,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, *, sample_docs: int
 
 def predict(docs: DataFrame, model: Trees | None, *, keep: list[str] | None = None) -> DataFrame:
     """Adds score (0 to 1) to the columns of ``keep``."""
-    keep = keep if keep is not None else docs.columns
+    keep = without(keep if keep is not None else docs.columns, ("score",))
     names = [f"k{i}" for i in range(len(keep))]
-    out = T.StructType([T.StructField(n, docs.schema[c].dataType) for n, c in zip(names, keep, strict=True)] + [T.StructField("score", T.DoubleType())])
+    own = [T.StructField(n, docs.schema[c].dataType) for n, c in zip(names, keep, strict=True)]
+    out = T.StructType([*own, T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,4 +151,5 @@ def predict(docs: DataFrame, model: Trees | None, *, keep: list[str] | None = No
             s = score(shared.value, x) if rb.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([rb.column(n) for n in names] + [pa.array(s)], names=[*names, "score"])
 
-    return docs.select(*[docs[c].alias(n) for n, c in zip(names, keep, strict=True)], docs["text"].alias("__text")).mapInArrow(run, out).toDF(*keep, "score")
+    rows = docs.select(*[docs[c].alias(n) for n, c in zip(names, keep, strict=True)], docs["text"].alias("__text"))
+    return rows.mapInArrow(run, out).toDF(*keep, "score")

@@ -9,7 +9,9 @@ edit, re-encodes those pre-tokens, and updates the sums on the paths above the l
 touched. The pattern looks at most ``CONTEXT`` characters past a pre-token's end.
 
 Distinct pre-tokens are encoded once a task (a bounded table). Null texts count as empty;
-edits out of range are clipped to the text; an empty table gives none.
+null edits are passed over and edits out of range are clipped to the text; texts of any
+length are read whole; repeated rows give repeated results; an empty table gives none;
+columns of the input named like those added are replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tessera.llm.common import without
+
 LEAF = 32
 CONTEXT = 4
 
@@ -166,8 +170,8 @@ def count_edits(docs: DataFrame, vocabulary: str, pattern: str, *, keep: list[st
 
     Adds n_tokens, n_tokens_edited, n_pre_tokens (of the text) and n_re_encoded (pre-tokens
     encoded again for all edits) to the columns of ``keep``."""
-    keep = keep if keep is not None else [c for c in docs.columns if c not in ("text", "edits")]
-    more = ["n_tokens", "n_tokens_edited", "n_pre_tokens", "n_re_encoded"]
+    more = ("n_tokens", "n_tokens_edited", "n_pre_tokens", "n_re_encoded")
+    keep = without(keep if keep is not None else [c for c in docs.columns if c not in ("text", "edits")], more)
     out = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, T.LongType()) for c in more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,6 +185,7 @@ def count_edits(docs: DataFrame, vocabulary: str, pattern: str, *, keep: list[st
                     if e is not None:
                         tree.edit(e["at"] or 0, e["removed"] or 0, e["added"] or "")
                 rows.append((before, tree.total, pieces, tree.re_encoded))
-            yield pa.RecordBatch.from_arrays([rb.column(c) for c in keep] + [pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=[*keep, *more])
+            made = [pa.array([r[i] for r in rows], pa.int64()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([rb.column(c) for c in keep] + made, names=[*keep, *more])
 
     return docs.select(*[docs[c] for c in keep], docs["text"].alias("__text"), docs["edits"].alias("__edits")).mapInArrow(run, out)

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -147,6 +148,7 @@ def test_language_odd_rows(spark, odd, none):
     got = langid.predict(odd, model).collect()
     by = {(r["doc_id"], r["text"]): r["lang_pred"] for r in got}
     assert len(got) == len(ODD) and got[0].asDict().keys() >= {"words", "s", "rejected"}
+    assert len(got[0]) == len(set(got[0].asDict())) == 10  # its score is the prediction's
     assert by[1, None] == by[2, ""] == by[3, "  \n "] == by[7, "123 456 !!!"] == "und"
     assert by[5, "le la les et de un " * 9000] == "fr"
     assert langid.predict(none, model).count() == 0
@@ -154,6 +156,47 @@ def test_language_odd_rows(spark, odd, none):
     assert {r["lang_pred"] for r in langid.predict(odd, None).collect()} == {"und"}
 
 
+def plain_language(model, text):
+    """(language, score) of one text, n-gram by n-gram."""
+    if not any(unicodedata.category(c).startswith("L") for c in text or ""):
+        return "und", 0.0
+    b = re.sub(r"[\W\d_]+", " ", f" {text.lower()} ").encode()
+    rows = []
+    for n in (2, 3, 4):
+        for i in range(len(b) - n + 1):
+            gram = b[i : i + n]
+            if b" " in gram[1:-1] or gram == b"  ":
+                continue
+            h = n * 0x9E3779B1 & 0xFFFFFFFF
+            for c in gram:
+                h = (h ^ c) * 16777619 & 0xFFFFFFFF
+            rows.append((h ^ h >> 15) & (len(model.embedding) - 1))
+    z = model.embedding[rows].mean(0) @ model.softmax / model.temperature
+    p = np.exp(z - z.max())
+    return model.langs[int(p.argmax())], float(p.max() / p.sum())
+
+
+def test_language_equals_a_plain_predictor(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs, queries.fold(5) != 0, sample_docs=400)
+    texts = [d["text"][:400] for d in read("documents")[:60]] + ["½", "² ³", "Ⅷ ½ x", "123", "\u0301", "__", "ж", "漢", None, ""]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in langid.predict(table, model).collect():
+        lang, score = plain_language(model, r["text"])
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-4, r
+
+
+def test_samples_are_bounded_under_repeated_ids(spark):
+    from tessera.llm.common import sample_share
+
+    rows = spark.range(60_000).selectExpr("if(id < 50000, 7, id) as doc_id", "concat('t', id) as text")
+    for want in (100, 100_000):
+        got = sample_share(rows, want, "doc_id").collect()
+        assert len({r["doc_id"] for r in got}) == len(got) <= max(1.5 * want, 10_001)
+        assert len(got) >= min(0.5 * want, 10_001)
+    assert {r["text"] for r in sample_share(rows, 100_000, "doc_id").collect() if r["doc_id"] == 7} == {"t0"}
+
+
 def test_subwords_do_not_cross_texts():
     texts = [langid.letters(t) for t in ("abc def", "x", "", "éa")]
     together = langid.subwords(texts, 1 << 15)
@@ -276,6 +319,8 @@ def test_pieces_equal_the_library(spark, odd, none):
     for r in piece_codec.encode_decode(odd, path, keep=["doc_id", "text"]).collect():
         assert r["ids"] == sp.encode(r["text"] or "", add_eos=True) and r["decoded"] == sp.decode(r["ids"])
     assert piece_codec.encode_decode(none, path).count() == 0
+    clash = odd.withColumnRenamed("words", "ids").withColumnRenamed("s", "decoded")
+    assert {str(r["ids"]) for r in piece_codec.encode_decode(clash, path, keep=["doc_id", "ids", "decoded"]).collect()} == {str(r["ids"]) for r in piece_codec.encode_decode(odd, path).collect()}
 
 
 def test_chunk_table_on_random_texts():
@@ -315,10 +360,10 @@ def test_quality_odd_rows_and_trees(spark, odd, none):
     assert np.allclose(1 / (1 + np.exp(-np.array(one))), s[:5])
     labels = spark.createDataFrame([(1, 1), (1, 0), (4, None), (5, 1), (None, 1), (2, 0)], "doc_id long, quality int")
     fitted = quality.fit(odd, labels, queries.fold(3) >= 0)
-    got = quality.predict(odd.drop("score"), fitted).collect()
-    assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
+    got = quality.predict(odd, fitted).collect()
+    assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got) and len(got[0]) == len(set(got[0].asDict())) == 8
     assert quality.fit(none, labels, queries.fold(3) >= 0) is None
-    assert quality.predict(none.drop("score"), fitted).count() == 0
+    assert quality.predict(none, fitted).count() == 0
 
 
 # 6 ---------------------------------------------------------------------------------------------

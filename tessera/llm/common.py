@@ -125,8 +125,8 @@ class Scratch:
             _delete(self._spark, self._paths.pop(id(t))[1])
 
     def release(self, df: DataFrame, name: str = "result") -> DataFrame:
-        """df as a table that outlives the run."""
-        out = self.keep(df, name)
+        """df as a table that outlives the run; written now unless it is one already."""
+        out = df if id(df) in self._paths else self.keep(df, name)
         _results.setdefault(id(self._spark), []).append(self._paths.pop(id(out))[1])
         return out
 

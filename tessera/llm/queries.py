@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import ann, chat, html_text, jaccard_join, langid, mixing, piece_codec, quality, token_counts, topk_join
-from tessera.llm.common import fold, table
+from tessera.llm.common import Scratch, fold, table
 from tessera.llm.sql import ORACLE_SQL as ORACLE_SQL
 
 try:
@@ -16,8 +16,8 @@ except ImportError:  # the paths are parameters; only the queries below take the
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents, draws, sources = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixing.taken_by_document(documents, draws, sources)
+    with Scratch(spark) as work:
+        return work.release(mixing.taken_by_document(*mixing.mix(table(spark, sf_dir, "documents"), work)))
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,10 @@ import pyarrow.parquet as pq
 import public_tokenizers as P
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from tessera.llm import ann, chat, html_text, jaccard_join, langid, mixing, piece_codec, quality, queries, token_counts, topk_join
+from tessera.llm.common import Scratch
 from tests import compare
 
 SF = "/root/testdata/sf0.01"
@@ -87,13 +89,38 @@ def test_mix_targets_and_taken(spark):
 
 
 def test_mix_draws_are_disjoint_and_exact(spark):
-    docs, draws, sources = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet"), shard_blocks=256)
-    rows = draws.collect()
-    assert len({(r["row_id"], r["block"], r["copy"]) for r in rows}) == len(rows)
-    per = Counter(r["shard"] for r in rows)
-    assert max(per.values()) - min(per.values()) <= len(per) and len(per) == -(-len(rows) // 256)
+    with Scratch(spark) as work:
+        documents, draws, sources = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet"), work, shard_blocks=256)
+        size_of = {r["row_id"]: r["size"] for r in documents.collect()}
+        rows = draws.collect()
+    blocks = [(r["row_id"], r["number"], r["copy"], b) for r in rows for b in range(r["first"], r["first"] + r["blocks"])]
+    assert len(set(blocks)) == len(blocks)
+    per = Counter()
+    for r in rows:
+        per[r["shard"]] += r["blocks"]
+        n = -(-size_of[r["row_id"]] // 128)
+        assert r["words"] == min(size_of[r["row_id"]], 128 * (r["first"] + r["blocks"])) - 128 * r["first"] > 0
+        assert r["first"] + r["blocks"] <= n and r["whole"] == (r["blocks"] == n)
+    assert max(per.values()) - min(per.values()) <= len(per) and len(per) == -(-len(blocks) // 256)
     for shard in list(per)[:3]:
-        assert sorted(r["place"] for r in rows if r["shard"] == shard) == list(range(1, per[shard] + 1))
+        assert sorted(r["place"] for r in rows if r["shard"] == shard) == list(range(1, sum(r["shard"] == shard for r in rows) + 1))
+    # documents are cut only where a shard or a source's target ends
+    assert sum(not r["whole"] for r in rows) <= 2 * (len(per) + 1) * len(sources)
+
+
+def test_large_hypergeometric_draws_are_exact():
+    from math import comb
+
+    for good, bad, take in ((5, 7, 6), (40, 3, 20), (300, 500, 77), (2, 900, 3), (10, 10, 20), (9, 0, 4)):
+        k, p = mixing.hypergeometric_weights(good, bad, take)
+        exact = {i: comb(good, i) * comb(bad, take - i) / comb(good + bad, take) for i in range(max(0, take - bad), min(good, take) + 1)}
+        assert dict(zip(k.tolist(), np.round(p, 12))) == {i: round(v, 12) for i, v in exact.items()}
+    rng, n = np.random.default_rng(4), 3_000_000_000
+    drawn = np.array([mixing.hypergeometric(rng, n, 2 * n, n) for _ in range(12)]) - n / 3
+    spread = (n * (1 / 3) * (2 / 3) * (2 * n) / (3 * n)) ** 0.5
+    assert 0.4 * spread < drawn.std() < 2 * spread and abs(drawn.mean()) < 2 * spread
+    parts = list(mixing.shard_quotas(np.array([2_500_000_000, 7, 0, 900_000_000]), 5, 7, 1 << 16, 3))
+    assert [p[0] for p in parts] == [5, 6] and all(abs(int(p[2].sum()) - 3_400_000_007 / 65536) < 20 for p in parts)
 
 
 def test_splitting_tree_keeps_quotas():
@@ -107,27 +134,36 @@ def test_splitting_tree_keeps_quotas():
 
 
 def test_mix_odd_rows(spark, odd, none):
-    docs, draws, sources = mixing.mix(odd)
-    got = mixing.taken_by_document(docs, draws, sources).collect()
-    assert len(got) == len(ODD) and all(r["taken"] <= 2 * r["size"] for r in got)
-    text = mixing.mixed_texts(odd, docs, draws).collect()
-    assert sum(len(words(r["text"])) for r in text) == sum(r["taken"] for r in got)
-    d, w, s = mixing.mix(none)
-    assert mixing.taken_by_document(d, w, s).count() == 0
+    with Scratch(spark) as work:
+        documents, draws, sources = mixing.mix(odd, work)
+        got = mixing.taken_by_document(documents, draws, sources).collect()
+        assert len(got) == len(ODD) and all(r["taken"] <= 2 * r["size"] and (r["taken"] > 0) == (r["place"] is not None) for r in got)
+        text = mixing.mixed_texts(odd, draws).collect()
+        assert sum(len(words(r["text"])) for r in text) == sum(r["taken"] for r in got)
+        assert {len(r) for r in text} == {len(odd.columns) + 2}
+        assert mixing.taken_by_document(*mixing.mix(none, work)).count() == 0
+        assert mixing.mixed_texts(none, mixing.mix(none, work)[1]).count() == 0
 
 
 def test_mixed_texts_are_cut_from_their_own_rows(spark):
-    said = lambda row: " ".join(f"r{row}w{i}" for i in range(300))
+    said = lambda row: "  " + "\n\n".join("\t".join(f"r{row}w{i}" for i in range(k, k + 20)) for k in range(0, 300, 20)) + " \n"
     rows = [(None, "a", said(r), str(r)) for r in (0, 1, 2, 2)] + [(5, "a", said(3), "3"), (5, "a", said(4), "4")]
+    rows += [(None, "a", "alpha beta gamma", "5"), (None, "a", "delta epsilon zeta", "6"), (7, "a", "one two three", "7"), (7, "a", "four five six", "8")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string, mark string")
-    documents, draws, _ = mixing.mix(docs)
-    row_of = {w: r for r in range(5) for w in said(r).split()}
-    taken = Counter()
-    for r in mixing.mixed_texts(docs, documents, draws).collect():
-        assert {row_of[w] for w in words(r["text"])} == {int(r["mark"])}
+    with Scratch(spark) as work:
+        _, draws, _ = mixing.mix(docs, work, shard_blocks=4)
+        mixed = mixing.mixed_texts(docs, draws).withColumn("part", F.spark_partition_id()).collect()
+        total = draws.agg({"words": "sum"}).first()[0]
+    taken, text_of = Counter(), {m: t for _, _, t, m in rows}
+    for r in mixed:
+        assert r["text"] in text_of[r["mark"]]  # white space and all
         taken[int(r["mark"])] += len(words(r["text"]))
-    assert all(taken[r] >= 300 for r in range(5)) and taken[2] >= 600
-    assert sum(taken.values()) == draws.agg({"words": "sum"}).first()[0]
+    assert all(taken[r] >= 300 for r in (0, 1, 3, 4)) and taken[2] >= 600 and all(taken[r] >= 3 for r in (5, 6, 7, 8))
+    assert sum(taken.values()) == total
+    # shards lie whole in a partition, in the order of their places
+    assert all(len({r["part"] for r in mixed if r["shard"] == s}) == 1 for s in {r["shard"] for r in mixed})
+    order = [(r["part"], r["shard"], r["place"]) for r in mixed]
+    assert order == sorted(order) and len(set(order)) == len(order)
 
 
 # 2 ---------------------------------------------------------------------------------------------
@@ -590,8 +626,6 @@ def test_shingle_sets_agree_with_plain_ones():
 def test_edit_aware_counts_equal_fresh_counts(spark, odd, none):
     enc = token_counts.load_encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     got = {r["doc_id"]: r for r in queries.op10_token_counts(spark, SF).collect()}
-    from pyspark.sql import functions as F
-
     for d in read("documents"):
         assert got[d["doc_id"]]["n_tokens"] == len(enc.encode_ordinary(d["text"]))
     assert np.mean([r["n_re_encoded"] for r in got.values()]) < 60

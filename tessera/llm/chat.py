@@ -1,15 +1,19 @@
 """Chat formatting by incremental black-box rendering.
 
 ``render(turns, open_reply)`` is any template: a function from a list of (role, text) to one
-string, which may leave an assistant's reply open at the end. It is called on every successive prefix of a conversation; where the output for the
-longer prefix starts with the output for the shorter one, the rest is the new turn's span.
-Where it does not, the template rewrites history: the conversation is flagged and its spans
-from there on are located in the full output only if the span is still a suffix of it. The
-part of a span that is the turn's text is found by rendering the same turn with two
-one-character texts and taking away what both outputs share at either end. Text spans of assistant turns form the loss mask.
-
-A conversation is one output row, so its turns meet in one task; nothing else is grouped.
-Null roles and texts count as empty; turns with equal numbers are ordered by role and text;
+string, which may leave an assistant's reply open at the end. It is called on every
+successive prefix of a conversation; where the output for the longer prefix starts with the
+output for the shorter one, the rest is the new turn's span. Where it does not, the template
+rewrites history: the conversation is flagged, and no spans and no mask are given, since
+places in earlier outputs mean nothing in the last one. The part of a span that is the
+turn's text is found by rendering the same turn with two one-character texts and taking away
+what both outputs share at either end. Text spans of assistant turns form the loss mask.
+
+A conversation is one output row, so its turns meet in one task; nothing else is grouped. The
+calls grow with its turns and each call with the turns it is given, so the work grows with
+the square of the turns whatever the template; ``TurnTemplate`` keeps the turns it has
+rendered, which leaves a join of strings to repeat. Null roles and texts count as empty;
+turns with equal numbers are ordered by role and text; repeated rows are turns of their own;
 rows with a null conv_id form one conversation; an empty table gives no rows.
 """
 
@@ -43,10 +47,40 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
-def marked_turns(turns: list[Turn], open_reply: bool = False) -> str:
-    """The template of this module: ``### Role: text</turn>`` a turn."""
-    heads = [f"### {HEADINGS[r]}: " if r in HEADINGS else f"### role={escape(r)}: " for r, _ in turns]
-    return "".join(h + escape(t) + END for h, (_, t) in zip(heads, turns, strict=True)) + ("### Assistant: " if open_reply else "")
+class _Rendered(dict):
+    """Turns to what they are rendered as; ``size`` counts the characters held."""
+
+    def __init__(self, one: Callable[[str, str], str]):
+        self.one, self.size = one, 0
+
+    def __missing__(self, turn: Turn) -> str:
+        said = self[turn] = self.one(*turn)
+        self.size += len(said)
+        return said
+
+
+class TurnTemplate:
+    """A template that puts its turns one after another; what it has rendered is held up to ``limit`` characters."""
+
+    def __init__(self, one: Callable[[str, str], str], opening: str = "", limit: int = 50_000_000):
+        self._one, self._opening, self._limit, self._held = one, opening, limit, _Rendered(one)
+
+    def __call__(self, turns: list[Turn], open_reply: bool = False) -> str:
+        if self._held.size > self._limit:
+            self._held = _Rendered(self._one)
+        return "".join(map(self._held.__getitem__, turns)) + (self._opening if open_reply else "")
+
+    def __reduce__(self):
+        return TurnTemplate, (self._one, self._opening, self._limit)
+
+
+def marked_turn(role: str, text: str) -> str:
+    head = f"### {HEADINGS[role]}: " if role in HEADINGS else f"### role={escape(role)}: "
+    return head + escape(text) + END
+
+
+#: The template of this module: ``### Role: text</turn>`` a turn.
+marked_turns = TurnTemplate(marked_turn, "### Assistant: ")
 
 
 def read_back(formatted: str) -> list[Turn]:
@@ -93,7 +127,8 @@ def spans(turns: list[Turn], render: Render, masked_role: str = "assistant") ->
     return previous, found, masked, rewrites
 
 
-OUTPUT = "conv_id long, n_turns long, formatted string, turn_spans array<struct<start:int,end:int>>, loss_spans array<struct<start:int,end:int>>, rewrites_history boolean"
+_SPANS = "array<struct<start:int,end:int>>"
+OUTPUT = f"conv_id long, n_turns long, formatted string, turn_spans {_SPANS}, loss_spans {_SPANS}, rewrites_history boolean"
 
 
 def format_conversations(rows: DataFrame, render: Render = marked_turns) -> DataFrame:
@@ -108,14 +143,20 @@ def format_conversations(rows: DataFrame, render: Render = marked_turns) -> Data
             for turns in rb.column("turns"):
                 own = [(t["role"].as_py(), t["text"].as_py()) for t in turns]
                 done.append((len(own), *spans(own, render)))
-            pairs = lambda at: pa.array([[{"start": a, "end": b} for a, b in d[at]] for d in done], span)
-            yield pa.RecordBatch.from_arrays([rb.column("conv_id").cast(pa.int64()), pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.string()), pairs(2), pairs(3), pa.array([d[4] for d in done], pa.bool_())], names=["conv_id", "n_turns", "formatted", "turn_spans", "loss_spans", "rewrites_history"])
+            pairs = lambda at: [[{"start": a, "end": b} for a, b in d[at]] for d in done]
+            columns = {
+                "conv_id": rb.column("conv_id").cast(pa.int64()), "n_turns": pa.array([d[0] for d in done], pa.int64()), "formatted": pa.array([d[1] for d in done], pa.string()),
+                "turn_spans": pa.array(pairs(2), span), "loss_spans": pa.array(pairs(3), span), "rewrites_history": pa.array([d[4] for d in done], pa.bool_()),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
 
     return grouped.mapInArrow(run, OUTPUT)
 
 
 def digests(formatted: DataFrame) -> DataFrame:
     """What a reader gets back from the formatted text: turns, and the text under the loss mask."""
+    kind = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    names = [c.split()[0] for c in kind.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -126,9 +167,10 @@ def digests(formatted: DataFrame) -> DataFrame:
                 under = "".join(unescape(text[s["start"] : s["end"]]) for s in loss)
                 rows.append((len(turns), _sha(said), len(under), _sha(under), len(text)))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([rb.column("conv_id")] + [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            made = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([rb.column("conv_id"), *made], names=names)
 
-    return formatted.select("conv_id", "formatted", "loss_spans").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.select("conv_id", "formatted", "loss_spans").mapInArrow(run, kind)
 
 
 def _sha(text: str) -> str:

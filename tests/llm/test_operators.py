@@ -15,7 +15,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from tessera.llm import ann, chat, html_text, jaccard_join, langid, mixing, piece_codec, quality, queries, token_counts, topk_join
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, materialize
 from tests import compare
 
 SF = "/root/testdata/sf0.01"
@@ -512,6 +512,16 @@ def test_chat_templates(spark):
     assert chat.format_conversations(rows.limit(0)).count() == 0
 
 
+def test_chat_of_many_turns():
+    rng = np.random.default_rng(5)
+    turns = [(("user", "assistant", "judge")[i % 3], "".join(rng.choice(list("ab <#\\:"), 60))) for i in range(1500)]
+    template = chat.TurnTemplate(chat.marked_turn, limit=30_000)
+    text, found, masked, rewrites = chat.spans(turns, template)
+    assert not rewrites and chat.read_back(text) == turns and text == "".join(chat.marked_turn(*t) for t in turns)
+    assert [chat.unescape(text[a:b]) for a, b in masked] == [t for r, t in turns if r == "assistant"]
+    assert [text[a:b] for a, b in found] == [chat.marked_turn(*t) for t in turns]
+
+
 # 9 ---------------------------------------------------------------------------------------------
 def plain_components(rows):
     sets = defaultdict(list)
@@ -662,23 +672,84 @@ def test_count_tree_on_random_edits():
 
 # pipeline --------------------------------------------------------------------------------------
 def test_pipeline(spark):
+    """Every stage against a plain version on its own input."""
     import corpus_pipeline
+    from tessera.llm.common import fold
 
     docs, seen = spark.read.parquet(f"{SF}/documents.parquet"), []
     for name, stage in corpus_pipeline.STAGES:
-        out = corpus_pipeline.materialize(stage(spark, docs, SF), name)
+        out = materialize(stage(spark, docs, SF), name)
         seen.append((docs, out))
         docs = out
     for _, out in seen[:-1]:
         assert out.columns == corpus_pipeline.COLUMNS
+    text_of = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+    model = langid.fit(seen[0][0], fold(5) != 0)
+    kept = text_of(seen[0][1])
+    for i, text in text_of(seen[0][0]).items():
+        if len(text or "") < 3000:  # n-gram by n-gram is slow
+            _, score = plain_language(model, text)
+            assert (i in kept) == (score >= model.reject_below) or abs(score - model.reject_below) < 1e-4
+    trees = quality.fit(seen[1][0], spark.read.parquet(f"{SF}/labels.parquet"), fold(3) != 1)
+    kept = text_of(seen[1][1])
+    for i, text in text_of(seen[1][0]).items():
+        x, raw = quality.statistics(text), trees.base
+        for t in range(len(trees.feature)):
+            node = 0
+            for _ in range(trees.depth):
+                node = 2 * node + 1 + int(x[trees.feature[t, node]] > trees.threshold[t, node])
+            raw += trees.leaf[t, node - (1 << trees.depth) + 1]
+        assert (i in kept) == (raw >= 0) or abs(raw) < 1e-9
     quality_of = {r["doc_id"]: r["quality"] for r in read("labels")}
-    kept = {r["doc_id"] for r in seen[1][1].select("doc_id").collect()}
     assert np.mean([(i in kept) == bool(q) for i, q in quality_of.items()]) > 0.95
     before = [(r["doc_id"], r["text"]) for r in seen[2][0].collect()]
     _, comp = plain_components(before)
     assert {r["doc_id"] for r in seen[2][1].collect()} == set(comp.values())
-    assert all(r["round_trip"] for r in docs.select("round_trip").collect())
-    assert docs.count() == seen[3][1].count()
+    before, mixed = {r["doc_id"]: r for r in seen[3][0].collect()}, seen[3][1].collect()
+    size, taken = Counter(), Counter()
+    for r in before.values():
+        size[r["source"]] += len(words(r["text"]))
+    for r in mixed:
+        own = before[r["doc_id"]]
+        assert r["text"] in own["text"] and (r["lang"], r["source"]) == (own["lang"], own["source"]) and r["n_chars"] == len(r["text"])
+        taken[r["source"]] += len(words(r["text"]))
+    want = plain_targets(size)
+    assert all(abs(taken[s] - want[s]) <= 64 for s in want)
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in docs.collect()) == Counter((r["doc_id"], tuple(sp.encode(r["text"], add_eos=True))) for r in mixed)
+    assert all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in docs.collect())
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    own = [(r[0], r[1], r[2], r[3], r[4], "clash") for r in ODD] + [(None, "der die das und", "de", "c", 15, "clash"), (4, "The the of and to out", "en", "b", 20, "clash"), (8, "The the of and to in", None, None, None, None)]
+    docs = spark.createDataFrame(own, "doc_id long, text string, lang string, source string, n_chars long, score string")
+    for name, stage in corpus_pipeline.STAGES:
+        got = materialize(stage(spark, docs, SF), name).collect()
+        assert materialize(stage(spark, docs.limit(0), SF), name).count() == 0
+        if name == "near_duplicates":  # null ids stay, one row of every other id, and 8 goes with 4
+            assert Counter(r["doc_id"] for r in got) == Counter({None: 2, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1})
+        if name == "language":
+            assert all(any(map(str.isalpha, r["text"])) for r in got)
+        if name == "source_mix":
+            assert all(words(r["text"]) for r in got) and {r["doc_id"] for r in got} >= {None, 4, 5, 6}
+        if name == "pieces":
+            assert len(got) == len(own)
+
+
+def test_pipeline_leaves_its_result_only(spark):
+    import corpus_pipeline
+    from tessera.llm import common
+
+    at = common.shared_dir(spark).removeprefix("file://")
+    held = lambda: {os.path.join(d, f) for d, _, names in os.walk(at) for f in names if f.endswith(".parquet")}
+    before = held()
+    with common.discarding_results(spark):
+        out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+        n = out.count()
+        assert n > 0 and held() - before == {p.removeprefix("file://") for p in out.inputFiles()}
+    assert held() == before
 
 
 def test_scratch_drops_tables_and_restores_the_setting(spark):

@@ -14,15 +14,23 @@ from tessera.functions import text as X
 ORDER = ["chunk_id", "pos"]
 
 
-def entity_nodes(entities: DataFrame, taken: DataFrame | None = None) -> DataFrame:
-    """One node an entity; a base id met again gets _1, _2, ... in order. ``taken``: graph_id, base_id, used."""
-    base = entities.withColumn("base_id", X.create_id(F.col("name"))).where("base_id <> ''")
-    number = F.row_number().over(Window.partitionBy("graph_id", "base_id").orderBy(*ORDER)) - 1
-    rows = base.withColumn("n", number)
+def entity_nodes(entities: DataFrame, taken: DataFrame | None = None, bucket_chunks: int = 1024) -> DataFrame:
+    """One node an entity; a base id met again gets _1, _2, ... in order. ``taken``: graph_id, base_id, used.
+
+    Numbers are counted in two steps - within ``bucket_chunks`` consecutive chunks, and over the
+    buckets before - so a name that is everywhere is not one task."""
+    key = ["graph_id", "base_id"]
+    rows = entities.withColumn("base_id", X.create_id(F.col("name"))).where("base_id <> ''")
+    rows = rows.withColumn("__bucket", F.floor(F.col("chunk_id") / bucket_chunks))
+    counts = rows.groupBy(*key, "__bucket").agg(F.count("*").alias("__c"))
+    earlier = Window.partitionBy(*key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*key, "__bucket", F.coalesce(F.sum("__c").over(earlier), F.lit(0)).alias("__before"))
     if taken is not None:
-        rows = rows.join(taken, ["graph_id", "base_id"], "left").withColumn("n", F.col("n") + F.coalesce("used", F.lit(0)))
+        before = before.join(taken, key, "left").withColumn("__before", F.col("__before") + F.coalesce("used", F.lit(0))).drop("used")
+    own = F.row_number().over(Window.partitionBy(*key, "__bucket").orderBy(*ORDER)) - 1
+    rows = rows.withColumn("n", own).join(before, [*key, "__bucket"]).withColumn("n", F.col("n") + F.col("__before"))
     ident = F.when(F.col("n") == 0, F.col("base_id")).otherwise(F.concat_ws("_", "base_id", F.col("n").cast("string")))
-    return rows.withColumn("id", ident).drop("n", "used")
+    return rows.withColumn("id", ident).drop("n", "__bucket", "__before")
 
 
 def relation_edges(relations: DataFrame, nodes: DataFrame, per_chunk: bool = True) -> DataFrame:
@@ -80,10 +88,26 @@ def mention_nodes(mentions: DataFrame) -> DataFrame:
     return out.select(X.create_id(F.col("text")).alias("id"), F.col("text").alias("name"), "type", "chunk_id", "best.confidence", "best.source")
 
 
-def prompt_rows(chunks: DataFrame, mentions: DataFrame, template: str = "Text fragment:\n%s\n\nEntities in chunk:\n%s") -> DataFrame:
-    """chunks: chunk_id, text; mentions: chunk_id, name. One model input a chunk."""
-    names = mentions.groupBy("chunk_id").agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("names"))
-    return chunks.join(names, "chunk_id", "left").select("chunk_id", F.format_string(template, "text", F.coalesce("names", F.lit(""))).alias("prompt"))
+def prompt_rows(
+    chunks: DataFrame, mentions: DataFrame, template: str = "Text fragment:\n%s\n\nEntities in chunk:\n%s", relations: DataFrame | None = None, references: DataFrame | None = None,
+) -> DataFrame:
+    """chunks: chunk_id, text; mentions: chunk_id, name. One model input a chunk.
+
+    With ``relations`` (chunk_id, source, relation, target) and ``references`` (chunk_id, mention, name: what a
+    mention stands for) their lines follow under headings of their own."""
+    listed = lambda rows, value, name: rows.groupBy("chunk_id").agg(F.array_join(F.array_sort(F.collect_set(value)), name[1]).alias(name[0]))
+    out = chunks.join(listed(mentions, F.col("name"), ("names", ", ")), "chunk_id", "left")
+    prompt = F.format_string(template, "text", F.coalesce("names", F.lit("")))
+    more = (
+        ("references", references, "Coreference:", ("mention", " -> ", "name")),
+        ("relations", relations, "Relations in chunk:", ("source", " ", "relation", " ", "target")),
+    )
+    for title, rows, head, line in more:
+        if rows is not None:
+            said = F.concat(*[F.col(c) if c.strip() and c != " -> " else F.lit(c) for c in line])
+            out = out.join(listed(rows, said, (title, "\n")), "chunk_id", "left")
+            prompt = F.concat(prompt, F.lit(f"\n\n{head}\n"), F.coalesce(title, F.lit("")))
+    return out.select("chunk_id", prompt.alias("prompt"))
 
 
 def complete_entities(nodes: DataFrame, missing: DataFrame) -> DataFrame:

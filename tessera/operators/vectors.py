@@ -52,16 +52,24 @@ def sync_plan(documents: DataFrame, index: DataFrame) -> DataFrame:
     return a.join(b, ["graph_id", "id"], "full_outer").select("graph_id", "id", action.alias("action"))
 
 
-def top_k(index: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", block: int = 1024) -> DataFrame:
-    """index: id, embedding; queries: query_id, embedding. (query_id, id, distance, rank), ties by id.
+def ids(index: DataFrame) -> DataFrame:
+    """All ids of an index, each once."""
+    return index.select("id").distinct()
+
+
+def top_k(index: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", block: int = 4096, slices: int = 64, metadata: list[str] | None = None, skip_own: bool = False) -> DataFrame:
+    """index: id, embedding; queries: query_id, embedding. (query_id, id, distance, rank), ties by id, and the
+    ``metadata`` columns of the index. With ``skip_own`` a query does not find the row of its own id.
 
     Queries are dealt into blocks of about ``block``; every index slice meets every block in one
     task as a matrix product, and only its own k best go on to the ranking."""
     blocks = max(1, -(-queries.count() // block))
-    slices = max(8, index.rdd.getNumPartitions())
-    q = queries.select("query_id", F.col("embedding").alias("v")).withColumn("b", F.pmod(F.hash("query_id"), F.lit(blocks))).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    d = index.where("embedding is not null").select("id", F.col("embedding").alias("v")).withColumn("s", F.pmod(F.hash("id"), F.lit(slices))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    q = queries.select("query_id", F.col("embedding").alias("v")).withColumn("b", F.pmod(F.hash("query_id"), F.lit(blocks)))
+    q = q.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    d = index.where("embedding is not null").select("id", F.col("embedding").alias("v")).withColumn("s", F.pmod(F.hash("id"), F.lit(slices)))
+    d = d.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     id_type, query_type = index.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    places = k + skip_own
 
     def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
@@ -74,13 +82,17 @@ def top_k(index: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
                 dist = np.sqrt(np.maximum((y * y).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * y @ x.T, 0))
             dist = np.round(dist, 9)
             for name, row in zip(right["query_id"].tolist(), dist, strict=True):
-                near = np.flatnonzero(row <= np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1])
-                out += [(name, ids[i], float(row[i])) for i in near[np.lexsort([ids[near], row[near]])][:k]]
+                n = min(places, len(row))
+                near = np.flatnonzero(row <= np.partition(row, n - 1)[n - 1])
+                out += [(name, ids[i], float(row[i])) for i in near[np.lexsort([ids[near], row[near]])][:places]]
         return pd.DataFrame(out, columns=["query_id", "id", "distance"])
 
     found = d.groupBy("b", "s").cogroup(q.groupBy("b", "s")).applyInPandas(solve, f"query_id {query_type}, id {id_type}, distance double")
+    if skip_own:
+        found = found.where("query_id <> id")
     w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    hits = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return hits.join(index.select("id", *metadata), "id").select("query_id", "id", "distance", "rank", *metadata) if metadata else hits
 
 
 def chunk_context(hits: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
@@ -13,6 +17,7 @@ from tessera.operators import vectors as V
 from tessera.plans.graph_queries import W, tokens_sql
 from tessera.plans.registry import query, table
 from tessera.plans.star_graph import star_graph
+from tessera.runtime import Scratch
 
 #: Levels of orders, without recursion: an order's place among its customer's.
 _LEVELS = "SELECT 'order_' || o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS level FROM orders"
@@ -23,12 +28,6 @@ def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.event_levels(g.nodes.where("type = 'event'"), g.edges.where("relation = 'precedes'"))
 
 
-def _quick_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The star graph's event order is a chain a customer, so its levels are row numbers."""
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, sf_dir, "orders").select(F.lit("g0").alias("graph_id"), F.concat(F.lit("order_"), "o_orderkey").alias("id"), (F.row_number().over(w) - 1).alias("level"))
-
-
 @query(_LEVELS)
 def tmp_event_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _levels(spark, sf_dir).drop("graph_id")
@@ -62,11 +61,13 @@ def tmp_apply_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.apply_states(_impacts(spark, sf_dir)).select("node", F.explode("states").alias("s")).select("node", "s.description", "s.start", "s.end")
 
 
-def _timed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+def _timed_edges(spark: SparkSession, sf_dir: str, name: Column | None = None) -> DataFrame:
+    """Orders as rows that last until their customer's next order, by an id of their own or ``name``."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     ident = lambda c: F.concat(F.lit("order_"), c.cast("string"))
-    return o.select(F.lit("g0").alias("graph_id"), F.concat(F.lit("e"), "o_orderkey").alias("id"), F.col("o_orderpriority").alias("description"), ident(F.col("o_orderkey")).alias("time_start_event"), ident(F.lead("o_orderkey").over(w)).alias("time_end_event"))
+    own = name if name is not None else F.concat(F.lit("e"), "o_orderkey")
+    start, end = ident(F.col("o_orderkey")).alias("time_start_event"), ident(F.lead("o_orderkey").over(w)).alias("time_end_event")
+    return table(spark, sf_dir, "orders").select(F.lit("g0").alias("graph_id"), own.alias("id"), F.col("o_orderpriority").alias("description"), start, end)
 
 
 _TIMED = "SELECT 'e' || o_orderkey AS id, o_orderpriority AS description, 'order_' || o_orderkey AS s, 'order_' || lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS t FROM orders"
@@ -84,24 +85,28 @@ def tmp_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.bounds(q, star_graph(spark, sf_dir).nodes).select("query_id", "lower", "upper")
 
 
-_RANGES = "(SELECT * FROM (VALUES (1, 2, 4), (2, 6, 3), (3, NULL, 1), (4, 7, NULL)) v(query_id, l, r))"
+_RANGES = "(SELECT query_id, CASE WHEN query_id % 4 <> 2 THEN query_id % 7 + 1 END AS l, CASE WHEN query_id % 4 <> 3 THEN query_id % 5 + 2 END AS r FROM (SELECT DISTINCT conv_id AS query_id FROM conversations))"
 
 
-@query(f"WITH lv AS ({_LEVELS}), top AS (SELECT max(level) AS m FROM lv), q AS (SELECT query_id, least(coalesce(l, 0), coalesce(r, m)) AS lo, greatest(coalesce(l, 0), coalesce(r, m)) AS hi FROM {_RANGES}, top) SELECT query_id, e.id AS node FROM ({_TIMED}) e LEFT JOIN lv a ON a.id = e.s LEFT JOIN lv b ON b.id = e.t, top, q WHERE coalesce(b.level, m) >= lo AND coalesce(a.level, 0) <= hi")
+@query(f"""WITH lv AS ({_LEVELS}), top AS (SELECT max(level) AS m FROM lv), q AS (SELECT query_id, least(coalesce(l, 0), coalesce(r, m)) AS lo, greatest(coalesce(l, 0), coalesce(r, m)) AS hi FROM {_RANGES}, top)
+  SELECT query_id, count(*) AS states, min(e.id) AS first, max(e.id) AS last FROM ({_TIMED}) e LEFT JOIN lv a ON a.id = e.s LEFT JOIN lv b ON b.id = e.t, top, q WHERE coalesce(b.level, m) >= lo AND coalesce(a.level, 0) <= hi GROUP BY query_id""")
 def tmp_filter_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of levels a conversation, over the states of all customers."""
     states = _timed_edges(spark, sf_dir).select("graph_id", F.col("id").alias("node"), F.col("time_start_event").alias("start"), F.col("time_end_event").alias("end"))
-    ranges = spark.createDataFrame([("g0", 1, 2, 4), ("g0", 2, 6, 3), ("g0", 3, None, 1), ("g0", 4, 7, None)], "graph_id string, query_id int, left int, right int")
-    return T.states_within(states, _quick_levels(spark, sf_dir), ranges).select("query_id", "node")
+    asked, q = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id")).distinct(), F.col("query_id")
+    ranges = asked.select(F.lit("g0").alias("graph_id"), "query_id", F.when(q % 4 != 2, q % 7 + 1).alias("left"), F.when(q % 4 != 3, q % 5 + 2).alias("right"))
+    found = T.states_within(states, _levels(spark, sf_dir), ranges)
+    return found.groupBy("query_id").agg(F.count("*").alias("states"), F.min("node").alias("first"), F.max("node").alias("last"))
 
 
 @query(f"WITH lv AS ({_LEVELS}) SELECT e.id FROM ({_TIMED}) e LEFT JOIN lv a ON a.id = e.s WHERE coalesce(a.level, 0) <= 3")
 def tmp_edges_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.edges_as_of(_timed_edges(spark, sf_dir), _quick_levels(spark, sf_dir), 3).select("id")
+    return T.edges_as_of(_timed_edges(spark, sf_dir), _levels(spark, sf_dir), 3).select("id")
 
 
 @query(f"WITH lv AS ({_LEVELS}) SELECT e.id, CASE WHEN b.level < 2 THEN '(before ' || e.t || ')' ELSE '' END AS mark FROM ({_TIMED}) e LEFT JOIN lv a ON a.id = e.s LEFT JOIN lv b ON b.id = e.t WHERE coalesce(a.level, 0) <= 5")
 def tmp_before_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.edges_as_of(_timed_edges(spark, sf_dir), _quick_levels(spark, sf_dir), 5, 2).select("id", "mark")
+    return T.edges_as_of(_timed_edges(spark, sf_dir), _levels(spark, sf_dir), 5, 2).select("id", "mark")
 
 
 # entity resolution ------------------------------------------------------------------------------
@@ -128,12 +133,20 @@ def _clustered(spark: SparkSession, sf_dir: str, best: bool) -> DataFrame:
     return R.clusters(nodes, R.similar_pairs(nodes, 0.2), best)
 
 
-@query()
+_FIT = f"""WITH RECURSIVE sim AS MATERIALIZED (SELECT a, b, sim FROM ({_SIM}) WHERE sim >= 0.2),
+  item AS MATERIALIZED (SELECT vec_id AS id, coalesce(near, []) AS near, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings LEFT JOIN (SELECT b, list(a ORDER BY {{order}}) AS near FROM sim GROUP BY b) ON b = vec_id),
+  fold AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS id, NULL::BIGINT AS leader, []::BIGINT[] AS leaders UNION ALL
+  SELECT n.i, n.id, coalesce(n.hit, n.id), CASE WHEN n.hit IS NULL THEN list_append(n.leaders, n.id) ELSE n.leaders END
+  FROM (SELECT item.i, item.id, f.leaders, list_filter(item.near, lambda x: list_contains(f.leaders, x))[1] AS hit FROM fold f JOIN item ON item.i = f.i + 1) n)
+  SELECT id, leader FROM fold WHERE id IS NOT NULL"""
+
+
+@query(_FIT.format(order="a"))
 def er_first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clustered(spark, sf_dir, False).select("id", "leader")
 
 
-@query()
+@query(_FIT.format(order="sim DESC, a"))
 def er_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clustered(spark, sf_dir, True).select("id", "leader")
 
@@ -164,10 +177,16 @@ def vec_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.index_documents(g.nodes, g.edges).select("id", "document", F.col("metadata")["node_type"].alias("node_type"), F.col("metadata")["relation"].alias("relation"))
 
 
-@query()
+@query("SELECT p_partkey, p_name AS document, length(p_name)::FLOAT AS size, (list_sum(list_transform(string_split(p_name, ''), lambda c: unicode(c))) % 97)::FLOAT AS mark FROM part")
 def vec_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("document"))
-    return V.embed(rows, lambda texts: [[float(len(t)), float(sum(map(ord, t)) % 97)] for t in texts])
+    done = V.embed(rows, lambda texts: [[float(len(t)), float(sum(map(ord, t)) % 97)] for t in texts])
+    return done.select("p_partkey", "document", F.col("embedding")[0].alias("size"), F.col("embedding")[1].alias("mark"))
+
+
+@query("SELECT vec_id AS id FROM embeddings")
+def vec_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.ids(_index(spark, sf_dir, False).unionByName(_index(spark, sf_dir, True)))
 
 
 @query("SELECT vec_id AS id, label::VARCHAR AS document FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT vec_id, label::VARCHAR FROM embeddings WHERE vec_id % 2 = 1")
@@ -182,9 +201,9 @@ def vec_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.upsert(a, a.where("id % 3 = 0").withColumn("document", F.lit("new"))).select("id", "document")
 
 
-@query("SELECT vec_id AS id FROM embeddings WHERE vec_id % 2 = 0 AND label <> 3")
+@query("SELECT vec_id AS id FROM embeddings WHERE label <> 3")
 def vec_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _index(spark, sf_dir, False)
+    a = _index(spark, sf_dir, False).unionByName(_index(spark, sf_dir, True))
     return V.delete(a, a.where("document = '3'")).select("id")
 
 
@@ -202,17 +221,19 @@ def vec_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.sync_plan(now, old).select("id", "action")
 
 
-_TOP = "SELECT q.vec_id AS query_id, d.vec_id AS id, round(1 - list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 9) AS distance FROM (SELECT * FROM embeddings WHERE vec_id < 20) q, embeddings d WHERE d.vec_id >= 20"
+_TOP = """SELECT q.vec_id AS query_id, d.vec_id AS id, d.label, round(1 - list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 9) AS distance
+  FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0"""
 
 
-def _hits(spark: SparkSession, sf_dir: str, k: int, metric: str = "cosine") -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    return V.top_k(e.where("vec_id >= 20").select(F.col("vec_id").alias("id"), "embedding"), e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), k, metric)
+def _hits(spark: SparkSession, sf_dir: str, k: int, metric: str = "cosine", metadata: list[str] | None = None) -> DataFrame:
+    """Every row whose id is divisible by 50 asks all rows but its own."""
+    e = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
+    return V.top_k(e, e.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding"), k, metric, metadata=metadata, skip_own=True)
 
 
-@query(f"SELECT query_id, id, round(distance, 6) AS distance, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS r FROM ({_TOP})) WHERE r <= 5")
+@query(f"SELECT query_id, id, round(distance, 6) AS distance, r AS rank, label FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS r FROM ({_TOP})) WHERE r <= 5")
 def vec_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits(spark, sf_dir, 5).withColumn("distance", F.round("distance", 6))
+    return _hits(spark, sf_dir, 5, metadata=["label"]).withColumn("distance", F.round("distance", 6))
 
 
 @query(f"SELECT query_id, string_agg('chunk ' || id, chr(10) || chr(10) ORDER BY r) AS context FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS r FROM ({_TOP})) WHERE r <= 3 GROUP BY query_id")
@@ -222,83 +243,127 @@ def vec_chunk_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # retrieval --------------------------------------------------------------------------------------
-def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vector v stands for customer 1 + v mod the number of customers."""
-    g, n = star_graph(spark, sf_dir), table(spark, sf_dir, "customer").count()
-    hits = _hits(spark, sf_dir, 5).select("query_id", (1 - F.col("distance")).alias("score"), F.concat(F.lit("customer_"), F.col("id") % n + 1).alias("id"), F.lit("node").alias("type"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("target"))
-    return Q.entry_nodes(hits, g.nodes, 0.0)
-
-
-_HIT = f"SELECT query_id, 'customer_' || (1 + id % (SELECT count(*) FROM customer)) AS id, 1 - distance AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS r FROM ({_TOP})) WHERE r <= 5"
-_ENTRY = f"ent AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, max(score) AS score FROM ({_HIT}) WHERE score >= 0 AND id IN (SELECT id FROM nodes) GROUP BY query_id, id))"
-_NEAR = "near AS (SELECT e.query_id, g.target AS id, min(g.weight) AS score, min_by(g.source, e.rank) AS owner FROM ent e JOIN edges g ON g.source = e.id WHERE NOT EXISTS (SELECT 1 FROM ent x WHERE x.query_id = e.query_id AND x.id = g.target) GROUP BY e.query_id, g.target)"
+_COUNT = "(SELECT count(*) FROM customer)"
+#: A hit stands for a customer, a nation, a region, or an edge from a customer to a nation.
+_HIT = f"""hit AS MATERIALIZED (SELECT query_id, 1 - distance AS score, CASE id % 4 WHEN 3 THEN 'edge' ELSE 'node' END AS type,
+  CASE id % 4 WHEN 0 THEN 'customer_' || (1 + id % {_COUNT}) WHEN 1 THEN 'nation_' || (id % 25) WHEN 2 THEN 'region_' || (id % 5) END AS id,
+  'customer_' || (1 + id % {_COUNT}) AS source, 'nation_' || (id % 25) AS target
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS r FROM ({_TOP})) WHERE r <= 5)"""
+_ENTRY = f"""{_HIT}, ent AS MATERIALIZED (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+  FROM (SELECT query_id, id, max(score) AS score FROM (SELECT query_id, score, unnest(CASE type WHEN 'edge' THEN [source, target] ELSE [id] END) AS id FROM hit WHERE score >= 0)
+  WHERE id IN (SELECT id FROM nodes) GROUP BY query_id, id))"""
+_NEAR = """near AS MATERIALIZED (SELECT e.query_id, g.target AS id, min(g.weight) AS score, min_by(g.source, e.rank) AS owner FROM ent e JOIN edges g ON g.source = e.id
+  WHERE NOT EXISTS (SELECT 1 FROM ent x WHERE x.query_id = e.query_id AND x.id = g.target) GROUP BY e.query_id, g.target)"""
+_G = W.rstrip().replace("nodes AS (", "nodes AS MATERIALIZED (", 1).replace("edges AS (", "edges AS MATERIALIZED (", 1)
+
+
+def _entries(spark: SparkSession, sf_dir: str, nodes: DataFrame) -> DataFrame:
+    n = table(spark, sf_dir, "customer").count()
+    named = lambda kind, key: F.concat(F.lit(f"{kind}_"), key.cast("string"))
+    kind, customer, nation = F.col("id") % 4, named("customer", F.col("id") % n + 1), named("nation", F.col("id") % 25)
+    node = F.when(kind == 0, customer).when(kind == 1, nation).when(kind == 2, named("region", F.col("id") % 5))
+    hits = _hits(spark, sf_dir, 5).select("query_id", (1 - F.col("distance")).alias("score"), F.when(kind == 3, "edge").otherwise("node").alias("type"), customer.alias("source"), nation.alias("target"), node.alias("id"))
+    return Q.entry_nodes(hits, nodes, 0.0)
+
+
+@dataclass
+class _Asked:
+    """The graph and the entries of all questions, each written once."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    entries: DataFrame
+    work: Scratch
+
+
+@contextmanager
+def _asking(spark: SparkSession, sf_dir: str) -> Iterator[_Asked]:
+    g = star_graph(spark, sf_dir)
+    with Scratch(spark) as work:
+        nodes = work.keep(g.nodes, "nodes")
+        yield _Asked(nodes, work.keep(g.edges, "edges"), work.keep(_entries(spark, sf_dir, nodes), "entries"), work)
 
 
-@query(f"{W.rstrip()}, {_ENTRY} SELECT query_id, id, round(score, 6) AS score, rank FROM ent")
+@query(f"{_G}, {_ENTRY} SELECT query_id, id, round(score, 6) AS score, rank FROM ent")
 def ret_entry_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _entries(spark, sf_dir).withColumn("score", F.round("score", 6))
+    return _entries(spark, sf_dir, star_graph(spark, sf_dir).nodes).withColumn("score", F.round("score", 6))
 
 
-@query(f"{W.rstrip()}, {_ENTRY}, {_NEAR} SELECT * FROM near")
+@query(f"{_G}, {_ENTRY}, {_NEAR} SELECT * FROM near")
 def ret_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = star_graph(spark, sf_dir)
-    return Q.expand(_entries(spark, sf_dir), g.edges, g.nodes)[0]
+    with _asking(spark, sf_dir) as a:
+        return a.work.release(Q.expand(a.entries, a.edges, a.nodes)[0])
 
 
-@query(f"{W.rstrip()}, {_ENTRY} SELECT a.query_id, a.id AS start, b.id AS stop FROM ent a JOIN ent b ON a.query_id = b.query_id AND a.rank < b.rank")
-def ret_entry_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.entry_pairs(_entries(spark, sf_dir))
+_PAIRED = "SELECT a.query_id, a.id AS start, b.id AS stop FROM ent a JOIN ent b ON a.query_id = b.query_id AND a.rank < b.rank"
 
 
-_STARTS = "SELECT n_nationkey AS query_id, 'nation_' || n_nationkey AS start, 'nation_' || ((n_nationkey + 5) % 25) AS stop FROM nation UNION ALL SELECT 100 + n_nationkey, 'nation_' || n_nationkey, 'nation_' || n_nationkey FROM nation"
-_PATHS = f"""RECURSIVE {W[5:].rstrip()}, deg AS (SELECT source, count(*) AS d FROM edges GROUP BY source), st AS ({_STARTS}), walk AS (SELECT query_id, start, stop, start AS here, [start] AS ns, []::VARCHAR[] AS es, 1.0::DOUBLE AS score, 0 AS n FROM st UNION ALL
-  SELECT w.query_id, w.start, w.stop, e.target, list_append(w.ns, e.target), list_append(w.es, e.id), 0.7 * w.score / d, n + 1 FROM walk w JOIN edges e ON e.source = w.here JOIN deg ON deg.source = w.here WHERE w.here <> w.stop AND n < 5 AND NOT list_contains(w.ns, e.target) AND 0.7 * w.score / d >= 0.01),
-  pth AS (SELECT query_id, start, stop, ns, es, score FROM walk WHERE here = stop)"""
+@query(f"{_G}, {_ENTRY} {_PAIRED}")
+def ret_entry_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.entry_pairs(_entries(spark, sf_dir, star_graph(spark, sf_dir).nodes))
 
 
-def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation")
-    k = F.col("n_nationkey")
-    name = lambda c: F.concat(F.lit("nation_"), c.cast("string"))
-    starts = n.select(k.alias("query_id"), name(k).alias("start"), name((k + 5) % 25).alias("stop")).unionByName(n.select((k + 100).alias("query_id"), name(k).alias("start"), name(k).alias("stop")))
-    return Q.paths(starts, star_graph(spark, sf_dir).edges)
+_PATHS = f"""WITH RECURSIVE {_G[5:]}, {_ENTRY}, deg AS MATERIALIZED (SELECT source, count(*) AS d FROM edges GROUP BY source), st AS ({_PAIRED}),
+  walk AS (SELECT query_id, start, stop, start AS here, [start] AS ns, []::VARCHAR[] AS es, 1.0::DOUBLE AS score, 0 AS n FROM st UNION ALL
+  SELECT w.query_id, w.start, w.stop, e.target, list_append(w.ns, e.target), list_append(w.es, e.id), 0.7 * w.score / d, n + 1
+  FROM walk w JOIN edges e ON e.source = w.here JOIN deg ON deg.source = w.here WHERE w.here <> w.stop AND n < 5 AND NOT list_contains(w.ns, e.target) AND 0.7 * w.score / d >= 0.01),
+  pth AS MATERIALIZED (SELECT query_id, start, stop, ns, es, score FROM walk WHERE here = stop)"""
 
 
-@query(f"WITH {_PATHS} SELECT query_id, start, stop, array_to_string(ns, '>') AS way, round(score, 6) AS score FROM pth")
+@query(f"{_PATHS} SELECT query_id, start, stop, array_to_string(ns, '>') AS way, round(score, 6) AS score FROM pth")
 def ret_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _paths(spark, sf_dir).select("query_id", "start", "stop", F.array_join("nodes", ">").alias("way"), F.round("score", 6).alias("score"))
+    with _asking(spark, sf_dir) as a:
+        found = Q.paths(Q.entry_pairs(a.entries), a.edges)
+        return a.work.release(found.select("query_id", "start", "stop", F.array_join("nodes", ">").alias("way"), F.round("score", 6).alias("score")))
+
+
+_PATH_TEXT = """nm AS (SELECT p.*, row_number() OVER (PARTITION BY query_id, start, stop ORDER BY es DESC) AS number FROM pth p),
+  ptx AS MATERIALIZED (SELECT query_id, start, stop, number, any_value(score) AS score, string_agg(t, ' - ' ORDER BY i) AS text FROM (
+  SELECT query_id, start, stop, number, score, 2 * i AS i, n.name AS t FROM (SELECT *, unnest(range(1, len(ns) + 1)) AS i FROM nm) x JOIN nodes n ON n.id = x.ns[x.i] UNION ALL
+  SELECT query_id, start, stop, number, score, 2 * i + 1, e.relation FROM (SELECT *, unnest(range(1, len(es) + 1)) AS i FROM nm) x JOIN edges e ON e.id = x.es[x.i])
+  GROUP BY query_id, start, stop, number)"""
 
 
-@query(f"WITH {_PATHS}, nm AS (SELECT p.*, row_number() OVER (PARTITION BY query_id, start, stop ORDER BY es DESC) AS number FROM pth p) SELECT query_id, number, string_agg(t, ' - ' ORDER BY i) AS text FROM (SELECT query_id, start, stop, number, 2 * i AS i, n.name AS t FROM (SELECT *, unnest(range(1, len(ns) + 1)) AS i FROM nm) x JOIN nodes n ON n.id = x.ns[x.i] UNION ALL SELECT query_id, start, stop, number, 2 * i + 1, e.relation FROM (SELECT *, unnest(range(1, len(es) + 1)) AS i FROM nm) x JOIN edges e ON e.id = x.es[x.i]) GROUP BY query_id, start, stop, number")
+@query(f"{_PATHS}, {_PATH_TEXT} SELECT query_id, start, stop, number, text FROM ptx")
 def ret_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = star_graph(spark, sf_dir)
-    return Q.path_texts(_paths(spark, sf_dir), g.nodes, g.edges).select("query_id", "number", "text")
+    with _asking(spark, sf_dir) as a:
+        found = Q.path_texts(Q.paths(Q.entry_pairs(a.entries), a.edges), a.nodes, a.edges)
+        return a.work.release(found.select("query_id", "start", "stop", "number", "text"))
+
 
+_PATH_NODES = """pnd AS (SELECT query_id, id, max(score) AS score FROM (SELECT query_id, score, unnest(ns) AS id FROM pth) p
+  WHERE NOT EXISTS (SELECT 1 FROM ent x WHERE x.query_id = p.query_id AND x.id = p.id) AND NOT EXISTS (SELECT 1 FROM near x WHERE x.query_id = p.query_id AND x.id = p.id) GROUP BY query_id, id)"""
+_SCORED = ["query_id", "id", "score"]
 
-@query(f"WITH {_PATHS} SELECT query_id, id, max(score) AS score FROM (SELECT query_id, score, start, unnest(ns) AS id FROM pth) WHERE id <> 'nation_' || (query_id % 100) GROUP BY query_id, id")
+
+@query(f"{_PATHS}, {_NEAR}, {_PATH_NODES} SELECT query_id, id, round(score, 6) AS score FROM pnd")
 def ret_path_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _paths(spark, sf_dir)
-    return Q.path_nodes(found, found.select("query_id", F.concat(F.lit("nation_"), (F.col("query_id") % 100).cast("string")).alias("id")).distinct())
+    with _asking(spark, sf_dir) as a:
+        near, _ = Q.expand(a.entries, a.edges, a.nodes)
+        found = Q.path_nodes(Q.paths(Q.entry_pairs(a.entries), a.edges), a.entries.select(*_SCORED).unionByName(near.select(*_SCORED)))
+        return a.work.release(found.withColumn("score", F.round("score", 6)))
 
 
-_TEXTS = f"txt AS (SELECT c.query_id, c.id, c.score, n.name || '. ' || n.base_description AS text, {tokens_sql(chr(110) + '.name || ' + chr(39) + '. ' + chr(39) + ' || n.base_description')} AS tokens FROM (SELECT query_id, id, score FROM ent UNION ALL SELECT query_id, id, score FROM near) c JOIN nodes n ON n.id = c.id)"
+def _texts_sql(candidates: str, about: str = "n.base_description", more: str = "") -> str:
+    said = f"n.name || '. ' || {about}"
+    return f"txt AS MATERIALIZED (SELECT c.query_id, c.id, c.score, {said} AS text, {tokens_sql(said)} AS tokens FROM ({candidates}) c JOIN nodes n ON n.id = c.id {more})"
 
 
-def _node_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = star_graph(spark, sf_dir)
-    entries = _entries(spark, sf_dir)
-    near, _ = Q.expand(entries, g.edges, g.nodes)
-    return Q.node_texts(entries.select("query_id", "id", "score").unionByName(near.select("query_id", "id", "score")), g.nodes)
+_BOTH = "SELECT query_id, id, score FROM ent UNION ALL SELECT query_id, id, score FROM near"
 
 
-@query(f"{W.rstrip()}, {_ENTRY}, {_NEAR}, {_TEXTS} SELECT query_id, id, text, tokens FROM txt")
+@query(f"{_G}, {_ENTRY}, {_NEAR}, {_texts_sql(_BOTH)} SELECT query_id, id, text, tokens FROM txt")
 def ret_node_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _node_texts(spark, sf_dir).drop("score")
+    with _asking(spark, sf_dir) as a:
+        near, _ = Q.expand(a.entries, a.edges, a.nodes)
+        return a.work.release(Q.node_texts(a.entries.select(*_SCORED).unionByName(near.select(*_SCORED)), a.nodes).drop("score"))
 
 
-@query("SELECT vec_id AS query_id, 500 AS nodes, 300 AS edges, 200 AS paths, 0 AS history FROM embeddings WHERE vec_id < 20")
+@query("SELECT conv_id AS query_id, history, 500 - 100 * history::INT AS nodes, 300 - 100 * history::INT AS edges, 200 - 100 * history::INT AS paths, 300 * history::INT AS events FROM (SELECT DISTINCT conv_id, unnest([true, false]) AS history FROM conversations)")
 def ret_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.budgets(table(spark, sf_dir, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id")), 1000, False)
+    asked = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id")).distinct()
+    parts = [Q.budgets(asked, 1000, h).withColumnRenamed("history", "events").withColumn("history", F.lit(h)) for h in (True, False)]
+    return parts[0].unionByName(parts[1])
 
 
 @query(f"""WITH RECURSIVE it AS (SELECT conv_id AS q, turn, {tokens_sql('text')} AS tok, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS i FROM conversations), fold AS (SELECT q, i, turn, tok <= 300 AS ok, CASE WHEN tok <= 300 THEN 300 - tok ELSE 300 END AS rest FROM it WHERE i = 1
@@ -309,49 +374,124 @@ def ret_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.pack(items, c.select(F.col("conv_id").alias("query_id"), F.lit(300).alias("budget")).distinct()).select("query_id", "id")
 
 
-@query(f"{W.rstrip()}, {_ENTRY} SELECT e.query_id, g.id FROM ent e JOIN edges g ON g.source = e.id JOIN (SELECT query_id, target AS id FROM ent JOIN edges ON source = ent.id WHERE relation = 'lives in') k ON k.query_id = e.query_id AND k.id = g.target GROUP BY e.query_id, g.id")
+@query(f"{_G}, {_ENTRY} SELECT e.query_id, g.id FROM ent e JOIN edges g ON g.source = e.id JOIN (SELECT query_id, target AS id FROM ent JOIN edges ON source = ent.id WHERE relation IN ('lives in', 'located in') UNION SELECT query_id, id FROM ent) k ON k.query_id = e.query_id AND k.id = g.target GROUP BY e.query_id, g.id")
 def ret_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = star_graph(spark, sf_dir)
-    entries = _entries(spark, sf_dir)
-    out = entries.select("query_id", F.col("id").alias("source")).join(g.edges, "source").select("query_id", "source", "target", "id", "relation")
-    packed = entries.select("query_id", "id").unionByName(out.where("relation = 'lives in'").select("query_id", F.col("target").alias("id")))
-    return Q.between_packed(out, packed).select("query_id", "id").where(~F.col("id").contains(" participates in ")).distinct()
+    with _asking(spark, sf_dir) as a:
+        out = a.entries.select("query_id", F.col("id").alias("source")).join(a.edges, "source").select("query_id", "source", "target", "id", "relation")
+        packed = a.entries.select("query_id", "id").unionByName(out.where("relation in ('lives in', 'located in')").select("query_id", F.col("target").alias("id")))
+        return a.work.release(Q.between_packed(out, packed).select("query_id", "id").distinct())
 
 
-@query("SELECT o_custkey AS query_id, string_agg('Order ' || o_orderkey, chr(10) ORDER BY o_orderdate, o_orderkey) AS text FROM orders GROUP BY o_custkey")
-def ret_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id"), F.row_number().over(w).alias("level"), F.concat(F.lit("Order "), "o_orderkey").alias("id"), F.concat(F.lit("Order "), "o_orderkey").alias("text"))
-    return Q.history(rows, 10_000)
+_ORDERED = "SELECT o_custkey AS query_id, 'Order ' || o_orderkey AS text, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS level FROM orders"
 
 
-@query()
-def ret_history_over_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _customer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id"), F.row_number().over(w).alias("level"), F.concat(F.lit("Order "), "o_orderkey").alias("id"), F.concat(F.lit("Order "), "o_orderkey").alias("text"))
-    return Q.history(rows, 20)
+    name = F.concat(F.lit("Order "), "o_orderkey")
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id"), F.row_number().over(w).alias("level"), name.alias("id"), name.alias("text"))
 
 
-def _context(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:
-    g = star_graph(spark, sf_dir)
-    entries = _entries(spark, sf_dir)
-    near, texts = Q.expand(entries, edges, g.nodes)
-    queries = table(spark, sf_dir, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"))
-    shares = Q.budgets(queries, 600, False)
-    own = Q.node_texts(entries.select("query_id", "id", "score").unionByName(near.select("query_id", "id", "score")), g.nodes)
-    nodes = Q.pack(own, shares.select("query_id", F.col("nodes").alias("budget")))
-    lines = Q.between_packed(texts, nodes).select("query_id", F.concat_ws(" ", "source", "target").alias("id"), F.col("weight").alias("score"), X.tokens(F.col("text")).alias("tokens"), "text")
-    return Q.context({"NODES": nodes, "EDGES": Q.pack(lines, shares.select("query_id", F.col("edges").alias("budget")))}, queries)
+def _history_sql(events: str, budget: int, seed: int = 7) -> str:
+    """events: query_id, level, id, text."""
+    return f"""SELECT query_id, string_agg(text, chr(10) ORDER BY i) AS text FROM (
+  SELECT *, sum(tok) OVER (PARTITION BY query_id) - coalesce(sum(CASE WHEN middle THEN tok ELSE 0 END) OVER (PARTITION BY query_id ORDER BY CASE WHEN middle THEN 0 ELSE 1 END, md5('{seed}' || id), id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_
+  FROM (SELECT *, i > 1 AND i < n AS middle FROM (SELECT *, {tokens_sql('text')} AS tok, row_number() OVER (PARTITION BY query_id ORDER BY level, id) AS i, count(*) OVER (PARTITION BY query_id) AS n FROM ({events})))) WHERE NOT middle OR left_ <= {budget} GROUP BY query_id"""
+
+
+@query("SELECT o_custkey AS query_id, string_agg('Order ' || o_orderkey, chr(10) ORDER BY o_orderdate, o_orderkey) AS text FROM orders GROUP BY o_custkey")
+def ret_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.history(_customer_events(spark, sf_dir), 10_000)
 
 
-@query()
+@query(_history_sql(f"SELECT *, text AS id FROM ({_ORDERED})", 20))
+def ret_history_over_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.history(_customer_events(spark, sf_dir), 20)
+
+
+_UPPER, _LOWER = 3, 1
+
+
+def _timed(edges: DataFrame) -> DataFrame:
+    """An order's edges start with it; 'participates in' ends with the customer's next order."""
+    order = F.when(F.col("source").startswith("order_"), F.col("source")).when(F.col("target").startswith("order_"), F.col("target"))
+    next_ = edges.where("relation = 'precedes'").select(F.col("source").alias("__o"), F.col("target").alias("__n"))
+    rows = edges.withColumn("time_start_event", order).join(next_, (F.col("time_start_event") == F.col("__o")) & (F.col("relation") == "participates in"), "left")
+    return rows.withColumn("time_end_event", F.col("__n")).drop("__o", "__n")
+
+
+def _context(spark: SparkSession, sf_dir: str, timed: bool) -> DataFrame:
+    with _asking(spark, sf_dir) as a:
+        levels = a.work.keep(_levels(spark, sf_dir), "levels")
+        edges, states = a.edges, None
+        queries = a.entries.select("query_id").distinct()
+        if timed:
+            edges = a.work.keep(T.edges_as_of(_timed(a.edges), levels, _UPPER, _LOWER), "edges")
+            own = _timed_edges(spark, sf_dir, F.concat(F.lit("customer_"), "o_custkey")).withColumnsRenamed({"id": "node", "time_start_event": "start", "time_end_event": "end"})
+            ranges = queries.select(F.lit("g0").alias("graph_id"), "query_id", F.lit(_LOWER).alias("left"), F.lit(_UPPER).alias("right"))
+            wanted = a.entries.select(F.col("id").alias("node")).distinct()
+            states = T.states_within(own.join(wanted, "node", "left_semi"), levels, ranges)
+        near, texts = Q.expand(a.entries, edges, a.nodes)
+        near = a.work.keep(near, "near")
+        found = a.work.keep(Q.paths(Q.entry_pairs(a.entries), edges), "paths")
+        candidates = a.entries.select(*_SCORED).unionByName(near.select(*_SCORED))
+        candidates = candidates.unionByName(Q.path_nodes(found, candidates))
+        shares = Q.budgets(queries, 1000, True)
+        share = lambda name: shares.select("query_id", F.col(name).alias("budget"))
+        nodes = a.work.keep(Q.pack(Q.node_texts(candidates, a.nodes, states), share("nodes")), "packed")
+        item = lambda name, score: [F.concat_ws(" ", *name).alias("id"), F.col(score).alias("score"), X.tokens(F.col("text")).alias("tokens"), "text"]
+        lines = Q.between_packed(texts, nodes).select("query_id", *item(["source", "target"], "weight"))
+        ways = Q.between_packed(Q.path_texts(found, a.nodes, edges), nodes, ("start", "stop")).select("query_id", *item(["start", "stop", "number"], "score"))
+        events = a.nodes.where("type = 'event'").join(levels.select("id", "level"), "id")
+        said = F.concat_ws(". ", "name", F.col("base_attributes")["time"], "base_description")
+        # one history a graph, for all its queries
+        world = Q.history(events.select(F.col("graph_id").alias("query_id"), "id", "level", said.alias("text")), 300)
+        world = queries.withColumn("graph_id", F.lit("g0")).join(world.withColumnRenamed("query_id", "graph_id"), "graph_id").select("query_id", F.lit(0).alias("place"), "text")
+        blocks = {"NODES": nodes, "EDGES": Q.pack(lines, share("edges")), "PATHS": Q.pack(ways, share("paths")), "HISTORY": world}
+        return a.work.release(Q.context(blocks, queries))
+
+
+def _pack_sql(name: str, items: str, budget: int) -> str:
+    """Greedy packing of items (query_id, id, score, tokens, text), as lists of (id, x)."""
+    return f"""{name} AS MATERIALIZED (SELECT query_id, list_reduce(list({{'t': tokens, 'id': id, 'x': text}} ORDER BY -score, id, tokens, text),
+  lambda acc, x: CASE WHEN x.t <= acc.l THEN {{'l': acc.l - x.t, 'k': list_append(acc.k, {{'id': x.id, 'x': x.x}})}} ELSE acc END,
+  {{'l': {budget}::BIGINT, 'k': []::STRUCT(id VARCHAR, x VARCHAR)[]}}).k AS k FROM ({items}) GROUP BY query_id)"""
+
+
+def _context_sql(timed: bool) -> str:
+    graph, state, about, mark = _PATHS, "", "n.base_description", "''"
+    if timed:
+        first = "CASE WHEN source LIKE 'order_%' THEN source WHEN target LIKE 'order_%' THEN target END"
+        graph = graph.replace("edges AS MATERIALIZED (", "every AS MATERIALIZED (", 1).replace(f", {_HIT}", f""", lv AS MATERIALIZED ({_LEVELS}),
+  nxt AS (SELECT source AS o, target AS n FROM every WHERE relation = 'precedes'),
+  edges AS MATERIALIZED (SELECT v.*, CASE WHEN z.level < {_LOWER} THEN '(before ' || n || ')' ELSE '' END AS mark FROM (SELECT *, {first} AS s FROM every) v
+    LEFT JOIN nxt ON nxt.o = v.s AND v.relation = 'participates in' LEFT JOIN lv y ON y.id = v.s LEFT JOIN lv z ON z.id = nxt.n WHERE coalesce(y.level, 0) <= {_UPPER}), {_HIT}""", 1)
+        state = f""", top AS (SELECT max(level) AS m FROM lv), st8 AS (SELECT 'customer_' || o.o_custkey AS node, string_agg(e.description, ' ' ORDER BY e.s, e.description) AS told
+  FROM ({_TIMED}) e JOIN orders o ON 'e' || o.o_orderkey = e.id LEFT JOIN lv a ON a.id = e.s LEFT JOIN lv b ON b.id = e.t, top
+  WHERE coalesce(b.level, m) >= least({_LOWER}, {_UPPER}) AND coalesce(a.level, 0) <= {_UPPER} GROUP BY 1)"""
+        about, mark = "coalesce(st.told, n.base_description)", "edges.mark"
+    texts = _texts_sql(f"{_BOTH} UNION ALL SELECT query_id, id, score FROM pnd", about, "LEFT JOIN st8 st ON st.node = c.id AND EXISTS (SELECT 1 FROM ent x WHERE x.id = c.id)" if timed else "")
+    marked = f"trim({mark} || ' ' || a.name || ' ' || edges.relation || ' ' || b.name || '. ' || edges.description)" if timed else "a.name || ' ' || edges.relation || ' ' || b.name || '. ' || edges.description"
+    line = f"""SELECT query_id, source || ' ' || target AS id, weight AS score, text, {tokens_sql('text')} AS tokens FROM (
+  SELECT e.query_id, source, target, weight, {marked} AS text, row_number() OVER (PARTITION BY e.query_id, source, target ORDER BY weight DESC, edges.id) AS r
+  FROM ent e JOIN edges ON source = e.id JOIN nodes a ON a.id = source JOIN nodes b ON b.id = target WHERE NOT EXISTS (SELECT 1 FROM ent x WHERE x.query_id = e.query_id AND x.id = target)) t
+  WHERE r = 1 AND (query_id, source) IN (SELECT * FROM held) AND (query_id, target) IN (SELECT * FROM held)"""
+    way = f"""SELECT query_id, start || ' ' || stop || ' ' || number AS id, score, text, {tokens_sql('text')} AS tokens FROM ptx
+  WHERE (query_id, start) IN (SELECT * FROM held) AND (query_id, stop) IN (SELECT * FROM held)"""
+    events = f"""SELECT 'g0' AS query_id, n.id, level, n.name || '. ' || strftime(o_orderdate, '%Y-%m-%d') || '. ' || n.base_description AS text
+  FROM nodes n JOIN ({_LEVELS}) l ON l.id = n.id JOIN orders ON 'order_' || o_orderkey = n.id"""
+    said = lambda k: f"coalesce(array_to_string(list_transform({k}.k, lambda x: x.x), chr(10)), '')"
+    return f"""{graph}{state}, {_NEAR}, {_PATH_NODES}, {_PATH_TEXT}, {texts}, {_pack_sql('pn', 'SELECT * FROM txt', 400)}, held AS MATERIALIZED (SELECT query_id, unnest(k).id AS id FROM pn),
+  {_pack_sql('pe', line, 200)}, {_pack_sql('pp', way, 100)}, world AS ({_history_sql(events, 300)})
+  SELECT q.query_id, 'NODES:' || chr(10) || {said('pn')} || chr(10) || chr(10) || 'EDGES:' || chr(10) || {said('pe')} || chr(10) || chr(10) || 'PATHS:' || chr(10) || {said('pp')} || chr(10) || chr(10) || 'HISTORY:' || chr(10) || w.text AS context
+  FROM (SELECT DISTINCT query_id FROM ent) q LEFT JOIN pn USING (query_id) LEFT JOIN pe USING (query_id) LEFT JOIN pp USING (query_id), world w"""
+
+
+@query(_context_sql(False))
 def ret_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _context(spark, sf_dir, star_graph(spark, sf_dir).edges)
+    return _context(spark, sf_dir, False)
 
 
-@query()
+@query(_context_sql(True))
 def ret_context_timed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ret_context, over the edges that have begun by level 3."""
-    g = star_graph(spark, sf_dir)
-    timed = g.edges.withColumn("time_start_event", F.when(F.col("relation") == "participates in", F.col("target"))).withColumn("time_end_event", F.lit(None).cast("string"))
-    return _context(spark, sf_dir, T.edges_as_of(timed, _quick_levels(spark, sf_dir), 3))
+    """As ret_context between two levels: edges that have begun, marked where they ended before, and nodes' states."""
+    return _context(spark, sf_dir, True)

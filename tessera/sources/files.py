@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import Graph
@@ -24,9 +24,12 @@ def load_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -
     rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
     if missing := set(columns or []) - set(rows.columns):
         raise ValueError(f"no column {sorted(missing)} in {path}")
-    text = F.concat_ws("\n", *columns) if columns else F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c), F.lit(""))) for c in rows.columns])
+    named = [F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c), F.lit(""))) for c in rows.columns]
+    text = F.concat_ws("\n", *(columns or named))
     rows = rows.select(F.col("_metadata.file_path").alias("source"), F.monotonically_increasing_id().alias("m"), text.alias("text"))
-    return rows.select("source", (F.row_number().over(Window.partitionBy("source").orderBy("m")) - 1).alias("row_index"), "text")
+    # such files are not split: a file's rows have consecutive numbers from its first one on
+    first = rows.groupBy("source").agg(F.min("m").alias("first"))
+    return rows.join(first, "source").select("source", (F.col("m") - F.col("first")).alias("row_index"), "text")
 
 
 def from_strings(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -40,9 +43,9 @@ def load_folder(spark: SparkSession, path: str) -> DataFrame:
     return csv.unionByName(plain)
 
 
-def read_graph(spark: SparkSession, path: str) -> Graph:
-    """Snapshots (one JSON object a file or line) of any version: nodes, edges and header by graph_id (default: the file)."""
-    raw = spark.read.json(path, schema=SNAPSHOT, multiLine=True).withColumn("graph_id", F.coalesce("graph_id", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)))
+def read_graph(spark: SparkSession, path: str, lines: bool = False) -> Graph:
+    """Snapshots (one JSON object a file, or a line) of any version: nodes, edges and header by graph_id (default: the file)."""
+    raw = spark.read.json(path, schema=SNAPSHOT, multiLine=not lines).withColumn("graph_id", F.coalesce("graph_id", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)))
     n = raw.select("graph_id", F.explode("nodes").alias("n"))
     empty = F.create_map().cast("map<string,string>")
     nodes = n.select("graph_id", "n.id", "n.name", "n.type", F.coalesce("n.base_description", "n.description").alias("base_description"), F.coalesce("n.base_attributes", "n.attributes", empty).alias("base_attributes"), F.coalesce("n.states", F.array().cast(f"array<{STATE}>")).alias("states"), F.coalesce("n.chunk_id", F.array().cast("array<bigint>")).alias("chunk_id"))
@@ -56,8 +59,13 @@ def write_graph(g: Graph, path: str) -> None:
     g.edges.write.partitionBy("graph_id").mode("overwrite").parquet(f"{path}/edges")
 
 
-def export_graph(g: Graph) -> DataFrame:
-    """(graph_id, value): one JSON snapshot a graph, for graphs that fit a row."""
+def export_graph(g: Graph, most: int = 1_000_000) -> DataFrame:
+    """(graph_id, value): one JSON snapshot a graph. A graph of more than ``most`` nodes and edges does not fit a
+    row: it is refused, and ``write_graph`` is the form for it."""
+    size = lambda rows: rows.groupBy("graph_id").count()
+    large = size(g.nodes).union(size(g.edges)).groupBy("graph_id").agg(F.sum("count").alias("n")).where(F.col("n") > most)
+    if large.limit(1).count():
+        raise ValueError(f"graph {large.first()['graph_id']} has more than {most} nodes and edges")
     gather = lambda rows, name: rows.groupBy("graph_id").agg(F.collect_list(F.struct(*[c for c in rows.columns if c != "graph_id"])).alias(name))
     both = gather(g.nodes, "nodes").join(gather(g.edges, "edges"), "graph_id", "full_outer")
     return both.select("graph_id", F.to_json(F.struct("graph_id", "nodes", "edges")).alias("value"))

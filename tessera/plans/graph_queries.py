@@ -179,34 +179,39 @@ def fn_label_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", X.label_type(raw, {"person": "group"}).alias("type"))
 
 
-def first_words(n: str = "1 + doc_id % 5", text: str = "text") -> str:
-    return f"array_to_string(list_slice(string_split(regexp_replace({text}, '\\s+', ' ', 'g'), ' '), 1, CAST({n} AS INT)), ' ')"
-
-
-def _first_words() -> object:
-    return F.array_join(F.slice(F.split(F.regexp_replace("text", r"\s+", " "), " "), F.lit(1), (F.col("doc_id") % 5 + 1).cast("int")), " ")
-
-
 def _in(words: list[str]) -> str:
     return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
-_SPANS = f"SELECT doc_id, {first_words()} AS span FROM documents"
+_SPANS = r"""SELECT doc_id, p, array_to_string(list_slice(w, 1 + p, 1 + p + p % 4), ' ') AS span
+  FROM (SELECT doc_id, w, unnest(range(0, len(w), 5)) AS p FROM (SELECT doc_id, string_split(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS w FROM documents))"""
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From every fifth word of the whole text a span of one to four words: doc_id, p, span."""
+    words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
+    rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).where("w is not null")
+    rows = rows.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 5).cast("int"))).alias("k"))
+    p = F.col("k") * 5
+    return rows.select("doc_id", p.alias("p"), F.array_join(F.slice("w", p + 1, p % 4 + 1), " ").alias("span"))
 
 
-@query(rf"""SELECT doc_id, CASE WHEN length(low) < 2 THEN 'too_short' WHEN len(list_intersect(w, {X.PRONOUNS})) > 0 AND len(w) > 1 THEN 'contains_pronoun' WHEN low IN {_in(X.ABSTRACT_NOUNS)} THEN 'abstract_noun'
-  WHEN regexp_matches(low, '(^|[^\p{{L}}\p{{N}}_])({X.LINK_WORDS})([^\p{{L}}\p{{N}}_]|$)') THEN 'contains_preposition' END AS reason FROM (SELECT doc_id, low, list_distinct(regexp_extract_all(low, '[\p{{L}}\p{{N}}_]+')) AS w FROM (SELECT doc_id, lower(trim(span)) AS low FROM ({_SPANS})))""")
+@query(rf"""SELECT doc_id, reason, count(*) AS spans FROM (SELECT doc_id, CASE WHEN length(low) < 2 THEN 'too_short' WHEN len(list_intersect(w, {X.PRONOUNS})) > 0 AND len(w) > 1 THEN 'contains_pronoun' WHEN low IN {_in(X.ABSTRACT_NOUNS)} THEN 'abstract_noun'
+  WHEN regexp_matches(low, '(^|[^\p{{L}}\p{{N}}_])({X.LINK_WORDS})([^\p{{L}}\p{{N}}_]|$)') THEN 'contains_preposition' END AS reason
+  FROM (SELECT doc_id, low, list_distinct(regexp_extract_all(low, '[\p{{L}}\p{{N}}_]+')) AS w FROM (SELECT doc_id, lower(trim(span)) AS low FROM ({_SPANS})))) GROUP BY doc_id, reason""")
 def fn_span_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", X.span_reject(_first_words()).alias("reason"))
+    rows = _spans(spark, sf_dir).select("doc_id", X.span_reject(F.col("span")).alias("reason"))
+    return rows.groupBy("doc_id", "reason").agg(F.count("*").alias("spans"))
 
 
-@query(rf"""SELECT doc_id, CASE WHEN ok THEN t END AS text, CASE WHEN ok THEN lab END AS label FROM (SELECT *, NOT (length(t) < 2 OR regexp_matches(t, '^[0-9]+$') OR regexp_matches(t, '^\s*$') OR regexp_matches(t, '(?i)^({X.STOP_SPANS})$')
+@query(rf"""SELECT doc_id, label, count(*) AS spans, min(text) AS first, max(text) AS last FROM (SELECT doc_id, CASE WHEN ok THEN t END AS text, CASE WHEN ok THEN lab END AS label FROM (SELECT *, NOT (length(t) < 2 OR regexp_matches(t, '^[0-9]+$') OR regexp_matches(t, '^\s*$') OR regexp_matches(t, '(?i)^({X.STOP_SPANS})$')
   OR (lab = 'character' AND n > 3 AND NOT regexp_matches(t, '(^|\s)\p{{Lu}}\p{{Ll}}*(\s|$)')) OR (lab = 'environment_element' AND length(t) < 4)) AS ok FROM (SELECT doc_id, t, len(regexp_extract_all(t, '\S+')) AS n,
   CASE WHEN l = 'location' AND regexp_matches(lower(t), 'key|book|note') THEN 'item' WHEN l = 'location' AND regexp_matches(lower(t), 'cat|demon|girl|boy|mom|dad') THEN 'character' ELSE l END AS lab
-  FROM (SELECT doc_id, list_element(['location', 'character', 'environment_element'], 1 + CAST(doc_id % 3 AS INT)) AS l, regexp_replace(span, '^[[:punct:] —–]+|[[:punct:] —–]+$', '', 'g') AS t FROM ({_SPANS}))))""")
+  FROM (SELECT doc_id, list_element(['location', 'character', 'environment_element'], 1 + CAST((doc_id + p) % 3 AS INT)) AS l, regexp_replace(span, '^[[:punct:] —–]+|[[:punct:] —–]+$', '', 'g') AS t FROM ({_SPANS}))))) GROUP BY doc_id, label""")
 def fn_span_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = F.element_at(F.array(F.lit("location"), F.lit("character"), F.lit("environment_element")), (F.col("doc_id") % 3 + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", X.span_clean(_first_words(), label).alias("s")).select("doc_id", "s.text", "s.label")
+    label = F.element_at(F.array(F.lit("location"), F.lit("character"), F.lit("environment_element")), ((F.col("doc_id") + F.col("p")) % 3 + 1).cast("int"))
+    rows = _spans(spark, sf_dir).select("doc_id", X.span_clean(F.col("span"), label).alias("s")).select("doc_id", "s.text", "s.label")
+    return rows.groupBy("doc_id", "label").agg(F.count("*").alias("spans"), F.min("text").alias("first"), F.max("text").alias("last"))
 
 
 _LEX_TYPE = " ".join(f"WHEN low IN {_in(w.split())} THEN '{k}'" for k, _, w in X.LEXICON)

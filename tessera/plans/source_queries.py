@@ -12,6 +12,7 @@ from tessera.operators import vectors as V
 from tessera.plans.graph_queries import W
 from tessera.plans.registry import query, table
 from tessera.plans.star_graph import star_graph
+from tessera.plans.text_queries import _window as window_sql
 from tessera.runtime import scratch
 from tessera.sources import files as S
 from tessera.streaming import incremental as I
@@ -41,11 +42,16 @@ def src_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _text_files(spark: SparkSession, sf_dir: str) -> str:
+    """Eight text files with all passages of the benchmark, in order of their ids: a folder a file."""
     path = scratch(spark, "texts")
-    table(spark, sf_dir, "benchmark").select("text", "item_id").repartition(4, "item_id").select("text").write.text(path)
+    rows = table(spark, sf_dir, "benchmark").select("text", "item_id", (F.col("item_id") % 8).alias("part"))
+    rows.repartition("part").sortWithinPartitions("part", "item_id").select("text", "part").write.partitionBy("part").text(path)
     return path
 
 
+_FILES = "SELECT item_id % 8 AS part, string_agg(text || chr(10), '' ORDER BY item_id) AS text FROM benchmark GROUP BY 1"
+
+
 @query("SELECT 'node' AS kind, 'customer_' || c_custkey AS a, NULL AS b, c_name AS value FROM customer UNION ALL SELECT 'edge', 'customer_' || c_custkey, 'nation_' || c_nationkey, c_mktsegment FROM customer")
 def src_graphml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers and the nations they live in, written as GraphML parts and read again."""
@@ -63,24 +69,35 @@ def src_graphml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.union(g.edges.select(F.lit("edge"), "source", "target", F.col("data")["d1"]))
 
 
-@query()
+@query(f"SELECT part, length(text) AS size, md5(text) AS digest FROM ({_FILES})")
 def src_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.load_text(spark, _text_files(spark, sf_dir) + "/*.txt").select(F.length("text").alias("size"))
+    found = S.load_text(spark, _text_files(spark, sf_dir) + "/*/*.txt")
+    return found.select(F.regexp_extract("source", r"part=(\d+)/", 1).cast("long").alias("part"), F.length("text").cast("long").alias("size"), F.md5("text").alias("digest"))
 
 
-@query()
+@query(f"""SELECT 'txt' AS kind, md5(text) AS digest FROM ({_FILES}) UNION ALL
+  SELECT 'csv', md5('s_suppkey: ' || s_suppkey || chr(10) || 's_name: ' || s_name) FROM supplier""")
 def src_by_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _text_files(spark, sf_dir)
-    table(spark, sf_dir, "nation").write.mode("append").option("header", True).csv(path)
-    return S.load_folder(spark, path).select(F.regexp_extract("source", r"\.([a-z]+)$", 1).alias("kind"), F.length("text").alias("size"))
+    table(spark, sf_dir, "supplier").select("s_suppkey", "s_name").write.option("header", True).csv(f"{path}/part=csv")
+    return S.load_folder(spark, f"{path}/*").select(F.regexp_extract("source", r"\.([a-z]+)$", 1).alias("kind"), F.md5("text").alias("digest"))
 
 
-@query(W + "SELECT id, name, type FROM nodes WHERE type IN ('location', 'group')")
+@query("""SELECT 'node' AS kind, c_custkey::VARCHAR AS graph_id, 'customer_' || c_custkey AS id, c_name AS value FROM customer UNION ALL
+  SELECT 'node', o_custkey::VARCHAR, 'order_' || o_orderkey, 'Order ' || o_orderkey FROM orders UNION ALL
+  SELECT 'edge', o_custkey::VARCHAR, 'customer_' || o_custkey || ' participates in order_' || o_orderkey, 'it participates in' FROM orders""")
 def src_graph_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g, path = star_graph(spark, sf_dir), scratch(spark, "snapshot")
-    g = S.Graph(g.nodes.where("type in ('location', 'group')"), g.edges.where("relation = 'located in'"))
-    S.export_graph(g).select("value").write.text(path)
-    return S.read_graph(spark, path).nodes.select("id", "name", "type")
+    """A graph a customer - the customer and its orders - written as one snapshot each, and read again."""
+    path = scratch(spark, "snapshot")
+    g = star_graph(spark, sf_dir)
+    edges = g.edges.where("relation = 'participates in'").withColumn("graph_id", F.regexp_extract("source", r"_(\d+)$", 1))
+    owner = edges.select("graph_id", F.col("target").alias("id"))
+    people = g.nodes.where("type = 'character'").withColumn("graph_id", F.regexp_extract("id", r"_(\d+)$", 1))
+    events = g.nodes.where("type = 'event'").drop("graph_id").join(owner, "id")
+    S.export_graph(S.Graph(people.unionByName(events), edges)).select("value").write.text(path)
+    back = S.read_graph(spark, path, lines=True)
+    nodes = back.nodes.select(F.lit("node").alias("kind"), "graph_id", "id", F.col("name").alias("value"))
+    return nodes.unionByName(back.edges.select(F.lit("edge").alias("kind"), "graph_id", "id", F.col("description").alias("value")))
 
 
 @query(W + "SELECT id, source, target, relation, weight FROM edges")
@@ -105,9 +122,11 @@ def src_chat_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.read_chats(spark, _chat_files(spark, sf_dir)).select("conv_id", "turn", "role", "text")
 
 
-@query("SELECT conv_id, count(*) AS messages FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, './graphs' || chr(92) || 'g' || (conv_id % 5) || '.json' AS graph_path, count(*) AS messages, md5(string_agg(role || ':' || text, chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
 def snk_chat_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.read_chats(spark, _chat_files(spark, sf_dir)).groupBy("conv_id").agg(F.count("*").alias("messages"))
+    rows = S.read_chats(spark, _chat_files(spark, sf_dir)).groupBy("conv_id", "graph_path")
+    said = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(":", "role", "text").alias("t")))), lambda x: x["t"])
+    return rows.agg(F.count("*").alias("messages"), F.md5(F.array_join(said, "\n")).alias("digest"))
 
 
 @query("SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 5 IN (1, 3)")
@@ -116,11 +135,12 @@ def src_chat_by_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.chats_of_graphs(_with_graph(spark, sf_dir).select("conv_id", "graph_path").distinct(), graphs).select("conv_id")
 
 
-@query()
+@query("SELECT unnest(['csv', 'json']) AS kind, doc_id, quality, toxic FROM labels")
 def snk_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "results")
-    S.write_results(table(spark, sf_dir, "labels"), path)
-    return spark.read.option("header", True).csv(f"{path}/csv").select("doc_id")
+    path, rows = scratch(spark, "results"), table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    S.write_results(rows, path)
+    csv = spark.read.option("header", True).schema(rows.schema).csv(f"{path}/csv").withColumn("kind", F.lit("csv"))
+    return csv.unionByName(spark.read.schema(rows.schema).json(f"{path}/json").withColumn("kind", F.lit("json")))
 
 
 # responses: an order is a chunk; its kind of reply cycles by key
@@ -141,9 +161,11 @@ def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return body.select(F.lit("g0").alias("graph_id"), F.col("k").alias("chunk_id"), F.lit("extraction").alias("kind"), raw.alias("raw"))
 
 
-@query("SELECT l_orderkey AS chunk_id, l_orderkey % 4 <> 3 AS readable FROM lineitem GROUP BY l_orderkey")
+@query(f"""SELECT chunk_id, CASE WHEN chunk_id % 4 <> 3 THEN replace('{{"nodes":[' || string_agg('{{"name":"' || name || '","type":"item"}}', ',' ORDER BY pos) || '],"edges":[{{"node1":"a","node2":"b","relation":"knows","weight":"x"}}]}}', ' ', '') END AS json
+  FROM ({_ORDER_NODES}) GROUP BY chunk_id""")
 def resp_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.repair(_responses(spark, sf_dir)).select("chunk_id", F.col("json").isNotNull().alias("readable"))
+    """The repaired JSON, white space apart."""
+    return P.repair(_responses(spark, sf_dir)).select("chunk_id", F.regexp_replace("json", r"\s", "").alias("json"))
 
 
 @query("SELECT DISTINCT l_orderkey AS chunk_id FROM lineitem WHERE l_orderkey % 4 = 3")
@@ -219,7 +241,7 @@ def _drain(stream: DataFrame, each, where: str, mode: str = "append") -> None:
     q.awaitTermination()
 
 
-@query()
+@query(f"SELECT c.conv_id, coalesce(w.n, 0) AS n, coalesce(w.context, '') AS context FROM (SELECT DISTINCT conv_id FROM conversations WHERE role IN ('user', 'assistant')) c LEFT JOIN ({window_sql('1024', 'conversations')}) w USING (conv_id)")
 def stream_chat_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last window of every conversation, its messages arriving as a stream of files."""
     where = scratch(spark, "stream")
@@ -238,13 +260,14 @@ def stream_graph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows.unionByName(rows.where("id like '%1'").withColumn("name", F.lit("early")).withColumn("ord", F.lit(0))).repartition(2, "id").write.parquet(f"{where}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
     seen: list[int] = []
+    graph = I.merge_into(f"{where}/graph", compact_every=2)
 
     def each(batch: DataFrame, n: int) -> None:
-        I.merge_into(spark, f"{where}/graph")(batch, n)
+        graph.put(batch, n)
         seen.append(n)
 
     _drain(stream, each, where)
-    return spark.read.parquet(I.versioned(f"{where}/graph", max(seen) + 1)).select("id", "name")
+    return graph.read(spark, max(seen)).select("id", "name")
 
 
 @query(W + "SELECT id, name AS document FROM nodes WHERE type <> 'item' UNION ALL SELECT id, source || ' ' || relation || ' ' || target FROM edges WHERE relation = 'located in'")

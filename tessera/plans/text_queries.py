@@ -58,15 +58,20 @@ def chat_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.window(talks(spark, sf_dir), F.lit(1024))
 
 
-@query(f"SELECT w.conv_id, w.n, 'Topic: ' || t.topic || chr(10) || w.context AS context FROM ({_window('400 - tt', '(SELECT c.*, ' + tokens_sql(chr(39) + 'Topic: ' + chr(39) + ' || topic') + ' AS tt FROM conversations c JOIN (SELECT conv_id, left(text, 40) AS topic FROM conversations WHERE turn = 0) USING (conv_id))')}) w JOIN (SELECT conv_id, left(text, 40) AS topic FROM conversations WHERE turn = 0) t USING (conv_id)")
+_TOPICS = "(SELECT conv_id, text AS topic FROM conversations WHERE turn = 0)"
+_TOPIC_TOKENS = tokens_sql("'Topic: ' || topic")
+_WITH_TOPIC = f"(SELECT c.*, {_TOPIC_TOKENS} AS tt FROM conversations c JOIN {_TOPICS} USING (conv_id))"
+
+
+@query(f"SELECT w.conv_id, w.n, 'Topic: ' || t.topic || chr(10) || w.context AS context FROM ({_window('1500 - tt', _WITH_TOPIC)}) w JOIN {_TOPICS} t USING (conv_id)")
 def chat_window_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = talks(spark, sf_dir)
-    return C.topic_window(rows, rows.where("turn = 0").select("conv_id", F.substring("text", 1, 40).alias("topic")), 400)
+    return C.topic_window(rows, rows.where("turn = 0").select("conv_id", F.col("text").alias("topic")), 1500)
 
 
-@query("SELECT conv_id, turn, last_value(CASE WHEN turn % 3 = 0 AND text <> '' THEN left(text, 20) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS topic FROM conversations")
+@query("SELECT conv_id, turn, last_value(CASE WHEN turn % 3 = 0 AND text <> '' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS topic FROM conversations")
 def chat_topic_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.topic_states(talks(spark, sf_dir).select("conv_id", "turn", (F.col("turn") % 3 == 0).alias("is_new_topic"), F.substring("text", 1, 20).alias("summary")))
+    return C.topic_states(talks(spark, sf_dir).select("conv_id", "turn", (F.col("turn") % 3 == 0).alias("is_new_topic"), F.col("text").alias("summary")))
 
 
 _GRAMS = r"SELECT doc_id, g, count(*) AS c FROM (SELECT doc_id, w[i] || ' ' || w[i + 1] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents))) GROUP BY doc_id, g"
@@ -128,9 +133,16 @@ def ann_no_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", F.explode(A.without_overlap(F.col("xs"))).alias("x")).select("k", "x.start", "x.end")
 
 
-@query("SELECT doc_id, CASE WHEN strpos(text, w) > 0 THEN strpos(text, w) - 1 WHEN strpos(lower(text), lower(w)) > 0 THEN strpos(lower(text), lower(w)) - 1 END AS start FROM (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN translate(substr(text, 11, 4), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN doc_id % 3 = 1 THEN substr(text, 21, 5) ELSE '#none#' END AS w FROM documents)")
+_AT = "1 + CAST(doc_id * 7919 % greatest(1, length(text) - 7) AS BIGINT)"
+
+
+@query(f"""SELECT doc_id, CASE WHEN strpos(text, w) > 0 THEN strpos(text, w) - 1 WHEN strpos(lower(text), lower(w)) > 0 THEN strpos(lower(text), lower(w)) - 1 END AS start
+  FROM (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN translate(substr(text, {_AT}, 8), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN doc_id % 3 = 1 THEN substr(text, {_AT}, 8) ELSE '#none#' END AS w FROM documents)""")
 def ann_reanchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.when(F.col("doc_id") % 3 == 0, F.translate(F.substring("text", 11, 4), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(F.col("doc_id") % 3 == 1, F.substring("text", 21, 5)).otherwise("#none#")
+    """Eight characters from a place that the id picks in the whole text, as they are or in capitals."""
+    at = (F.col("doc_id") * 7919 % F.greatest(F.lit(1), F.length("text") - 7) + 1).cast("int")
+    own, kind = F.substring("text", at, F.lit(8)), F.col("doc_id") % 3
+    said = F.when(kind == 0, F.translate(own, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(kind == 1, own).otherwise("#none#")
     return docs(spark, sf_dir).select("doc_id", A.reanchor(F.col("text"), said).alias("start"))
 
 
@@ -224,7 +236,8 @@ def ext_prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BUILT = "SELECT 'node' AS kind, id, name, description, chunks FROM built UNION ALL SELECT 'edge', id, source, target, chunk_id FROM joined"
-_FIRSTS = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY chunk_id, pos) AS r FROM (SELECT rel.*, x.id AS i1, y.id AS i2, {_BASE.format("n1 || ' came before ' || n2 || ' edge'")} AS fid FROM ({_REL}) rel JOIN nm x ON {{x}}x.name = n1 JOIN nm y ON {{y}}y.name = n2)) WHERE r = 1"
+_ONCE = f"said AS MATERIALIZED ({_ENT}), rel AS MATERIALIZED (SELECT a.chunk_id, a.pos, a.name AS n1, b.name AS n2, a.q AS w FROM said a JOIN said b ON a.chunk_id = b.chunk_id AND b.pos = a.pos + 1)"
+_FIRSTS = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY chunk_id, pos) AS r FROM (SELECT rel.*, x.id AS i1, y.id AS i2, {_BASE.format("n1 || ' came before ' || n2 || ' edge'")} AS fid FROM rel JOIN nm x ON {{x}}x.name = n1 JOIN nm y ON {{y}}y.name = n2)) WHERE r = 1"
 
 
 def _built(g: Graph, description: str) -> DataFrame:
@@ -232,33 +245,32 @@ def _built(g: Graph, description: str) -> DataFrame:
     return nodes.union(g.edges.select(F.lit("edge"), "id", "source", "target", "chunk_id"))
 
 
-_AT = "chunk_id * 100 + pos"
+_ORD = "chunk_id * 100 + pos"
 
 
-@query(f"""WITH ent AS ({_ENTN}), lead AS (SELECT lower(trim(name)) AS key, min_by(id, {_AT}) AS id, min_by(name, (-length(name), CASE WHEN regexp_matches(name, '^[A-Z]') THEN 0 ELSE 1 END, lower(name))) AS name, max_by(ptype, {_AT}) AS description, count(DISTINCT chunk_id) AS chunks FROM ent GROUP BY 1),
-  led AS (SELECT ent.id AS own, lead.id FROM ent JOIN lead ON key = lower(trim(ent.name))), nm AS (SELECT chunk_id, name, max_by(id, pos) AS id FROM ent GROUP BY chunk_id, name),
-  firsts AS ({_FIRSTS.format(x="x.chunk_id = rel.chunk_id AND ", y="y.chunk_id = rel.chunk_id AND ")}),
+@query(f"""WITH {_ONCE}, ent AS MATERIALIZED ({_ENTN.replace(_ENT, "SELECT * FROM said")}), lead AS MATERIALIZED (SELECT lower(trim(name)) AS key, min_by(id, {_ORD}) AS id, min_by(name, (-length(name), CASE WHEN regexp_matches(name, '^[A-Z]') THEN 0 ELSE 1 END, lower(name))) AS name, max_by(ptype, {_ORD}) AS description, count(DISTINCT chunk_id) AS chunks FROM ent GROUP BY 1),
+  led AS MATERIALIZED (SELECT ent.id AS own, lead.id FROM ent JOIN lead ON key = lower(trim(ent.name))), nm AS MATERIALIZED (SELECT chunk_id, name, max_by(id, pos) AS id FROM ent GROUP BY chunk_id, name),
+  firsts AS MATERIALIZED ({_FIRSTS.format(x="x.chunk_id = rel.chunk_id AND ", y="y.chunk_id = rel.chunk_id AND ")}),
   built AS (SELECT * FROM lead), joined AS (SELECT e.id, a.id AS source, b.id AS target, e.chunk_id FROM ({_EDGES}) e JOIN led a ON a.own = e.source JOIN led b ON b.own = e.target) {_BUILT}""")
 def g_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _entities(spark, sf_dir)
     return _built(B.from_entities(e, _relations(e)), "base_description")
 
 
-_NAMED = f"""WITH ent AS (SELECT *, base || CASE WHEN k = 1 THEN '' ELSE '_' || (k - 1) END AS id FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY chunk_id, pos) AS k FROM (SELECT *, {_BASE.format('name')} AS base FROM ({{names}})))),
-  lead AS (SELECT lower(trim(name)) AS key, min_by(id, {_AT}) AS id, min_by(name, (-length(name), CASE WHEN regexp_matches(name, '^[A-Z]') THEN 0 ELSE 1 END, lower(name))) AS name FROM ent GROUP BY 1),
-  told AS (SELECT t.chunk_id, t.pos, t.name, t.ptype, coalesce(lead.id, {_BASE.format('t.name')}) AS id FROM ({_ENT}) t LEFT JOIN lead ON key = lower(trim(t.name))),
-  places AS (SELECT chunk_id, pos, ent.name, lead.id FROM ent JOIN lead ON key = lower(trim(ent.name)) UNION ALL SELECT chunk_id, pos, name, id FROM told),
-  nm AS (SELECT name, max_by(id, {_AT}) AS id FROM places GROUP BY name), firsts AS ({_FIRSTS.format(x="", y="")}),
-  f AS (SELECT id, max_by(name, {_AT}) AS name, max_by(ptype, {_AT}) AS description FROM told GROUP BY id),
+_NAMED = f"""WITH {_ONCE}, ent AS MATERIALIZED (SELECT *, base || CASE WHEN k = 1 THEN '' ELSE '_' || (k - 1) END AS id FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY chunk_id, pos) AS k FROM (SELECT *, {_BASE.format('name')} AS base FROM ({{names}})))),
+  lead AS (SELECT lower(trim(name)) AS key, min_by(id, {_ORD}) AS id, min_by(name, (-length(name), CASE WHEN regexp_matches(name, '^[A-Z]') THEN 0 ELSE 1 END, lower(name))) AS name FROM ent GROUP BY 1),
+  told AS MATERIALIZED (SELECT t.chunk_id, t.pos, t.name, t.ptype, coalesce(lead.id, {_BASE.format('t.name')}) AS id FROM said t LEFT JOIN lead ON key = lower(trim(t.name))),
+  places AS MATERIALIZED (SELECT chunk_id, pos, ent.name, lead.id FROM ent JOIN lead ON key = lower(trim(ent.name)) UNION ALL SELECT chunk_id, pos, name, id FROM told),
+  nm AS MATERIALIZED (SELECT name, max_by(id, {_ORD}) AS id FROM places GROUP BY name), firsts AS MATERIALIZED ({_FIRSTS.format(x="", y="")}),
+  f AS (SELECT id, max_by(name, {_ORD}) AS name, max_by(ptype, {_ORD}) AS description FROM told GROUP BY id),
   built AS (SELECT id, coalesce(lead.name, f.name) AS name, coalesce(f.description, '') AS description, chunks FROM lead FULL JOIN f USING (id) JOIN (SELECT id, count(DISTINCT chunk_id) AS chunks FROM places GROUP BY id) USING (id)),
   joined AS (SELECT id, source, target, chunk_id FROM ({_EDGES})) {_BUILT}"""
 
 
-@query(_NAMED.format(names=f"SELECT chunk_id, pos, name FROM ({_ENT}) WHERE q > 20"))
+@query(_NAMED.format(names=f"SELECT chunk_id, pos, name FROM ({_ENT})"))
 def g_build_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names come from lines of more than 20 pieces; details from all lines."""
     e = _entities(spark, sf_dir)
-    return _built(B.from_names(e.where("q > 20"), e, _relations(e)), "description")
+    return _built(B.from_names(e, e, _relations(e)), "description")
 
 
 @query(_NAMED.format(names=f"SELECT chunk_id, row_number() OVER (PARTITION BY chunk_id ORDER BY text) AS pos, text AS name FROM ({_FUSE})"))

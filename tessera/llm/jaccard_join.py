@@ -8,7 +8,7 @@ a fixed table of hashed counters, ties by hash). Every document picks its own l:
 candidates' cost for l is the summed frequency of its prefix, plus the price of verifying
 at most sum / l candidates. A pair has to share the smaller l of the two in their prefixes.
 
-Words are hashed by a keyed cryptographic function, and links are verified on the words themselves.
+Words are hashed by a keyed function (SipHash), and links are verified on the words themselves.
 Equal sets fall into classes by a 128-bit fingerprint first; only class representatives
 are joined. Links are wanted as components, so a star round pairs every representative
 with one leader only - the one it shares most prefix shingles with - and verifies these
@@ -32,6 +32,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,19 +41,7 @@ from tessera.llm.common import Scratch, mix64, sub_batches
 from tessera.llm.graph import components
 
 SKETCH = 128
-
-
-class WordHashes(dict):
-    """Words (bytes) to 64-bit hashes of a cryptographic function; emptied when it outgrows ``limit``."""
-
-    def __init__(self, limit: int = 400_000):
-        self._limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self._limit:
-            self.clear()
-        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"shingle").digest(), "little")
-        return value
+KEY = "shingles of words"[:16]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -60,23 +49,30 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split() if text else []
 
 
-def shingle_sets(texts: list[str | None], width: int, hashes: WordHashes) -> list[np.ndarray]:
-    """Sorted distinct 64-bit shingle hashes of every text."""
+def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit shingle hashes of every text; words are hashed by SipHash."""
     split = [words_of(t) for t in texts]
     size = [len(w) for w in split]
-    h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(split)), np.uint64, sum(size))
-    out, at = [], 0
+    flat = np.empty(sum(size), object)
+    flat[:] = list(chain.from_iterable(split))
+    h = pd.util.hash_array(flat, hash_key=KEY, categorize=False) if len(flat) else np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
+        whole = _joined(h, width) if len(h) >= width else h
+        out, at = [], 0
         for n in size:
-            w = min(width, n)
-            s = np.full(max(0, n - w + 1) if n else 0, w, np.uint64)
-            for i in range(w):
-                s = mix64(s * np.uint64(0xD6E8FEB86659FD93) + h[at + i : at + n - w + 1 + i])
-            out.append(np.unique(s))
+            out.append(np.unique(whole[at : at + n - width + 1] if n >= width else _joined(h[at : at + n], n)) if n else h[:0])
             at += n
     return out
 
 
+def _joined(h: np.ndarray, width: int) -> np.ndarray:
+    """The hash of every run of ``width`` hashes."""
+    s = np.full(len(h) - width + 1, width, np.uint64)
+    for i in range(width):
+        s = mix64(s * np.uint64(0xD6E8FEB86659FD93) + h[i : len(h) - width + 1 + i])
+    return s
+
+
 def exact_sets(texts: list[str], width: int) -> list[np.ndarray]:
     """Sorted distinct numbers of every text's shingles: equal in all of ``texts`` if and only if the shingles are."""
     number: dict[bytes, int] = {}
@@ -118,11 +114,11 @@ def _frequencies(docs: DataFrame, width: int, cells: int) -> np.ndarray:
     """Hashed document frequencies of all shingles: a table of fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, hashes = np.zeros(cells, np.int64), WordHashes()
+        total = np.zeros(cells, np.int64)
         for rb in batches:
             texts = rb.column(0).to_pylist()
             for a, b in sub_batches(texts, 1_000_000):
-                sets = shingle_sets(texts[a:b], width, hashes)
+                sets = shingle_sets(texts[a:b], width)
                 total += np.bincount((np.concatenate(sets) & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["cell", "n"])
@@ -140,12 +136,12 @@ def _prefixes(docs: DataFrame, frequency: np.ndarray, width: int, percent: int,
     shared = docs.sparkSession.sparkContext.broadcast(frequency)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, hashes = shared.value, WordHashes()
+        f = shared.value
         for rb in batches:
             texts = rb.column(1).to_pylist()
             for a, b in sub_batches(texts, 1_000_000):
                 n, key, level, prefix, sketch = [], [], [], [], []
-                for s in shingle_sets(texts[a:b], width, hashes):
+                for s in shingle_sets(texts[a:b], width):
                     n.append(len(s))
                     key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     if not len(s):

@@ -608,7 +608,7 @@ def test_shingles_of_thue_morse_words_differ():
     for _ in range(11):  # equal to its complement under every polynomial hash modulo 2 ** 64
         word += word.translate(str.maketrans("ab", "ba"))
     other = word.translate(str.maketrans("ab", "ba"))
-    a, b = jaccard_join.shingle_sets([word, other], 3, jaccard_join.WordHashes())
+    a, b = jaccard_join.shingle_sets([word, other], 3)
     assert a.tolist() != b.tolist()
     a, b = jaccard_join.exact_sets([word, other], 3)
     assert a.tolist() != b.tolist()
@@ -622,7 +622,7 @@ def test_shingle_sets_agree_with_plain_ones():
         for t in texts:
             w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
             plain.append({tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set())
-        for found in (jaccard_join.shingle_sets(texts, width, jaccard_join.WordHashes(4)), jaccard_join.exact_sets([t or "" for t in texts], width)):
+        for found in (jaccard_join.shingle_sets(texts, width), jaccard_join.exact_sets([t or "" for t in texts], width)):
             for i in range(len(texts)):
                 assert len(found[i]) == len(plain[i])
                 for j in range(i):

@@ -1,13 +1,19 @@
 """Small cases with known answers."""
 
+import os
 import random
+import threading
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import annotation, build, chunking, evaluation, resolution, responses, retrieval, temporal
+from tessera import runtime
+from tessera.operators import annotation, build, chunking, evaluation, extraction, resolution, responses, retrieval, temporal, vectors
 from tessera.operators.graph import Graph, put_edges, remove_nodes, repair_dangling
 from tessera.plans import source_queries, text_queries
+from tessera.sources import files
+from tessera.streaming import incremental
 from tests.conftest import SMALL
 
 
@@ -73,6 +79,32 @@ def test_repair_of_replies():
     assert responses.repair_text(None) == responses.repair_text("none") == ""
 
 
+def test_history_over_budget_equals_a_plain_fold(spark):
+    import hashlib
+
+    events = [(q, lv, f"{q}e{lv}", "w " * (1 + lv * 7 % 5)) for q in (1, 2) for lv in range(40)]
+    got = {r["query_id"]: r["text"] for r in retrieval.history(spark.createDataFrame(events, "query_id int, level int, id string, text string"), 30).collect()}
+    for q in (1, 2):
+        own = [e for e in events if e[0] == q]
+        left = sum(len(e[3].split()) for e in own)
+        gone = set()
+        for e in sorted(own[1:-1], key=lambda e: hashlib.md5(f"7{e[2]}".encode()).hexdigest()):
+            if left > 30:
+                gone.add(e)
+                left -= len(e[3].split())
+        assert got[q] == "\n".join(e[3] for e in own if e not in gone)
+
+
+def test_prompts_with_relations_and_references(spark):
+    chunks = spark.createDataFrame([(1, "t"), (2, "u")], "chunk_id int, text string")
+    names = spark.createDataFrame([(1, "b"), (1, "a")], "chunk_id int, name string")
+    said = spark.createDataFrame([(1, "a", "knows", "b")], "chunk_id int, source string, relation string, target string")
+    refs = spark.createDataFrame([(1, "she", "a")], "chunk_id int, mention string, name string")
+    got = {r["chunk_id"]: r["prompt"] for r in extraction.prompt_rows(chunks, names, relations=said, references=refs).collect()}
+    assert got[1] == "Text fragment:\nt\n\nEntities in chunk:\na, b\n\nCoreference:\nshe -> a\n\nRelations in chunk:\na knows b"
+    assert got[2].endswith("Relations in chunk:\n")
+
+
 def test_metrics_of_known_texts(spark):
     df = spark.createDataFrame([("a b a b a",), ("",), ("one two three",)], "t string")
     got = df.select(evaluation.distinct_n(F.col("t")).alias("d"), evaluation.repetition_n(F.col("t")).alias("r")).collect()
@@ -99,6 +131,132 @@ def test_stream_equals_batch(spark):
     assert stream == {tuple(r) for r in text_queries.chat_window(spark, SMALL).select("conv_id", "n", "context").collect()} | {r for r in stream if r[1] == 0}
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.9])
+def test_similar_pairs_lose_none(spark, threshold):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(9, 12))[rng.integers(0, 9, 400)] + 0.3 * rng.normal(size=(400, 12))
+    x[7], x[8] = 0, x[9]
+    rows = [("g", str(i % 2 if i < 300 else 0), i, (i * 37) % 400, None if i == 11 else x[i].tolist()) for i in range(400)]
+    nodes = spark.createDataFrame(rows, "graph_id string, type string, id long, ord long, embedding array<double>")
+    got = {(r["a"], r["b"]): r["similarity"] for r in resolution.similar_pairs(nodes, threshold, pivots=20, part_rows=40).collect()}
+    unit = x / np.maximum(np.sqrt((x * x).sum(1)), 1e-300)[:, None]
+    want = {(p[2], q[2]): float(unit[p[2]] @ unit[q[2]]) for p in rows for q in rows if p[1] == q[1] and p[3] < q[3] and p[4] and q[4] and p[2] != 7 and q[2] != 7}
+    want = {k: v for k, v in want.items() if v >= threshold}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items()) and len(want) > 100
+    assert resolution.similar_pairs(nodes.limit(0), threshold).count() == 0
+
+
+def test_suffixes_run_on_over_buckets_of_chunks(spark):
+    rows = [("g", c, p, "Inn" if (c + p) % 2 else "Ann") for c in range(40) for p in range(5)]
+    entities = spark.createDataFrame(rows, "graph_id string, chunk_id long, pos int, name string")
+    taken = spark.createDataFrame([("g", "inn", 3)], "graph_id string, base_id string, used long")
+    for first, used in (({}, None), ({"inn": 3}, taken)):
+        got = {(r["chunk_id"], r["pos"]): r["id"] for r in extraction.entity_nodes(entities, used, bucket_chunks=7).collect()}
+        seen = dict(first)
+        for _, c, p, name in rows:
+            base, n = name.lower(), seen.get(name.lower(), 0)
+            assert got[c, p] == (base if n == 0 else f"{base}_{n}")
+            seen[base] = n + 1
+
+
+def test_ranges_of_levels_equal_a_plain_comparison(spark):
+    rng = random.Random(4)
+    levels = {f"e{i}": i for i in range(50)}
+    name = lambda: rng.choice([None, f"e{rng.randrange(50)}", "gone"])
+    states = [("g", i, name(), name()) for i in range(200)]
+    ranges = [("g", q, rng.choice([None, rng.randrange(-3, 55)]), rng.choice([None, rng.randrange(-3, 55)])) for q in range(60)]
+    want = set()
+    for _, i, start, end in states:
+        a, b = levels.get(start, 0), levels.get(end, 49)
+        for _, q, left, right in ranges:
+            low, high = sorted((0 if left is None else left, 49 if right is None else right))
+            if b >= low and a <= high:
+                want.add((q, i))
+    table = lambda rows, kind: spark.createDataFrame(rows, kind)
+    got = temporal.states_within(
+        table(states, "graph_id string, node int, start string, end string"), table([("g", k, v) for k, v in levels.items()], "graph_id string, id string, level int"),
+        table(ranges, "graph_id string, query_id int, left int, right int"), buckets=8,
+    ).collect()
+    assert len(got) == len(want) and {(r["query_id"], r["node"]) for r in got} == want
+
+
+def test_versions_of_a_table_keep_the_latest_rows(spark):
+    store = incremental.merge_into(runtime.scratch(spark, "versions"), compact_every=3)
+    held = {}
+    for n in range(8):
+        batch = [("g", f"{i % 5}", i, f"{n}:{i}") for i in range(n, n + 4)]
+        for _ in range(2):  # a batch that is run again
+            store.put(spark.createDataFrame(batch, "graph_id string, id string, ord int, name string"), n)
+        held |= {i: name for _, i, _, name in batch}
+        assert {r["id"]: r["name"] for r in store.read(spark, n).collect()} == held
+
+
+def test_csv_rows_are_numbered_by_file(spark):
+    path = runtime.scratch(spark, "csv").removeprefix("file://")
+    os.makedirs(path)
+    for f in "ab":
+        with open(f"{path}/{f}.csv", "w") as out:
+            out.write("k,v\n" + "".join(f'{f}{i},"x\ny{i}"\n' for i in range(30)))
+    got = sorted((r["source"][-5], r["row_index"], r["text"]) for r in files.load_csv(spark, f"file://{path}/*.csv", ["k", "v"]).collect())
+    assert got == [(f, i, f"{f}{i}\nx\ny{i}") for f in "ab" for i in range(30)]
+
+
+def test_export_refuses_what_does_not_fit_a_row(spark):
+    nodes = spark.createDataFrame([("g", str(i)) for i in range(5)], "graph_id string, id string")
+    edges = spark.createDataFrame([("g", "e")], "graph_id string, id string")
+    assert files.export_graph(Graph(nodes, edges), most=6).count() == 1
+    with pytest.raises(ValueError, match="more than 5"):
+        files.export_graph(Graph(nodes, edges), most=5)
+
+
+def test_a_query_does_not_find_its_own_row(spark):
+    rows = spark.createDataFrame([(i, [1.0, i / 10], f"m{i}") for i in range(6)], "id long, embedding array<double>, mark string")
+    asked = rows.where("id = 2").select(F.col("id").alias("query_id"), "embedding")
+    got = vectors.top_k(rows, asked, 2, metadata=["mark"], skip_own=True, slices=3).orderBy("rank").collect()
+    assert [(r["id"], r["rank"], r["mark"]) for r in got] == [(3, 1, "m3"), (1, 2, "m1")]
+    assert sorted(r["id"] for r in vectors.ids(rows.union(rows)).collect()) == list(range(6))
+
+
+def test_scratch_tables_go_and_settings_stay(spark):
+    before = spark.conf.get(runtime._CLEANUP, None)
+    there = lambda path: os.path.isdir(path.removeprefix("file://"))
+    with runtime.discarding_results(spark):
+        with runtime.Scratch(spark) as work:
+            kept, gone = work.keep(spark.range(5).toDF("v"), "t"), work.keep(spark.range(0).toDF("v"), "t")
+            paths = [work._paths[id(t)][1] for t in (kept, gone)]
+            assert gone.count() == 0 and all(map(there, paths))
+            work.drop(gone)
+            assert not there(paths[1]) and there(paths[0])
+            result = work.release(kept.where("v > 2"))
+            own = runtime._results[id(spark)][-1]
+        assert not there(paths[0]) and there(own) and result.count() == 2
+    assert not there(own)
+    with pytest.raises(ZeroDivisionError):
+        with runtime.Scratch(spark) as work:
+            path = work._paths[id(work.keep(spark.range(3), "t"))][1]
+            raise ZeroDivisionError
+    assert not there(path)
+    threads = [threading.Thread(target=runtime.materialize, args=(spark.range(n + 1), "t")) for n in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert spark.conf.get(runtime._CLEANUP, None) == before
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Bare:
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: {})
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        runtime.shared_dir(Bare)
+
+
 ENTITY = "graph_id string, chunk_id long, pos int, name string, type string, description string"
 RELATION = "graph_id string, chunk_id long, pos int, node1 string, node2 string, relation_from1to2 string, relation_from2to1 string, description string, weight double"
 

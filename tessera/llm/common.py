@@ -2,135 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import threading
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.runtime import Scratch as Scratch
+from tessera.runtime import discarding_results as discarding_results
+from tessera.runtime import materialize as materialize
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_dir: list[str] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where it is unset, a temporary one if driver and tasks are one
-    process, as in tests; on a cluster an error, since executors would each write to their own disk."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="spark-"))
-    return f"file://{_own_dir[0]}"
-
-
-#: Spark then removes a query's shuffle files when the query ends, not when the driver next collects garbage.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_lock = threading.Lock()
-#: Session -> (writes under way, the setting before the first of them).
-_writing: dict[int, tuple[int, str | None]] = {}
-
-
-@contextmanager
-def _cleaning(spark: SparkSession) -> Iterator[None]:
-    """Sets _CLEANUP while any write of the session is under way, whatever threads they run in."""
-    with _lock:
-        count, before = _writing.get(id(spark), (0, spark.conf.get(_CLEANUP, None)))
-        _writing[id(spark)] = count + 1, before
-        spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        with _lock:
-            count, before = _writing.pop(id(spark))
-            if count > 1:
-                _writing[id(spark)] = count - 1, before
-            elif before is None:
-                spark.conf.unset(_CLEANUP)
-            else:
-                spark.conf.set(_CLEANUP, before)
-
-
-def _write(df: DataFrame, path: str) -> DataFrame:
-    with _cleaning(df.sparkSession):
-        df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-
-
-#: Paths of tables that operators' results still read, by session.
-_results: dict[int, list[str]] = {}
-
-
-@contextmanager
-def discarding_results(spark: SparkSession) -> Iterator[None]:
-    """Deletes, on leaving, what operators called inside have written for their results: these must be read by then."""
-    outer = _results.pop(id(spark), [])
-    try:
-        yield
-    finally:
-        for path in _results.pop(id(spark), []):
-            _delete(spark, path)
-        _results[id(spark)] = outer
-
-
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage is cut, and the files outlive executors.
-
-    The table is a result: it stays until ``discarding_results`` or the owner of the folder deletes it."""
-    path = f"{shared_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}/{name}"
-    _results.setdefault(id(df.sparkSession), []).append(path)
-    return _write(df, path)
-
-
-class Scratch:
-    """Tables of one run in the shared folder. Each may be dropped once no later step reads it; on leaving
-    the ``with`` block, by its end or by an error, all others go but the one released as the result."""
-
-    def __init__(self, spark: SparkSession):
-        self._spark, self._root, self._n = spark, f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}", 0
-        self._paths: dict[int, tuple[DataFrame, str]] = {}
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __exit__(self, *error) -> None:
-        self.drop(*[t for t, _ in self._paths.values()])
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        self._n += 1
-        path = f"{self._root}/{name}-{self._n}"
-        out = _write(df, path)
-        self._paths[id(out)] = (out, path)
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Deletes tables of keep(); what is still to be computed must not read them."""
-        for t in tables:
-            _delete(self._spark, self._paths.pop(id(t))[1])
-
-    def release(self, df: DataFrame, name: str = "result") -> DataFrame:
-        """df as a table that outlives the run; written now unless it is one already."""
-        out = df if id(df) in self._paths else self.keep(df, name)
-        _results.setdefault(id(self._spark), []).append(self._paths.pop(id(out))[1])
-        return out
-
-
 def fold(modulus: int, col: str = "doc_id"):
     """crc32(doc_id as text) mod modulus; null ids get null."""
     return F.pmod(F.crc32(F.col(col).cast("string")), F.lit(modulus))

@@ -740,32 +740,18 @@ def test_pipeline_stages_on_odd_rows(spark):
 
 def test_pipeline_leaves_its_result_only(spark):
     import corpus_pipeline
-    from tessera.llm import common
+    from tessera import runtime
 
-    at = common.shared_dir(spark).removeprefix("file://")
+    at = runtime.shared_dir(spark).removeprefix("file://")
     held = lambda: {os.path.join(d, f) for d, _, names in os.walk(at) for f in names if f.endswith(".parquet")}
     before = held()
-    with common.discarding_results(spark):
+    with runtime.discarding_results(spark):
         out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
         n = out.count()
         assert n > 0 and held() - before == {p.removeprefix("file://") for p in out.inputFiles()}
     assert held() == before
 
 
-def test_scratch_drops_tables_and_restores_the_setting(spark):
-    from tessera.llm import common
-
-    before = spark.conf.get(common._CLEANUP, None)
-    work = common.Scratch(spark)
-    kept, gone = work.keep(spark.range(5).toDF("v"), "t"), work.keep(spark.range(0).toDF("v"), "t")
-    path = work._paths[id(gone)][1].removeprefix("file://").removeprefix("file:")
-    assert gone.count() == 0 and os.path.isdir(path)
-    work.drop(gone)
-    assert not os.path.exists(path)
-    assert kept.count() == 5
-    assert spark.conf.get(common._CLEANUP, None) == before
-
-
 def test_open_shingles_meet_neighbouring_sizes_only(spark):
     from tessera.llm.jaccard_join import _met
 

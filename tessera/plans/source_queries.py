@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import models
-from tessera.operators import conversations as C
 from tessera.operators import responses as P
 from tessera.operators import vectors as V
 from tessera.plans.graph_queries import W

@@ -33,9 +33,18 @@ def tmp_event_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _levels(spark, sf_dir).drop("graph_id")
 
 
-@query(W + "SELECT chunk, count(*) FILTER (type = 'event') AS events, count(*) FILTER (type <> 'event') AS others, min(name) FILTER (type = 'event') AS first_event FROM nodes GROUP BY chunk HAVING events > 0")
+@query("""SELECT o_orderkey AS chunk, 1::BIGINT AS events, count(DISTINCT l_partkey) AS others, count(DISTINCT l_partkey) AS edges, 'Order ' || o_orderkey AS first_event,
+  coalesce(max('order_' || o_orderkey || ' affects part_' || l_partkey), '') AS last_edge FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
 def tmp_impact_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.impact_inputs(star_graph(spark, sf_dir).nodes).select("chunk", F.size("events").cast("long").alias("events"), F.size("others").cast("long").alias("others"), F.element_at("events", 1).alias("first_event"))
+    """An order is a chunk: itself as event, its parts, and the edges to them."""
+    pairs = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    named = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    node = lambda df, chunk, ident, name, kind: df.select(F.lit("g0").alias("graph_id"), F.array(chunk).alias("chunk_id"), ident.alias("id"), name.alias("name"), F.lit(kind).alias("type"))
+    events = node(table(spark, sf_dir, "orders"), "o_orderkey", named("order_", "o_orderkey"), named("Order ", "o_orderkey"), "event")
+    parts = node(pairs, "l_orderkey", named("part_", "l_partkey"), named("Part ", "l_partkey"), "item")
+    edges = pairs.select(F.lit("g0").alias("graph_id"), F.concat(named("order_", "l_orderkey"), F.lit(" affects "), named("part_", "l_partkey")).alias("id"), F.col("l_orderkey").alias("chunk_id"))
+    sizes = [F.size(c).cast("long").alias(c) for c in ("events", "others", "edges")]
+    return T.impact_inputs(events.unionByName(parts), edges).select("chunk", *sizes, F.col("events")[0].alias("first_event"), F.coalesce(F.array_max("edges"), F.lit("")).alias("last_edge"))
 
 
 @query("SELECT event_id, 'order_' || o_orderkey AS node FROM events JOIN orders ON o_orderkey = event_id * 2")
@@ -151,12 +160,17 @@ def er_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clustered(spark, sf_dir, True).select("id", "leader")
 
 
-@query("SELECT p_brand AS id, count(*) AS members, min_by(p_name, (-length(p_name), CASE WHEN regexp_matches(p_name, '^[A-Z]') THEN 0 ELSE 1 END, lower(p_name))) AS name, max_by(p_type, p_partkey) AS base_description, max_by(p_partkey, p_partkey)::VARCHAR AS last_key FROM part GROUP BY p_brand")
+@query("""SELECT p_brand AS id, count(*) AS members, min_by(p_name, (-length(p_name), CASE WHEN regexp_matches(p_name, '^[A-Z]') THEN 0 ELSE 1 END, lower(p_name))) AS name, max_by(p_type, p_partkey) AS base_description,
+  max_by(p_partkey, p_partkey)::VARCHAR AS last_key, md5(string_agg(p_type, '|' ORDER BY p_partkey)) AS states, min((p_partkey % 10) / 10.0)::DOUBLE AS merge_similarity FROM part GROUP BY p_brand""")
 def er_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    nodes = p.select(F.lit("g0").alias("graph_id"), F.col("p_partkey").cast("string").alias("id"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), F.lit("item").alias("type"), F.col("p_type").alias("base_description"), F.create_map(F.lit("last"), F.col("p_partkey").cast("string"), F.col("p_brand"), F.lit("x")).alias("base_attributes"), F.array(F.col("p_partkey") % 7).alias("chunk_id"))
-    out = R.combine(nodes, nodes.select("graph_id", "id").join(p.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("leader")), "id"))
-    return out.select("id", F.size("merged_from").cast("long").alias("members"), "name", "base_description", F.col("base_attributes")["last"].alias("last_key"))
+    p, key = table(spark, sf_dir, "part"), F.col("p_partkey").cast("string")
+    attributes = F.create_map(F.lit("last"), key, F.col("p_brand"), F.lit("x")).alias("base_attributes")
+    state = F.array(F.struct(F.col("p_type").alias("current_description"))).alias("states")
+    nodes = p.select(F.lit("g0").alias("graph_id"), key.alias("id"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), F.lit("item").alias("type"), F.col("p_type").alias("base_description"), attributes, F.array(F.col("p_partkey") % 7).alias("chunk_id"), state)
+    members = nodes.select("graph_id", "id").join(p.select(key.alias("id"), F.col("p_brand").alias("leader"), (F.col("p_partkey") % 10 / 10).alias("similarity")), "id")
+    told = F.md5(F.array_join(F.transform("states", lambda s: s["current_description"]), "|"))
+    out = R.combine(nodes, members).withColumn("states", told)
+    return out.select("id", F.size("merged_from").cast("long").alias("members"), "name", "base_description", F.col("base_attributes")["last"].alias("last_key"), "states", "merge_similarity")
 
 
 @query(W + ", m AS (SELECT id, CASE WHEN type = 'item' THEN 'part_' || (CAST(replace(id, 'part_', '') AS BIGINT) % 10) ELSE id END AS leader FROM nodes WHERE type <> 'location') SELECT e.id, a.leader AS source, b.leader AS target FROM edges e JOIN m a ON a.id = e.source JOIN m b ON b.id = e.target".replace("CAST(replace(id, 'part_', '') AS BIGINT)", "TRY_CAST(replace(id, 'part_', '') AS BIGINT)"))

@@ -146,6 +146,15 @@ def test_similar_pairs_lose_none(spark, threshold):
     assert resolution.similar_pairs(nodes.limit(0), threshold).count() == 0
 
 
+def test_merged_nodes_keep_their_states_in_order(spark):
+    kind = "graph_id string, id string, ord int, name string, type string, base_description string, base_attributes map<string,string>, chunk_id array<long>, states array<struct<d:string,m:map<string,string>>>"
+    rows = [("g", "a", 2, "Ann", "character", "late", {"x": "2"}, [3], [("s3", {"k": "v"})]), ("g", "b", 1, "Anna", "character", "early", {"x": "1", "y": "1"}, [1], [("s1", {}), ("s2", {})])]
+    members = spark.createDataFrame([("g", "a", "b", 0.9), ("g", "b", "b", 1.0)], "graph_id string, id string, leader string, similarity double")
+    r = resolution.combine(spark.createDataFrame(rows, kind), members).first()
+    assert [s["d"] for s in r["states"]] == ["s1", "s2", "s3"] and r["merge_similarity"] == 0.9
+    assert (r["id"], r["name"], r["base_description"], r["base_attributes"], r["chunk_id"]) == ("b", "Anna", "late", {"x": "2", "y": "1"}, [1, 3])
+
+
 def test_suffixes_run_on_over_buckets_of_chunks(spark):
     rows = [("g", c, p, "Inn" if (c + p) % 2 else "Ann") for c in range(40) for p in range(5)]
     entities = spark.createDataFrame(rows, "graph_id string, chunk_id long, pos int, name string")

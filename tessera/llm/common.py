@@ -38,12 +38,27 @@ def sample_share(df: DataFrame, want: int, key: str, seed: int = 17) -> DataFram
     return rows.select(key, "__least.*", order.alias("__order"))
 
 
+#: Bytes in a batch between the JVM and a Python worker; either side holds a few of them at a time.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """df, for a Python function over long texts: Arrow batches end at BATCH_BYTES (or after one row), not only
+    at a number of rows, so that memory does not depend on how long texts are. A bound that the session sets is
+    kept; where there is none, this one holds for the session from here on."""
+    conf = df.sparkSession.conf
+    if _BATCH not in conf.getAll:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def without(columns: list[str], added: tuple[str, ...]) -> list[str]:
     """The columns that an operator hands on: one of a name that it adds is replaced."""
     return [c for c in columns if c not in added]
 
 
-def sub_batches(texts: list, limit: int = 2_000_000):
+def sub_batches(texts: list, limit: int = 1_000_000):
     """Slices (start, end) of texts, each of at most ``limit`` characters or of one text."""
     start = size = 0
     for i, t in enumerate(texts):

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessera.llm.common import without
+from tessera.llm.common import in_batches, without
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
@@ -386,4 +386,4 @@ def extract(pages: DataFrame, *, keep: list[str] | None = None, html: str = "htm
             found = [main_text(p) for p in rb.column("__html").to_pylist()]
             yield pa.RecordBatch.from_arrays([rb.column(c) for c in keep] + [pa.array(found, pa.string())], names=[*keep, "text"])
 
-    return pages.select(*[pages[c] for c in keep], pages[html].alias("__html")).mapInArrow(run, out)
+    return in_batches(pages).select(*[pages[c] for c in keep], pages[html].alias("__html")).mapInArrow(run, out)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, mix64, sub_batches
+from tessera.llm.common import Scratch, in_batches, mix64, sub_batches
 from tessera.llm.graph import components
 
 SKETCH = 128
@@ -123,7 +123,7 @@ def _frequencies(docs: DataFrame, width: int, cells: int) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["cell", "n"])
 
-    got = docs.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    got = in_batches(docs).select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(cells, np.int64)
     out[got["cell"].to_numpy()] = got["n"].to_numpy()
     return out
@@ -161,7 +161,7 @@ def _prefixes(docs: DataFrame, frequency: np.ndarray, width: int, percent: int,
                 ids = rb.slice(a, b - a).column(0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([ids, *made], names=["doc_id", "n", "fingerprint", "level", "prefix", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, _PREFIX)
+    return in_batches(docs).select("doc_id", "text").mapInArrow(run, _PREFIX)
 
 
 def _near(a: np.ndarray, b: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
@@ -223,7 +223,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, bits:
                 good += [linked(seen[p], seen[q], percent) for p, q in zip(x[i:j], y[i:j], strict=True)]
             yield rb.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
-    return full.mapInArrow(check, "a long, b long").distinct()
+    return in_batches(full).mapInArrow(check, "a long, b long").distinct()
 
 
 def _pairs_of(rows: list[tuple], percent: int) -> tuple[np.ndarray, np.ndarray]:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import byte_buffer, sample_share, sub_batches, without
+from tessera.llm.common import byte_buffer, in_batches, sample_share, sub_batches, without
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 SIZES = (2, 3, 4)
@@ -157,7 +157,7 @@ def fit(
             made = [pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays([rb.column(0), *made, rb.column(2)], names=names)
 
-    got = chosen.mapInArrow(features, "lang string, idx array<int>, val array<float>, __order long").orderBy("__order", "lang").limit(sample_docs).toArrow()
+    got = in_batches(chosen).mapInArrow(features, "lang string, idx array<int>, val array<float>, __order long").orderBy("__order", "lang").limit(sample_docs).toArrow()
     rows = [(a, np.asarray(i), np.asarray(v, float)) for a, i, v in zip(got["lang"].to_pylist(), got["idx"].to_numpy(), got["val"].to_numpy(), strict=True)]
     rows.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
     return train(rows, buckets, dim, epochs, rate, reject_share)
@@ -192,5 +192,5 @@ def predict(docs: DataFrame, model: Model | None, *, keep: list[str] | None = No
                 made = [pa.array(lang, pa.string()), pa.array(score), pa.array(low)]
                 yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + made, names=[*names, *added])
 
-    found = docs.select(*[docs[c].alias(n) for n, c in zip(names, keep, strict=True)], docs["text"].alias("__text")).mapInArrow(run, out)
+    found = in_batches(docs).select(*[docs[c].alias(n) for n, c in zip(names, keep, strict=True)], docs["text"].alias("__text")).mapInArrow(run, out)
     return found.toDF(*keep, *added)

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import WORD, Scratch
+from tessera.llm.common import Scratch, WORD, in_batches
 
 
 @dataclass(frozen=True)
@@ -250,7 +250,7 @@ def mixed_texts(docs: DataFrame, draws: DataFrame, block_words: int = 128) -> Da
                 text = pc.replace_with_mask(text, pc.invert(whole), pa.array(said, text.type))
             yield pa.RecordBatch.from_arrays([text if c == "text" else rb.column(c) for c in kept], names=kept)
 
-    mixed = joined.mapInArrow(cut, schema)
+    mixed = in_batches(joined).mapInArrow(cut, schema)
     if "n_chars" in docs.columns:
         size = F.length("text").cast(docs.schema["n_chars"].dataType)
         mixed = mixed.withColumn("n_chars", F.when(F.col("__whole"), F.col("n_chars")).otherwise(size))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessera.llm.common import sub_batches, without
+from tessera.llm.common import in_batches, sub_batches, without
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
@@ -106,4 +106,4 @@ def encode_decode(docs: DataFrame, model_path: str, *, keep: list[str] | None =
                 part = rb.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [ids, pa.array(decoded, pa.string())], names=[*keep, "ids", "decoded"])
 
-    return docs.select(*[docs[c] for c in keep], docs[text].alias("__text")).mapInArrow(run, schema)
+    return in_batches(docs).select(*[docs[c] for c in keep], docs[text].alias("__text")).mapInArrow(run, schema)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import sample_share, without
+from tessera.llm.common import in_batches, sample_share, without
 
 _UPPER, _DIGIT, _OTHER = re.compile(r"[^\W\d_a-zß-öø-ÿ]"), re.compile(r"\d"), re.compile(r"[^\w\s]|_")
 
@@ -129,7 +129,7 @@ def fit(
             x = [statistics(t) for t in rb.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
-    got = own.mapInArrow(features, "y int, x array<double>").toArrow()
+    got = in_batches(own).mapInArrow(features, "y int, x array<double>").toArrow()
     if not got.num_rows:
         return None
     y, x = np.asarray(got["y"].to_numpy(), float), np.array(got["x"].to_pylist(), float)
@@ -152,4 +152,4 @@ def predict(docs: DataFrame, model: Trees | None, *, keep: list[str] | None = No
             yield pa.RecordBatch.from_arrays([rb.column(n) for n in names] + [pa.array(s)], names=[*names, "score"])
 
     rows = docs.select(*[docs[c].alias(n) for n, c in zip(names, keep, strict=True)], docs["text"].alias("__text"))
-    return rows.mapInArrow(run, out).toDF(*keep, "score")
+    return in_batches(rows).mapInArrow(run, out).toDF(*keep, "score")

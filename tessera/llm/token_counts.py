@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessera.llm.common import without
+from tessera.llm.common import in_batches, without
 
 LEAF = 32
 CONTEXT = 4
@@ -188,4 +188,4 @@ def count_edits(docs: DataFrame, vocabulary: str, pattern: str, *, keep: list[st
             made = [pa.array([r[i] for r in rows], pa.int64()) for i in range(4)]
             yield pa.RecordBatch.from_arrays([rb.column(c) for c in keep] + made, names=[*keep, *more])
 
-    return docs.select(*[docs[c] for c in keep], docs["text"].alias("__text"), docs["edits"].alias("__edits")).mapInArrow(run, out)
+    return in_batches(docs).select(*[docs[c] for c in keep], docs["text"].alias("__text"), docs["edits"].alias("__edits")).mapInArrow(run, out)

@@ -8,13 +8,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import public_tokenizers as P
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, chat, html_text, jaccard_join, langid, mixing, piece_codec, quality, queries, token_counts, topk_join
+from tessera.llm import ann, chat, common, html_text, jaccard_join, langid, mixing, piece_codec, quality, queries, token_counts, topk_join
 from tessera.llm.common import Scratch, materialize
 from tests import compare
 
@@ -758,3 +759,28 @@ def test_open_shingles_meet_neighbouring_sizes_only(spark):
     rows = [(1, 7, 1, 2, 10), (2, 7, 2, 1, 11), (3, 7, 3, 1, 13), (4, 8, 4, 1, 5), (5, 8, 4, 1, 5), (6, 9, 6, 1, 1)]
     got = _met(spark.createDataFrame(rows, "doc_id long, token long, comp long, level int, bucket int")).select("doc_id", "least").collect()
     assert sorted(map(tuple, got)) == [(1, 1), (2, 1)]
+
+
+def test_batches_of_long_texts_are_bounded(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("abcdefgh"), 512).alias("t"))
+
+    def sizes(batches):
+        for rb in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [rb.num_rows], "bytes": [rb.nbytes]})
+
+    before = spark.conf.getAll.get(key)
+    try:
+        for own, bound in ((None, common.BATCH_BYTES), (str(1 << 20), 1 << 20)):
+            if own is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, own)
+            got = common.in_batches(docs).mapInArrow(sizes, "rows long, bytes long").collect()
+            assert sum(r["rows"] for r in got) == 4000
+            assert len(got) > 1 and max(r["bytes"] for r in got) <= 1.1 * bound
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, chat, html_text, jaccard_join, langid, mixing, piece_codec, quality, token_counts, topk_join
+from tessera.llm import ann, chat, html_text, jaccard_join, langid, mixing, piece_codec, quality, token_counts, topk_join, turn_trie
 from tessera.llm.common import Scratch, fold, table
 from tessera.llm.sql import ORACLE_SQL as ORACLE_SQL
 
@@ -81,10 +81,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", "n_tokens_edited", "n_pre_tokens", "n_re_encoded")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation takes the first turns of the one that starts its block of 20: none to three of them,
+    in place of its own."""
+    with Scratch(spark) as work:
+        own = work.keep(turn_trie.conversations(table(spark, sf_dir, "conversations")), "conversations")
+        heads = own.where("conv_id % 20 = 0").select(F.col("conv_id").alias("base"), F.slice("turns", 1, 3).alias("head"))
+        n = F.crc32(F.col("conv_id").cast("string")) % 4
+        joined = own.join(heads, own.conv_id - own.conv_id % 20 == heads.base, "left").withColumn("n", n.cast("int"))
+        none = F.slice("turns", 1, 0)
+        turns = F.concat(F.slice(F.coalesce("head", none), F.lit(1), F.col("n")), F.slice("turns", F.col("n") + 1, F.size("turns")))
+        return turn_trie.prefix_trie(joined.select("conv_id", turns.alias("turns")), work)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_language, op3_topk, op4_pieces, op5_quality, op6_main_text, op7_chat, op8_ann, op9_jaccard, op10_token_counts, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_language, op3_topk, op4_pieces, op5_quality, op6_main_text, op7_chat, op8_ann, op9_jaccard, op10_token_counts, op13_prefix_trie, pipeline)}

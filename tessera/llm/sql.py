@@ -62,4 +62,38 @@ select doc_id, n as n_shingles, component_id
 from sized join (select doc_id, min(other) as component_id from reached group by doc_id) using (doc_id)
 """
 
-ORACLE_SQL = {"op3_topk": _TOPK, "op7_chat": _CHAT, "op9_jaccard": _JACCARD}
+# crc32 bit by bit; a node is the list of its turns
+_TRIE = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as said from conversations where conv_id is not null
+), own as (
+  select conv_id, list({'role': role, 'said': said} order by turn nulls first, sha256(length(role) || ':' || role || said)) as turns
+  from turns group by conv_id
+), taken as (
+  select conv_id, turns, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(conv_id::varchar, ''),
+    lambda c: list_transform(range(8), lambda i: (ascii(c)::bigint >> i::bigint) & 1)))),
+    lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1)))) % 4 as h
+  from own
+), rebuilt as (
+  select t.conv_id, list_concat(coalesce(b.turns[1:h], t.turns[1:0]), t.turns[h + 1:]) as s
+  from taken t left join own b on b.conv_id = t.conv_id - t.conv_id % 20
+), prefixes as (
+  select conv_id, d, s[1:d] as p, len(s) = d as whole from (select conv_id, s, unnest(range(0, len(s) + 1)) as d from rebuilt)
+), nodes as (
+  select p, d, min(conv_id) as conv_id, count(*) as n_convs, string_agg(conv_id::varchar, ',' order by conv_id) filter (whole) as ends,
+    (count(*) - 1) * case when d = 0 then 0 else len(regexp_extract_all(p[d].said, '[^\x20\x09-\x0D]+')) end as saved
+  from prefixes group by p, d
+), kids as (
+  select p[1:d - 1] as p, d - 1 as d, count(*) as n_children from nodes where d > 0 group by 1, 2
+), counted as (
+  select nodes.*, coalesce(n_children, 0) as n_children from nodes left join kids using (p, d)
+), above as (
+  select p[1:a] as p, a as d, sum(saved) as saved_tokens, sum((n_children = 0)::integer) as n_leaves
+  from (select *, unnest(range(0, d + 1)) as a from counted) group by 1, 2
+)
+select c.conv_id, c.d as depth, q.conv_id as parent_conv_id, c.n_convs, c.n_children, n_leaves::bigint as n_leaves,
+  saved_tokens::bigint as saved_tokens, sha256(coalesce(c.ends, '')) as ends_sha256
+from counted c join above using (p, d) left join nodes q on q.d = c.d - 1 and q.p = c.p[1:c.d - 1]
+"""
+
+ORACLE_SQL = {"op3_topk": _TOPK, "op7_chat": _CHAT, "op9_jaccard": _JACCARD, "op13_prefix_trie": _TRIE}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, chat, html_text, jaccard_join, langid, mixing, piece_codec, quality, token_align, token_counts, topk_join, turn_trie
+from tessera.llm import ann, chat, html_text, jaccard_join, langid, mixing, piece_codec, quality, secret_scan, token_align, token_counts, topk_join, turn_trie
 from tessera.llm.common import Scratch, fold, table
 from tessera.llm.sql import ORACLE_SQL as ORACLE_SQL
 
@@ -81,6 +81,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", "n_tokens_edited", "n_pre_tokens", "n_re_encoded")
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secret_scan.digests(secret_scan.scan(docs), ["doc_id"])
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     with Scratch(spark) as work:
@@ -106,4 +111,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_language, op3_topk, op4_pieces, op5_quality, op6_main_text, op7_chat, op8_ann, op9_jaccard, op10_token_counts, op12_alignment, op13_prefix_trie, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_language, op3_topk, op4_pieces, op5_quality, op6_main_text, op7_chat, op8_ann, op9_jaccard, op10_token_counts, op11_secrets, op12_alignment, op13_prefix_trie, pipeline)}

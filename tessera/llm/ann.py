@@ -111,10 +111,12 @@ def search(
         queries = asked.select(F.pmod(F.xxhash64(F.lit(9), "query_id"), F.lit(groups)).cast("int").alias("grp"), F.lit(slices).alias("slices"), "query_id", "asked", "most")
         dealt = codes.withColumn("slices", F.lit(slices)).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
         met = work.keep(meet(dealt, queries, _estimator(shared, dim, k, width), "query_id long, vec_id long, low double, high double"), "met")
-        # over all slices the k-th least upper bound of a query is one that k rows keep
-        w = Window.partitionBy("query_id").orderBy("high", "vec_id")
-        edge = met.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy("query_id").agg(F.max("high").alias("edge"))
-        kept = met.join(edge, "query_id").where(F.col("low") <= F.col("edge")).select("query_id", "vec_id")
+        # over all slices the k-th least upper bound of a query is one that k rows keep; bounds may fail, so the
+        # k least estimates stay whatever they say
+        by = lambda *order: F.row_number().over(Window.partitionBy("query_id").orderBy(*order, "vec_id"))
+        edge = met.withColumn("r", by("high")).where(F.col("r") <= k).groupBy("query_id").agg(F.max("high").alias("edge"))
+        least = met.withColumn("r", by(F.col("low") + F.col("high")))
+        kept = least.join(edge, "query_id").where((F.col("low") <= F.col("edge")) | (F.col("r") <= k)).select("query_id", "vec_id")
         # only now do vectors travel: those of the rows kept, to the queries that kept them
         pairs = kept.join(rows, "vec_id").join(asked.select("query_id", "asked"), "query_id").select("query_id", "vec_id", "vec", "asked")
 
@@ -175,11 +177,14 @@ def _estimator(shared, dim: int, k: int, width: float):
                 middle, low = estimate(y[a : a + 32], own[0], signs, *own[1:], centers, rot, width)
                 high = 2 * middle - low
                 itself = asked[a : a + 32, None] == ids[None]
-                low[itself] = high[itself] = np.inf
+                middle[itself] = low[itself] = high[itself] = np.inf
                 edge = most[a : a + 32]
                 if len(ids) >= k:
                     edge = np.minimum(edge, np.partition(high, k - 1, axis=1)[:, k - 1])
-                at, row = np.nonzero((low <= edge[:, None]) & np.isfinite(low))
+                near = low <= edge[:, None]
+                for short in np.nonzero(near.sum(1) < k)[0]:  # never fewer than k rows, as far as there are any
+                    near[short, np.argpartition(middle[short], k)[:k] if len(ids) > k else slice(None)] = True
+                at, row = np.nonzero(near & np.isfinite(low))
                 names.append(asked[a + at])
                 found.append(ids[row])
                 lows.append(low[at, row])

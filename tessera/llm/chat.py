@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import in_batches
+
 Turn = tuple[str, str]
 Render = Callable[[list[Turn], bool], str]
 
@@ -150,7 +152,7 @@ def format_conversations(rows: DataFrame, render: Render = marked_turns) -> Data
             }
             yield pa.RecordBatch.from_pydict(columns)
 
-    return grouped.mapInArrow(run, OUTPUT)
+    return in_batches(grouped).mapInArrow(run, OUTPUT)
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -170,7 +172,7 @@ def digests(formatted: DataFrame) -> DataFrame:
             made = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([rb.column("conv_id"), *made], names=names)
 
-    return formatted.select("conv_id", "formatted", "loss_spans").mapInArrow(run, kind)
+    return in_batches(formatted).select("conv_id", "formatted", "loss_spans").mapInArrow(run, kind)
 
 
 def _sha(text: str) -> str:

@@ -2,10 +2,14 @@
 
 A page is read tag by tag into a tree (end tags that HTML lets authors leave out are
 supplied). Elements that are never part of an article, by element name or ARIA role, are cut
-off. Forms and marked elements are cut off unless they hold a main element, the article with
-the most plain text, or most of the page's plain text: the mark then says something about a
-wrapper, and what is in it is judged by itself. A class or id marks an element if it has
-nothing but words for such parts and words for boxes ("cookie-notice", "post-comments"). With
+off. A class or id marks an element if it has nothing but words for such parts and words for
+boxes ("cookie-notice", "post-comments"). A marked element is cut off however large it is,
+unless it holds a main element that is not in another marked part: its mark then says
+something about a wrapper. Only where the page's text outside marked parts is smaller than an
+article element in one of them that is not for readers' remarks is that article the page's
+own, and only where nothing at all is left do marks for other things than remarks count for
+nothing. A form is cut off too, unless it holds an article, a main element or most of the
+page's plain text, which is then judged by itself. With
 other words beside them ("notice-of-appeal", "social-history") it is evidence only: a small
 element goes if most of it is links besides. Headings are never marked, nor are paragraphs and
 inline elements by their ids, and a class that says what is there or not ("has-sidebar",
@@ -65,6 +69,8 @@ CUT_WORDS = frozenset(
     "subscribe subscription signup sidebar rail widget widgets nav navbar navigation menu breadcrumb breadcrumbs pagination pager masthead footer comment comments disqus "
     "respond replies social share sharing related recommended recommendations trending login toolbar copyright hidden".split()
 )
+#: Those of them for what readers write.
+_REMARKS = frozenset("comment comments disqus respond replies".split())
 #: Words for boxes and places, which say nothing about what is in them.
 BOX_WORDS = frozenset(
     "list box container wrapper wrap block section area inner outer item items bar panel content main top bottom left right side page site global primary secondary fixed "
@@ -86,10 +92,10 @@ class _Node:
     """An element. ``inside``: in an article or main element, ``top`` the outermost of them; ``link``: its text is
     a link's; ``owner``: the container its text is a block of; ``open``: open elements by kind that a start tag may close."""
 
-    __slots__ = ("tag", "parent", "children", "inside", "top", "link", "owner", "open", "chars", "linked", "tags", "links", "density", "sum", "best", "cut", "mark", "picked")
+    __slots__ = ("tag", "parent", "children", "inside", "top", "link", "owner", "open", "chars", "linked", "tags", "links", "density", "sum", "best", "cut", "mark", "form", "picked")
 
     def __init__(self, tag: str, parent: _Node | None):
-        self.tag, self.parent, self.cut, self.mark, self.picked = tag, parent, False, 0, False
+        self.tag, self.parent, self.cut, self.mark, self.form, self.picked = tag, parent, False, 0, False, False
         self.children: list[_Node] = []
         self.chars = self.linked = self.tags = self.links = 0
         self.density = self.sum = 0.0
@@ -113,13 +119,13 @@ class _Node:
 
 
 def _words_mark(value: str, inside: bool) -> int:
-    """2 if a class or id names nothing but a part that is no article, 1 if it has such a word among others."""
+    """3 if a class or id names nothing but readers' remarks, 2 another part that is no article, 1 if it has such a word among others."""
     found = 0
     for one in value.split():
         words = {w.lower() for w in _TOKENS.findall(one) if not w.isdigit()}
         if words & _STATES or not (words & CUT_WORDS or ("header" in words and not inside)):
             continue
-        found = max(found, 2 if words <= CUT_WORDS | BOX_WORDS else 1)
+        found = max(found, 1 if not words <= CUT_WORDS | BOX_WORDS else 3 if words & _REMARKS else 2)
     return found
 
 
@@ -130,7 +136,7 @@ def _judge(node: _Node, attributes: str) -> None:
     if tag in CUT or (tag == "header" and not inside):
         node.cut = True
         return
-    node.mark = 2 if tag == "form" else 0
+    node.form = tag == "form"
     if not attributes or tag in ("html", "body", "article", "main"):
         return
     for m in _ATTRIBUTE.finditer(attributes):
@@ -140,7 +146,7 @@ def _judge(node: _Node, attributes: str) -> None:
             node.cut = True
             return
         if role == "form":
-            node.mark = 2
+            node.form = True
         if tag not in HEADINGS and (name == "class" or (name == "id" and tag not in LEAF and tag not in INLINE)):
             node.mark = max(node.mark, _words_mark(value, inside))
 
@@ -282,22 +288,40 @@ def _parse(page: str) -> tuple[list[_Node], list[tuple[_Node, _Node, str]]]:
 
 
 def _settle(nodes: list[_Node]) -> None:
-    """Cuts the marked elements that hold neither a main element nor the greatest article nor most of the plain text."""
-    if any(n.mark and not n.cut for n in nodes):
-        chars, linked = {}, {}
+    """Cuts the marked elements and forms that are no wrappers of the article."""
+    if any((n.mark or n.form) and not n.cut for n in nodes):
+        chars, linked, plain = {}, {}, {}
         for n in reversed(nodes):
             chars[n], linked[n] = n.chars + sum(chars[c] for c in n.children if not c.cut), n.linked + sum(linked[c] for c in n.children if not c.cut)
-        plain = {n: chars[n] - linked[n] for n in nodes}
-        articles = [n for n in nodes if n.tag == "article" and not n.cut and plain[n]]
-        core = [n for n in nodes if n.tag == "main" and not n.cut and plain[n]] + ([max(articles, key=plain.__getitem__)] if articles else [])
+            plain[n] = chars[n] - linked[n]
+        marks: dict[_Node, int] = {}  # the marked elements around, by the gravest of their marks
+        outside = 0  # plain text outside of marked parts
+        for n in nodes:
+            above = marks[n.parent] if n.parent is not None else 0
+            marks[n] = max(above, n.mark if n.mark > 1 else 0)
+            outside += 0 if marks[n] or n.cut else n.chars - n.linked
         spared: set[_Node] = set()
-        for n in core:
+
+        def spare(n: _Node | None) -> None:
             while n is not None and n not in spared:
                 spared.add(n)
                 n = n.parent
+
+        mains = [n for n in nodes if n.tag == "main" and not n.cut and plain[n] and marks[n] < 3]
+        articles = [n for n in nodes if n.tag == "article" and not n.cut and plain[n] and marks[n] < 3]
+        free = [n for n in articles if not marks[n]]
+        for n in mains or free:
+            spare(n)
+        if not mains and not free and articles and plain[best := max(articles, key=plain.__getitem__)] > outside:
+            spare(best)
+        elif not mains and not outside:  # nothing but marked parts: their densities decide
+            for n in nodes:
+                if n.mark == 2 and not n.cut and marks[n] < 3:
+                    spare(n)
         for n in nodes:
-            if n.mark and n not in spared and 2 * plain[n] <= plain[nodes[0]]:
-                n.cut = n.cut or n.mark == 2 or (2 * linked[n] >= chars[n] and 5 * chars[n] <= chars[nodes[0]])
+            if n not in spared:
+                small = 2 * linked[n] >= chars[n] and 5 * chars[n] <= chars[nodes[0]]
+                n.cut = n.cut or n.mark > 1 or (n.form and 2 * plain[n] <= plain[nodes[0]]) or (n.mark == 1 and small)
     for n in nodes[1:]:
         n.cut = n.cut or n.parent.cut
 

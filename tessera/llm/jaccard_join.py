@@ -209,7 +209,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, bits:
                 yield found.select(["doc_id", "text"])
 
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = texts.withColumn("c", cell).mapInArrow(some, "doc_id long, text string")
+    texts = in_batches(texts.withColumn("c", cell)).mapInArrow(some, "doc_id long, text string")
     left = pairs.join(texts.withColumnRenamed("text", "x"), pairs["a"] == F.col("doc_id")).select("a", "b", "x")
     full = left.join(texts.withColumnRenamed("text", "y"), F.col("b") == F.col("doc_id")).select("a", "b", "x", "y")
 

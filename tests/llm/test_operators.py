@@ -333,6 +333,19 @@ def test_ann_recall_and_scores(spark):
         assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 10 for q in want]) >= 0.95
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3, 4, 5])
+def test_ann_gives_k_rows_on_tight_clusters(spark, seed):
+    """Clusters of 11 rows far from each other: k true neighbours and no spare one."""
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(size=(400, 64))
+    x = np.repeat(centers, 11, axis=0) + rng.normal(size=(4400, 64)) * 0.02
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = ann.search(table, every=11).collect()
+    assert Counter(Counter(r["query_id"] for r in rows).values()) == {10: 400}
+    right = sum(r["query_id"] // 11 == r["vec_id"] // 11 for r in rows)
+    assert right >= 0.95 * len(rows)
+
+
 @pytest.mark.parametrize("search, every", [(topk_join.topk_join, 50), (ann.search, 100)])
 def test_vector_odd_rows(spark, search, every):
     kind = "vec_id long, embedding array<float>, label int, score double"
@@ -453,6 +466,33 @@ def test_main_text_keeps_what_a_word_alone_does_not_mark():
     assert html_text.main_text(page).split("\n\n") == ["Title", text, "Appeal", text, "Then", text, "Last, linked."]
 
 
+PARAS = [f"Paragraph {i} of the article says this and that about its matter, " + "word by word, " * 12 + "to its end." for i in range(4)]
+REMARKS = "".join(f"<div><b>Reader {i}</b><p>I read it and have much to say about it, remark {i}, " + "again and again, " * 14 + "so there.</p></div>" for i in range(12))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article>{a}</article><section id='comments'>{r}</section>",
+        "<main>{a}</main><section id='comments'>{r}</section>",
+        "<main>{a}<section id='comments'>{r}</section></main>",
+        "<div>{a}</div><section id='comments'>{r}</section>",
+        "<article>{a}<section class='post-comments'>{r}</section></article>",
+        "<div id='content'>{a}</div><div id='comments'><article>{r}</article></div>",
+        "<article>{a}</article><div class='cookie-notice'>{r}</div>",
+        "<div class='cookie-notice'><p>" + "We use cookies and say so in one more sentence. " * 30 + "</p></div><div id='content'>{a}</div>",
+        "<div id='content'>{a}</div><div class='sidebar'><article><p>One short teaser of another text.</p></article></div>",
+        "<div class='comments'><main>{r}</main></div><div>{a}</div>",
+        "<div class='widget'><article>{a}</article></div><div id='comments'>{r}</div><p>Left over.</p>",
+        "<div class='widget'><div>{a}</div></div><div id='comments'>{r}</div>",
+        "<form id='page'>{a}<div class='comment-list'>{r}</div></form>",
+    ],
+)
+def test_main_text_without_large_marked_parts(page):
+    said = "".join(f"<p>{p}</p>" for p in PARAS)
+    assert html_text.main_text("<body><nav><a href=/>Home</a></nav>" + page.format(a=said, r=REMARKS) + "<footer>(c)</footer></body>").split("\n\n") == PARAS
+
+
 def test_main_text_by_density_alone():
     said = [" ".join(f"word{i}{k}" for k in range(60)) + "." for i in range(5)]
     para = "".join(f"<p>{t}</p>" for t in said)

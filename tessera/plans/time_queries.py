@@ -65,9 +65,28 @@ def tmp_append_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.append_states(_impacts(spark, sf_dir))
 
 
-@query(f"SELECT node, d AS description, event AS start, lead(event) OVER (PARTITION BY node ORDER BY ts, event_id) AS \"end\" FROM (SELECT *, lag(d) OVER (PARTITION BY node ORDER BY ts, event_id) AS before FROM ({_NODE_EVENTS})) WHERE before IS NULL OR before <> d")
+# a fold over lists: each impact closes the first open state and takes the place of its description's, or is put behind
+_STATE_FOLD = """list_reduce(list([{'d': d, 'a': attributes, 'st': coalesce(st, event), 'en': en, 'ev': event, 'k': k, 'sid': k || '0'}] ORDER BY ts, event_id),
+  lambda acc, x: list_concat(
+    list_transform(list_transform(acc, lambda s, i: CASE WHEN x[1].en IS NULL AND i = list_position(list_transform(acc, lambda t: t.en IS NULL), true)
+        THEN {'d': s.d, 'a': s.a, 'st': s.st, 'en': x[1].ev, 'ev': s.ev, 'k': s.k, 'sid': s.sid} ELSE s END),
+      lambda s: CASE WHEN s.d = x[1].d THEN {'d': s.d, 'a': x[1].a, 'st': x[1].st, 'en': x[1].en, 'ev': x[1].ev, 'k': x[1].k, 'sid': x[1].k || len(acc)} ELSE s END),
+    CASE WHEN len(list_filter(acc, lambda s: s.d = x[1].d)) > 0 THEN acc[1:0]
+      ELSE [{'d': x[1].d, 'a': x[1].a, 'st': x[1].st, 'en': x[1].en, 'ev': x[1].ev, 'k': x[1].k, 'sid': x[1].k || len(acc)}] END))"""
+
+
+@query(f"""WITH x AS (SELECT 'customer_' || (user_id + 1) AS node, ts, event_id, 'Event ' || event_id AS event, event_type || ' ' || event_id % 3 AS d, event_type AS attributes, 'event_' || event_id || '_customer_' || (user_id + 1) || '_' AS k,
+    CASE WHEN event_id % 11 = 0 THEN 'Event ' || (event_id - 5) END AS st, CASE WHEN event_id % 7 = 0 THEN 'Event ' || (event_id + 100) END AS en FROM events)
+  SELECT node, place, s.sid AS sid, s.d AS description, s.a AS attributes, s.st AS start, s.en AS "end" FROM (SELECT node, unnest(range(len(l))) AS place, unnest(l) AS s FROM (SELECT node, {_STATE_FOLD} AS l FROM x GROUP BY node))""")
 def tmp_apply_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.apply_states(_impacts(spark, sf_dir)).select("node", F.explode("states").alias("s")).select("node", "s.description", "s.start", "s.end")
+    """Some impacts have a start or an end of their own; descriptions come again."""
+    n = F.col("event_id")
+    named = lambda kind, c: F.concat(F.lit(kind), c.cast("string"))
+    impacts = table(spark, sf_dir, "events").select(
+        named("customer_", F.col("user_id") + 1).alias("node"), F.struct("ts", "event_id").alias("ord"), named("event_", n).alias("event_id"), named("Event ", n).alias("event"), F.concat_ws(" ", "event_type", n % 3).alias("description"),
+        F.create_map(F.lit("kind"), F.col("event_type")).alias("attributes"), F.when(n % 11 == 0, named("Event ", n - 5)).alias("start"), F.when(n % 7 == 0, named("Event ", n + 100)).alias("end"),
+    )
+    return T.apply_states(impacts).withColumn("attributes", F.col("attributes")["kind"])
 
 
 def _timed_edges(spark: SparkSession, sf_dir: str, name: Column | None = None) -> DataFrame:
@@ -97,15 +116,40 @@ def tmp_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RANGES = "(SELECT query_id, CASE WHEN query_id % 4 <> 2 THEN query_id % 7 + 1 END AS l, CASE WHEN query_id % 4 <> 3 THEN query_id % 5 + 2 END AS r FROM (SELECT DISTINCT conv_id AS query_id FROM conversations))"
 
 
+def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, q = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id")).distinct(), F.col("query_id")
+    return asked.select(F.lit("g0").alias("graph_id"), "query_id", F.when(q % 4 != 2, q % 7 + 1).alias("left"), F.when(q % 4 != 3, q % 5 + 2).alias("right"))
+
+
 @query(f"""WITH lv AS ({_LEVELS}), top AS (SELECT max(level) AS m FROM lv), q AS (SELECT query_id, least(coalesce(l, 0), coalesce(r, m)) AS lo, greatest(coalesce(l, 0), coalesce(r, m)) AS hi FROM {_RANGES}, top)
   SELECT query_id, count(*) AS states, min(e.id) AS first, max(e.id) AS last FROM ({_TIMED}) e LEFT JOIN lv a ON a.id = e.s LEFT JOIN lv b ON b.id = e.t, top, q WHERE coalesce(b.level, m) >= lo AND coalesce(a.level, 0) <= hi GROUP BY query_id""")
 def tmp_filter_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A range of levels a conversation, over the states of all customers."""
     states = _timed_edges(spark, sf_dir).select("graph_id", F.col("id").alias("node"), F.col("time_start_event").alias("start"), F.col("time_end_event").alias("end"))
-    asked, q = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id")).distinct(), F.col("query_id")
-    ranges = asked.select(F.lit("g0").alias("graph_id"), "query_id", F.when(q % 4 != 2, q % 7 + 1).alias("left"), F.when(q % 4 != 3, q % 5 + 2).alias("right"))
-    found = T.states_within(states, _levels(spark, sf_dir), ranges)
-    return found.groupBy("query_id").agg(F.count("*").alias("states"), F.min("node").alias("first"), F.max("node").alias("last"))
+    ranges = _ranges(spark, sf_dir)
+    return T.count_within(states, _levels(spark, sf_dir), ranges)
+
+
+_LAST_ORDER = """SELECT *, lead('Order ' || o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS closed, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS level,
+  row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS latest FROM orders"""
+
+
+@query(f"""WITH o AS ({_LAST_ORDER}), st AS (SELECT 'customer_' || o.o_custkey AS node, o.o_orderpriority AS description, o.level AS a, coalesce(p.level, (SELECT max(level) FROM o)) AS b FROM o LEFT JOIN o p ON p.o_custkey = o.o_custkey AND 'Order ' || p.o_orderkey = o.closed WHERE o.latest = 1),
+  q AS (SELECT query_id, least(coalesce(l, 0), coalesce(r, m)) AS lo, greatest(coalesce(l, 0), coalesce(r, m)) AS hi FROM {_RANGES}, (SELECT max(level) AS m FROM o))
+  SELECT query_id, node, description FROM st JOIN q ON b >= lo AND a <= hi""")
+def tmp_states_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain: orders put states on their customers, orders are levelled, and the conversations' ranges of
+    levels ask for states, whose times are names of orders."""
+    ident = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    none = F.lit(None).cast("string")
+    impacts = table(spark, sf_dir, "orders").select(
+        ident("customer_", "o_custkey").alias("node"), F.struct("o_orderdate", "o_orderkey").alias("ord"), ident("order_", "o_orderkey").alias("event_id"), ident("Order ", "o_orderkey").alias("event"),
+        F.col("o_orderpriority").alias("description"), none.alias("attributes"), none.alias("start"), none.alias("end"),
+    )
+    events = star_graph(spark, sf_dir).nodes.where("type = 'event'").select("graph_id", "id", "name")
+    states = T.apply_states(impacts).withColumn("graph_id", F.lit("g0"))
+    ranges = _ranges(spark, sf_dir)
+    return T.states_within(states, _levels(spark, sf_dir), ranges, events).select("query_id", "node", "description")
 
 
 @query(f"WITH lv AS ({_LEVELS}) SELECT e.id FROM ({_TIMED}) e LEFT JOIN lv a ON a.id = e.s WHERE coalesce(a.level, 0) <= 3")

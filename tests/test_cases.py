@@ -168,27 +168,6 @@ def test_suffixes_run_on_over_buckets_of_chunks(spark):
             seen[base] = n + 1
 
 
-def test_ranges_of_levels_equal_a_plain_comparison(spark):
-    rng = random.Random(4)
-    levels = {f"e{i}": i for i in range(50)}
-    name = lambda: rng.choice([None, f"e{rng.randrange(50)}", "gone"])
-    states = [("g", i, name(), name()) for i in range(200)]
-    ranges = [("g", q, rng.choice([None, rng.randrange(-3, 55)]), rng.choice([None, rng.randrange(-3, 55)])) for q in range(60)]
-    want = set()
-    for _, i, start, end in states:
-        a, b = levels.get(start, 0), levels.get(end, 49)
-        for _, q, left, right in ranges:
-            low, high = sorted((0 if left is None else left, 49 if right is None else right))
-            if b >= low and a <= high:
-                want.add((q, i))
-    table = lambda rows, kind: spark.createDataFrame(rows, kind)
-    got = temporal.states_within(
-        table(states, "graph_id string, node int, start string, end string"), table([("g", k, v) for k, v in levels.items()], "graph_id string, id string, level int"),
-        table(ranges, "graph_id string, query_id int, left int, right int"), buckets=8,
-    ).collect()
-    assert len(got) == len(want) and {(r["query_id"], r["node"]) for r in got} == want
-
-
 def test_versions_of_a_table_keep_the_latest_rows(spark):
     store = incremental.merge_into(runtime.scratch(spark, "versions"), compact_every=3)
     held = {}

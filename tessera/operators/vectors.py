@@ -59,14 +59,17 @@ def ids(index: DataFrame) -> DataFrame:
 
 def top_k(index: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", block: int = 4096, slices: int = 64, metadata: list[str] | None = None, skip_own: bool = False) -> DataFrame:
     """index: id, embedding; queries: query_id, embedding. (query_id, id, distance, rank), ties by id, and the
-    ``metadata`` columns of the index. With ``skip_own`` a query does not find the row of its own id.
+    ``metadata`` columns of the index. Vectors that are null or hold a null or NaN are not found, and find
+    nothing; zero vectors have a cosine of 0 with all others. With ``skip_own`` a query does not find the row of its own id.
 
     Queries are dealt into blocks of about ``block``; every index slice meets every block in one
     task as a matrix product, and only its own k best go on to the ranking."""
+    whole = lambda df: df.where(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)))
+    queries = whole(queries)
     blocks = max(1, -(-queries.count() // block))
     q = queries.select("query_id", F.col("embedding").alias("v")).withColumn("b", F.pmod(F.hash("query_id"), F.lit(blocks)))
     q = q.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    d = index.where("embedding is not null").select("id", F.col("embedding").alias("v")).withColumn("s", F.pmod(F.hash("id"), F.lit(slices)))
+    d = whole(index).select("id", F.col("embedding").alias("v")).withColumn("s", F.pmod(F.hash("id"), F.lit(slices)))
     d = d.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     id_type, query_type = index.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     places = k + skip_own
@@ -77,7 +80,8 @@ def top_k(index: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
             x, y = (np.array(p["v"].tolist(), float) for p in (left, right))
             ids = left["id"].to_numpy()
             if metric == "cosine":
-                dist = 1 - (y / np.linalg.norm(y, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+                y, x = (v / np.where(size := np.linalg.norm(v, axis=1, keepdims=True), size, 1) for v in (y, x))
+                dist = 1 - y @ x.T
             else:
                 dist = np.sqrt(np.maximum((y * y).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * y @ x.T, 0))
             dist = np.round(dist, 9)

@@ -244,17 +244,17 @@ def fn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vector_pairs(spark, sf_dir).select("vec_id", F.round(X.cosine(F.col("x"), F.col("y")), 6).alias("similarity"))
 
 
-def _lexical(a: str, b: str) -> str:
+def lexical_sql(a: str, b: str) -> str:
     words = lambda v: rf"list_distinct(regexp_extract_all(lower(trim({v})), '[\p{{L}}\p{{N}}_]+'))"
     return f"((1 - levenshtein(lower(trim({a})), lower(trim({b}))) / greatest(length(trim({a})), length(trim({b})), 1)) + len(list_intersect({words(a)}, {words(b)})) / greatest(1, len(list_distinct(list_concat({words(a)}, {words(b)}))))) / 2"
 
 
-@query(f"SELECT p_partkey, round({_lexical('p_name', 'p_type')}, 6) AS similarity FROM part")
+@query(f"SELECT p_partkey, round({lexical_sql('p_name', 'p_type')}, 6) AS similarity FROM part")
 def fn_lexical_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(X.lexical_similarity(F.col("p_name"), F.col("p_type")), 6).alias("similarity"))
 
 
-@query(f"SELECT vec_id, round(0.6 * list_cosine_similarity(x, y) + 0.3 * {_lexical('na', 'nb')} + 0.1 * (CASE WHEN la <> lb THEN 0.0 WHEN na <> nb AND (contains(na, nb) OR contains(nb, na)) THEN 0.9 ELSE 1.0 END), 5) AS similarity FROM (SELECT *, 'item ' || vec_id AS na, 'item ' || (vec_id % 10) AS nb FROM ({_PAIRS}))")
+@query(f"SELECT vec_id, round(0.6 * list_cosine_similarity(x, y) + 0.3 * {lexical_sql('na', 'nb')} + 0.1 * (CASE WHEN la <> lb THEN 0.0 WHEN na <> nb AND (contains(na, nb) OR contains(nb, na)) THEN 0.9 ELSE 1.0 END), 5) AS similarity FROM (SELECT *, 'item ' || vec_id AS na, 'item ' || (vec_id % 10) AS nb FROM ({_PAIRS}))")
 def fn_hybrid_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.concat(F.lit("item "), "vec_id"), F.concat(F.lit("item "), F.col("vec_id") % 10)
     sim = X.hybrid_similarity(a, b, F.col("la"), F.col("lb"), X.cosine(F.col("x"), F.col("y")))

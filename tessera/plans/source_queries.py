@@ -269,10 +269,28 @@ def stream_graph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.read(spark, max(seen)).select("id", "name")
 
 
-@query(W + "SELECT id, name AS document FROM nodes WHERE type <> 'item' UNION ALL SELECT id, source || ' ' || relation || ' ' || target FROM edges WHERE relation = 'located in'")
+@query(W + "SELECT id, name AS document, length(name)::FLOAT AS size FROM nodes WHERE type <> 'item' UNION ALL SELECT id, source || ' ' || relation || ' ' || target, length(source || ' ' || relation || ' ' || target)::FLOAT FROM edges WHERE relation <> 'involves'")
 def stream_vec_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of three versions of the graph: one without groups and with other names for events, the whole
+    graph, one without items and one kind of edges. Their changes arrive as a stream of files."""
+    where = scratch(spark, "sync")
     g = star_graph(spark, sf_dir)
-    edges = g.edges.where("relation = 'located in'")
+    name = F.when(F.col("type") == "event", "old").otherwise(F.col("name"))
+    versions = [(g.nodes.where("type <> 'group'").withColumn("name", name), g.edges), (g.nodes, g.edges), (g.nodes.where("type <> 'item'"), g.edges.where("relation <> 'involves'"))]
+    kept = None
+    for n, (nodes, edges) in enumerate(versions):
+        V.index_documents(nodes, edges).write.parquet(f"{where}/version={n}")
+        documents = spark.read.parquet(f"{where}/version={n}")
+        feed = I.changes(kept, documents, n)
+        feed.repartition(2, "id").write.mode("append").parquet(f"{where}/in")
+        kept = documents
     embed = lambda d: V.embed(d, lambda texts: [[float(len(t))] for t in texts])
-    old = embed(V.index_documents(g.nodes.where("type <> 'group'").withColumn("name", F.when(F.col("type") == "event", "old").otherwise(F.col("name"))), edges))
-    return I.sync_after(V.index_documents(g.nodes.where("type <> 'item'"), edges), old, embed).select("id", "document")
+    index = I.SyncedIndex(f"{where}/index", embed, compact_every=2)
+    seen: list[int] = []
+
+    def each(batch: DataFrame, n: int) -> None:
+        index.put(batch, n)
+        seen.append(n)
+
+    _drain(spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 2).parquet(f"{where}/in"), each, where)
+    return index.read(spark, max(seen)).select("id", "document", F.col("embedding")[0].alias("size"))

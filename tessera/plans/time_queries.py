@@ -10,14 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators import merge as M
 from tessera.operators import resolution as R
 from tessera.operators import retrieval as Q
 from tessera.operators import temporal as T
 from tessera.operators import vectors as V
-from tessera.plans.graph_queries import W, tokens_sql
+from tessera.operators.graph import Graph
+from tessera.plans.graph_queries import W, lexical_sql, tokens_sql
 from tessera.plans.registry import query, table
 from tessera.plans.star_graph import star_graph
-from tessera.runtime import Scratch
+from tessera.runtime import Scratch, scratch
 
 #: Levels of orders, without recursion: an order's place among its customer's.
 _LEVELS = "SELECT 'order_' || o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS level FROM orders"
@@ -181,6 +183,19 @@ def er_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.similar_pairs(_typed_vectors(spark, sf_dir), 0.2).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+_NAMED = "SELECT vec_id, label, embedding, 'Vector ' || (vec_id % 40) || ' of ' || label AS name FROM embeddings"
+
+
+@query(f"""SELECT a, b, round(s, 5) AS similarity FROM (SELECT a.vec_id AS a, b.vec_id AS b, 0.6 * list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 0.3 * {lexical_sql('a.name', 'b.name')}
+    + 0.1 * CASE WHEN lower(a.name) <> lower(b.name) AND (contains(lower(a.name), lower(b.name)) OR contains(lower(b.name), lower(a.name))) THEN 0.9 ELSE 1.0 END AS s
+  FROM ({_NAMED}) a JOIN ({_NAMED}) b ON a.label = b.label AND a.vec_id < b.vec_id) WHERE s >= 0.5""")
+def er_hybrid_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("string")
+    name = F.concat(F.lit("Vector "), F.col("vec_id") % 40, F.lit(" of "), label)
+    nodes = table(spark, sf_dir, "embeddings").select(F.lit("g0").alias("graph_id"), label.alias("type"), F.col("vec_id").alias("id"), F.col("vec_id").alias("ord"), name.alias("name"), "embedding")
+    return R.hybrid_pairs(nodes, 0.5).select("a", "b", F.round("similarity", 5).alias("similarity"))
+
+
 def _clustered(spark: SparkSession, sf_dir: str, best: bool) -> DataFrame:
     nodes = _typed_vectors(spark, sf_dir)
     return R.clusters(nodes, R.similar_pairs(nodes, 0.2), best)
@@ -204,6 +219,32 @@ def er_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clustered(spark, sf_dir, True).select("id", "leader")
 
 
+@query(f"""WITH f AS MATERIALIZED ({_FIT.format(order='a')}), n AS (SELECT leader AS id, count(*) AS members, min(f.id) AS first, max(f.id) AS last FROM f GROUP BY leader)
+  SELECT n.id, members, first, last, 'vector ' || last AS base_description, (SELECT count(*) FROM f JOIN embeddings v ON v.vec_id = f.id + 1 WHERE f.leader = n.id) AS edges_out,
+  (SELECT count(*) FROM f JOIN embeddings v ON v.vec_id = f.id - 1 WHERE f.leader = n.id) AS edges_in FROM n""")
+def g_merge_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors as nodes in three extractions, merged one after another into a graph of versions."""
+    rows = table(spark, sf_dir, "embeddings")
+    ends = rows.agg(F.min("vec_id").alias("a"), F.max("vec_id").alias("b")).first()
+    part = F.least(F.floor((F.col("vec_id") - ends["a"]) * 3 / (ends["b"] - ends["a"] + 1)), F.lit(2))
+    number, g = F.col("vec_id"), F.lit("g0").alias("graph_id")
+    name = F.concat(F.lit("v"), number.cast("string")).alias("name")
+    nodes = rows.select(g, number.alias("id"), number.alias("ord"), name, F.col("label").cast("string").alias("type"), F.concat(F.lit("vector "), number.cast("string")).alias("base_description"), F.create_map().cast("map<string,string>").alias("base_attributes"), F.array("vec_id").alias("chunk_id"), part.alias("part"))
+    pairs = rows.select(F.col("vec_id").alias("source")).join(rows.select((F.col("vec_id") - 1).alias("source")), "source", "left_semi")
+    edges = pairs.select(g, F.concat(F.lit("e"), F.col("source").cast("string")).alias("id"), "source", (F.col("source") + 1).alias("target"), F.lit("next").alias("relation"), F.col("source").alias("chunk_id"))
+    vectors = rows.select(number.alias("id"), "embedding")
+    store = M.GraphStore(spark, scratch(spark, "graph"))
+    similar = lambda n: R.similar_pairs(n.join(vectors, "id"), 0.2, only="fresh")
+    for k in range(3):
+        # an edge comes with the later one of its ends
+        own = edges.join(nodes.select(F.col("id").alias("target"), "part"), "target").where(F.col("part") == k).drop("part")
+        store.merge(Graph(nodes.where(F.col("part") == k).drop("part"), own.select(*edges.columns)), similar)
+    done = store.read()
+    ends_of = lambda c: done.edges.groupBy(F.col(c).alias("id")).agg(F.count("*").alias(f"edges_{'out' if c == 'source' else 'in'}"))
+    own = done.nodes.select("id", F.size("chunk_id").cast("long").alias("members"), F.array_min("chunk_id").alias("first"), F.array_max("chunk_id").alias("last"), "base_description")
+    return own.join(ends_of("source"), "id", "left").join(ends_of("target"), "id", "left").fillna(0, ["edges_out", "edges_in"])
+
+
 @query("""SELECT p_brand AS id, count(*) AS members, min_by(p_name, (-length(p_name), CASE WHEN regexp_matches(p_name, '^[A-Z]') THEN 0 ELSE 1 END, lower(p_name))) AS name, max_by(p_type, p_partkey) AS base_description,
   max_by(p_partkey, p_partkey)::VARCHAR AS last_key, md5(string_agg(p_type, '|' ORDER BY p_partkey)) AS states, min((p_partkey % 10) / 10.0)::DOUBLE AS merge_similarity FROM part GROUP BY p_brand""")
 def er_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -394,11 +435,12 @@ _PATH_NODES = """pnd AS (SELECT query_id, id, max(score) AS score FROM (SELECT q
 _SCORED = ["query_id", "id", "score"]
 
 
-@query(f"{_PATHS}, {_NEAR}, {_PATH_NODES} SELECT query_id, id, round(score, 6) AS score FROM pnd")
+@query(f"{_PATHS.replace('>= 0.01', '>= 0.0005')}, {_NEAR}, {_PATH_NODES} SELECT query_id, id, round(score, 6) AS score FROM pnd")
 def ret_path_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Along ways that are less likely than elsewhere: nodes within a step of an entry are candidates already."""
     with _asking(spark, sf_dir) as a:
         near, _ = Q.expand(a.entries, a.edges, a.nodes)
-        found = Q.path_nodes(Q.paths(Q.entry_pairs(a.entries), a.edges), a.entries.select(*_SCORED).unionByName(near.select(*_SCORED)))
+        found = Q.path_nodes(Q.paths(Q.entry_pairs(a.entries), a.edges, floor=0.0005), a.entries.select(*_SCORED).unionByName(near.select(*_SCORED)))
         return a.work.release(found.withColumn("score", F.round("score", 6)))
 
 

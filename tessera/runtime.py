@@ -79,9 +79,27 @@ def _write(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _at(spark: SparkSession, path: str):
+    """A path and its file system, wherever it is."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at, files = _at(spark, path)
+    files.delete(at, True)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    at, files = _at(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+
+
+def write_once(spark: SparkSession, path: str) -> None:
+    """An empty file; an error if there is one already."""
+    at, files = _at(spark, path)
+    files.create(at, False).close()
 
 
 #: Paths of tables that operators' results still read, by session.
@@ -96,7 +114,7 @@ def discarding_results(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _results.pop(id(spark), []):
-            _delete(spark, path)
+            delete(spark, path)
         _results[id(spark)] = outer
 
 
@@ -133,7 +151,7 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables of keep(); what is still to be computed must not read them."""
         for t in tables:
-            _delete(self._spark, self._paths.pop(id(t))[1])
+            delete(self._spark, self._paths.pop(id(t))[1])
 
     def release(self, df: DataFrame, name: str = "result") -> DataFrame:
         """df as a table that outlives the run; written now unless it is one already."""

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import runtime
-from tessera.operators import annotation, build, chunking, evaluation, extraction, resolution, responses, retrieval, temporal, vectors
+from tessera.operators import annotation, build, chunking, evaluation, extraction, merge, resolution, responses, retrieval, vectors
 from tessera.operators.graph import Graph, put_edges, remove_nodes, repair_dangling
 from tessera.plans import source_queries, text_queries
 from tessera.sources import files
@@ -51,21 +51,6 @@ def test_chunks_keep_the_text():
         assert at == len(text)
 
 
-def test_cycles_empty_their_graph_only(spark):
-    events = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1"), ("b", "2"), ("b", "3")], "graph_id string, id string")
-    before = spark.createDataFrame([("a", "1", "2"), ("a", "2", "1"), ("b", "1", "2"), ("b", "2", "3"), ("b", "1", "3")], "graph_id string, source string, target string")
-    assert {tuple(r) for r in temporal.event_levels(events, before).collect()} == {("b", "1", 0), ("b", "2", 1), ("b", "3", 2)}
-
-
-def test_levels_of_long_chains(spark):
-    n = 1200
-    names = [("a", f"{i}") for i in range(n)] + [("c", f"{i}") for i in range(5)]
-    links = [("a", f"{i}", f"{i + 1}") for i in range(n - 1)] + [("a", "0", "0x"), ("c", "0", "1"), ("c", "2", "3"), ("c", "3", "4"), ("c", "4", "2")]
-    events = spark.createDataFrame(names, "graph_id string, id string")
-    got = temporal.event_levels(events, spark.createDataFrame(links, "graph_id string, source string, target string")).collect()
-    assert {tuple(r) for r in got} == {("a", f"{i}", i) for i in range(n)}
-
-
 def test_packing_passes_over_what_does_not_fit(spark):
     items = spark.createDataFrame([(1, "a", 3.0, 5, "x"), (1, "b", 2.0, 9, "y"), (1, "c", 1.0, 4, "z")], "query_id int, id string, score double, tokens long, text string")
     got = retrieval.pack(items, spark.createDataFrame([(1, 10)], "query_id int, budget int")).collect()
@@ -79,20 +64,29 @@ def test_repair_of_replies():
     assert responses.repair_text(None) == responses.repair_text("none") == ""
 
 
-def test_history_over_budget_equals_a_plain_fold(spark):
+def plain_history(events, budget):
     import hashlib
 
-    events = [(q, lv, f"{q}e{lv}", "w " * (1 + lv * 7 % 5)) for q in (1, 2) for lv in range(40)]
-    got = {r["query_id"]: r["text"] for r in retrieval.history(spark.createDataFrame(events, "query_id int, level int, id string, text string"), 30).collect()}
-    for q in (1, 2):
-        own = [e for e in events if e[0] == q]
-        left = sum(len(e[3].split()) for e in own)
-        gone = set()
-        for e in sorted(own[1:-1], key=lambda e: hashlib.md5(f"7{e[2]}".encode()).hexdigest()):
-            if left > 30:
-                gone.add(e)
-                left -= len(e[3].split())
-        assert got[q] == "\n".join(e[3] for e in own if e not in gone)
+    events = sorted(set(events))
+    size = lambda e: len((e[2] or "").split())
+    left, gone = sum(map(size, events)), set()
+    for e in sorted(events[1:-1], key=lambda e: hashlib.md5(f"7{e[1]}".encode()).hexdigest()):
+        if left > budget:
+            gone.add(e)
+            left -= size(e)
+    return "\n".join(e[2] for e in events if e not in gone)
+
+
+def test_history_over_budget_equals_a_plain_fold(spark):
+    rng = random.Random(9)
+    for budget in (0, 3, 30, 1000):
+        events = [(q, lv, f"{q}e{lv}", "w " * (1 + lv * 7 % 5) * (q < 2)) for q in (1, 2) for lv in range(40)]
+        events += [(3, 0, "a", "word"), *[(3, i, f"m{i}", "") for i in range(1, 9)], (3, 9, "n", "word"), (3, 10, "z", "word"), (4, 0, "only", "one two"), (4, 0, "only", "one two")]
+        events += [(5, i, f"x{i}", rng.choice(["", "", "a", "a b c d"])) for i in range(60)]
+        table = spark.createDataFrame(events, "query_id int, level int, id string, text string")
+        want = {q: plain_history([e[1:] for e in events if e[0] == q], budget) for q in range(1, 6)}
+        assert {r["query_id"]: r["text"] for r in retrieval.history(table, budget).collect()} == want
+        assert {r["query_id"]: r["text"] for r in retrieval.history(table.withColumn("b", F.lit(budget)), F.col("b")).collect()} == want
 
 
 def test_prompts_with_relations_and_references(spark):
@@ -270,3 +264,113 @@ def test_builds_merge_names_and_keep_edges(spark):
     assert {r["id"] for r in m.nodes.collect()} == {"ann", "bob", "inn"} and m.edges.count() == 4
     assert build.from_names(names.limit(0), entities.limit(0), relations).nodes.count() == 0
     assert build.from_entities(entities.limit(0), relations).edges.count() == 0
+
+
+NODE = "graph_id string, id string, ord int, name string, type string, base_description string, base_attributes map<string,string>, chunk_id array<long>"
+EDGE = "graph_id string, id string, source string, target string, relation string, chunk_id long"
+
+
+def _graph(spark, nodes, edges):
+    rows = [("g", i, n, name, kind, f"about {i}", {i: "x"}, [n]) for n, (i, name, kind) in enumerate(nodes)]
+    return Graph(spark.createDataFrame(rows, NODE), spark.createDataFrame([("g", i, a, b, "r", 1) for i, a, b in edges], EDGE))
+
+
+def test_merges_of_graphs_are_one_sequential_pass(spark):
+    """Random vectors in random batches: the leaders of a fold over all, whatever the batches."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    vectors_of = spark.createDataFrame([(f"n{i}", v.tolist()) for i, v in enumerate(x)], "id string, embedding array<double>")
+    leaders, want = [], {}
+    for i in range(120):
+        hit = next((j for j in leaders if i % 2 == j % 2 and x[i] @ x[j] >= 0.8), None)
+        want[f"n{i}"] = f"n{i if hit is None else hit}"
+        leaders += [i] if hit is None else []
+    store = merge.GraphStore(spark, runtime.scratch(spark, "graph"), keep=2)
+    similar = lambda n: resolution.similar_pairs(n.join(vectors_of, "id"), 0.8, only="fresh")
+    for n, (a, b) in enumerate(((0, 50), (50, 51), (51, 120))):
+        edges = [(f"e{i}", f"n{i - 1}", f"n{i}") for i in range(max(a, 1), b)] + [("lost", "n0", "nowhere")]
+        assert store.merge(_graph(spark, [(f"n{i}", f"name {i}", f"t{i % 2}") for i in range(a, b)], edges), similar) == n + 1
+    done = store.read()
+    got = {r["id"]: len(r["base_attributes"]) for r in done.nodes.collect()}
+    members = {k: [i for i, j in want.items() if j == k] for k in set(want.values())}
+    assert got == {k: len(v) for k, v in members.items()}
+    assert {r["id"]: (r["source"], r["target"]) for r in done.edges.collect()} == {f"e{i}": (want[f"n{i - 1}"], want[f"n{i}"]) for i in range(1, 120)}
+    assert {r["id"]: r["leader"] for r in store.aliases().collect()} == want
+    assert store.versions() == [2, 3] and store.read(2).nodes.count() > 0
+    with pytest.raises(Exception, match="already exists|FileAlreadyExists"):
+        runtime.write_once(spark, f"{store.path}/published/3")
+
+
+def test_merges_by_id_and_name(spark):
+    old = _graph(spark, [("inn", "The Inn", "place"), ("ann", "Ann", "person"), ("ann_1", "ann", "person")], [("e", "ann", "inn")])
+    new = _graph(spark, [("inn_2", "the inn", "place"), ("ann", "Anna", "person"), ("bob", "Bob", "person"), ("bob_1", "BOB", "person"), ("inn", "Inn", "event")], [("e", "bob_1", "inn_2"), ("f", "ann", "bob"), ("h", "bob", None)])
+    done, members = merge.merge(old, new)
+    got = {r["id"]: (r["name"], r["type"], len(r["base_attributes"])) for r in done.nodes.collect()}
+    assert got == {"inn": ("The Inn", "place", 2), "ann": ("Anna", "person", 1), "ann_1": ("ann", "person", 1), "bob": ("Bob", "person", 2)}
+    assert {r["id"]: (r["source"], r["target"]) for r in done.edges.collect()} == {"e": ("bob", "inn"), "f": ("ann", "bob")}
+    assert {r["id"]: r["leader"] for r in members.collect()} == {"inn": "inn", "ann": "ann", "ann_1": "ann_1", "inn_2": "inn", "bob": "bob", "bob_1": "bob"}
+    none = _graph(spark, [], [])
+    assert merge.merge(old, none)[0].nodes.count() == 3 and merge.merge(none, none)[0].nodes.count() == 0
+
+
+def test_hybrid_pairs_equal_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 3))
+    names = [f"{'The ' * (i % 2)}Grey House {i % 7}" for i in range(90)]
+    rows = [("g", f"t{i % 3}", i, i, names[i], x[i].tolist()) for i in range(90)] + [("g", "t0", 90, 90, names[0], [0.0] * 3), ("g", "t0", 91, 91, names[0], None)]
+    nodes = spark.createDataFrame(rows, "graph_id string, type string, id int, ord int, name string, embedding array<double>")
+    found = {(r["a"], r["b"]): r["similarity"] for r in resolution.hybrid_pairs(nodes, 0.82, pivots=8).collect()}
+
+    def distance(p, q):
+        row = list(range(len(q) + 1))
+        for i, c in enumerate(p, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(q, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+        return row[-1]
+
+    want = {}
+    for a in range(90):
+        for b in range(a + 1, 90):
+            if a % 3 == b % 3:
+                p, q = names[a].lower(), names[b].lower()
+                lexical = (1 - distance(p, q) / max(len(p), len(q)) + len(set(p.split()) & set(q.split())) / len(set(p.split()) | set(q.split()))) / 2
+                cos = x[a] @ x[b] / np.linalg.norm(x[a]) / np.linalg.norm(x[b])
+                s = 0.6 * cos + 0.3 * lexical + 0.1 * (0.9 if p != q and (p in q or q in p) else 1.0)
+                if s >= 0.82:
+                    want[a, b] = s
+    assert found.keys() == want.keys() and len(want) > 20 and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+    with pytest.raises(ValueError, match="no pair"):
+        resolution.hybrid_pairs(nodes, 0.3)
+
+
+def test_a_synced_index_follows_versions_in_any_batches(spark):
+    rng, kept, feeds = random.Random(8), {}, []
+    index = incremental.SyncedIndex(runtime.scratch(spark, "index"), lambda d: vectors.embed(d, lambda texts: [[float(len(t))] for t in texts]), buckets=4, compact_every=2)
+    kind = "graph_id string, id string, document string, metadata map<string,string>"
+    before = None
+    for version in range(6):
+        for i in range(30):
+            if rng.random() < 0.5:
+                kept[f"{i}"] = "d" * rng.randrange(1, 9)
+            elif rng.random() < 0.3:
+                kept.pop(f"{i}", None)
+        now = spark.createDataFrame([("g", i, d, {"k": "v"}) for i, d in kept.items()], kind)
+        feed = incremental.changes(before, now, version)
+        feeds.append(feed.collect())
+        index.put(feed, version)
+        index.put(feed, version)  # a batch that is run again
+        before = now
+        got = {r["id"]: (r["document"], r["embedding"][0]) for r in index.read(spark, version).collect()}
+        assert got == {i: (d, float(len(d))) for i, d in kept.items()}
+    index.put(spark.createDataFrame(feeds[1], feed.schema), 6)  # changes that come late
+    assert {r["id"]: r["document"] for r in index.read(spark, 6).collect()} == kept
+    assert set(runtime.names_in(spark, index.table.path)) == {"columns", "delta=4", "delta=5", "delta=6", "snapshot=3", "snapshot=5"}
+
+
+def test_searches_with_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [0.6, 0.8])]
+    table = spark.createDataFrame(rows, "id int, embedding array<double>")
+    got = vectors.top_k(table, table.withColumnRenamed("id", "query_id"), 5, skip_own=True).collect()
+    assert {(r["query_id"], r["id"]): r["distance"] for r in got} == {(1, 2): 1.0, (1, 6): 0.4, (2, 1): 1.0, (2, 6): 1.0, (6, 1): 0.4, (6, 2): 1.0}

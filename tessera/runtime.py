@@ -9,6 +9,7 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -102,29 +103,35 @@ def write_once(spark: SparkSession, path: str) -> None:
     files.create(at, False).close()
 
 
-#: Paths of tables that operators' results still read, by session.
-_results: dict[int, list[str]] = {}
+#: Paths of tables that operators' results still read, for the innermost discarding_results of this thread.
+_results: ContextVar[list[str] | None] = ContextVar("results", default=None)
+
+
+def _result(path: str) -> str:
+    if (held := _results.get()) is not None:
+        held.append(path)
+    return path
 
 
 @contextmanager
 def discarding_results(spark: SparkSession) -> Iterator[None]:
-    """Deletes, on leaving, what operators called inside have written for their results: these must be read by then."""
-    outer = _results.pop(id(spark), [])
+    """Deletes, on leaving, what operators called inside (by this thread) have written for their results, and the
+    paths that ``scratch`` gave: these must be read by then. Other threads' results stay."""
+    held: list[str] = []
+    token = _results.set(held)
     try:
         yield
     finally:
-        for path in _results.pop(id(spark), []):
+        _results.reset(token)
+        for path in held:
             delete(spark, path)
-        _results[id(spark)] = outer
 
 
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage is cut, and the files outlive executors.
 
     The table is a result: it stays until ``discarding_results`` or the owner of the folder deletes it."""
-    path = f"{shared_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}/{name}"
-    _results.setdefault(id(df.sparkSession), []).append(path)
-    return _write(df, path)
+    return _write(df, _result(f"{shared_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}/{name}"))
 
 
 class Scratch:
@@ -156,13 +163,13 @@ class Scratch:
     def release(self, df: DataFrame, name: str = "result") -> DataFrame:
         """df as a table that outlives the run; written now unless it is one already."""
         out = df if id(df) in self._paths else self.keep(df, name)
-        _results.setdefault(id(self._spark), []).append(self._paths.pop(id(out))[1])
+        _result(self._paths.pop(id(out))[1])
         return out
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/{name}"
+    """A new path in the shared folder, which ``discarding_results`` or the owner of the folder deletes."""
+    return _result(f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/{name}")
 
 
 #: df written to the shared folder and read back, which cuts its lineage.

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import runtime
+from tessera.functions import models
 from tessera.operators import annotation, build, chunking, evaluation, extraction, merge, resolution, responses, retrieval, vectors
 from tessera.operators.graph import Graph, put_edges, remove_nodes, repair_dangling
 from tessera.plans import source_queries, text_queries
@@ -57,6 +58,67 @@ def test_packing_passes_over_what_does_not_fit(spark):
     assert [r["id"] for r in sorted(got, key=lambda r: r["place"])] == ["a", "c"]
 
 
+def plain_pack(items, budgets):
+    out, left = [], dict(budgets)
+    for q, i, score, tokens, text in sorted(items, key=lambda r: (r[0], -r[2], r[1], r[3] or 0, r[4])):
+        if left.get(q) is not None and (tokens or 0) <= left[q]:
+            left[q] -= tokens or 0
+            out.append((q, sum(o[0] == q for o in out), i, text, tokens or 0))
+    return sorted(out)
+
+
+def test_packing_equals_a_plain_fold(spark):
+    rng = random.Random(7)
+    items = [(q, f"i{n}", float(rng.randrange(20)), rng.choice([None, 0, 1, 2, 3, 5, 8, 40, 90, 300]), f"t{n}") for q in range(9) for n in range(rng.randrange(1, 150))]
+    budgets = [(q, rng.choice([0, 1, 10, 100, 250])) for q in range(8)] + [(20, 5)]
+    table = spark.createDataFrame(items, "query_id int, id string, score double, tokens long, text string")
+    got = retrieval.pack(table, spark.createDataFrame(budgets, "query_id int, budget int"), salts=3)
+    assert sorted((r["query_id"], r["place"], r["id"], r["text"], r["tokens"]) for r in got.collect()) == plain_pack(items, budgets)
+    assert retrieval.pack(table.limit(0), spark.createDataFrame(budgets, "query_id int, budget int")).count() == 0
+
+
+def test_packing_of_a_million_candidates(spark):
+    n = F.col("n")
+    items = spark.range(1_000_000).withColumnRenamed("id", "n").select(F.lit(1).alias("query_id"), n.cast("string").alias("id"), (-n).cast("double").alias("score"), (n * 7919 % 211 + 3).alias("tokens"), F.lit("text").alias("text"))
+    got = retrieval.pack(items, spark.createDataFrame([(1, 1000)], "query_id int, budget int"))
+    want, left = [], 1000
+    for i in range(1_000_000):
+        t = i * 7919 % 211 + 3
+        if t <= left:
+            want.append(f"{i}")
+            left -= t
+    assert [r["id"] for r in sorted(got.collect(), key=lambda r: r["place"])] == want
+
+
+def test_replies_are_asked_once_and_outlive_a_lost_worker(spark, tmp_path):
+    asked, broken = str(tmp_path / "asked"), str(tmp_path / "broken")
+
+    def ask(prompts):
+        if "p7" in prompts and os.path.exists(broken):
+            os.remove(broken)
+            os._exit(1)  # the worker is gone, and with it the task
+        with open(asked, "a") as f:
+            f.writelines(p + "\n" for p in prompts)
+        if "bad" in prompts:
+            raise ValueError
+        return [p.upper() for p in prompts]
+
+    rows = [(i, f"p{i % 40}") for i in range(120)] + [(200, None), (201, ""), (202, "bad")]
+    prompts, path = spark.createDataFrame(rows, "k int, prompt string"), runtime.scratch(spark, "replies")
+    open(broken, "w").close()
+    with pytest.raises(Exception, match="[Ww]orker|EOF|crashed"):
+        models.generate_stored(prompts, ask, path, round_prompts=5).collect()
+    before = open(asked).read().split("\n") if os.path.exists(asked) else []
+    got = {r["k"]: (r["raw"], r["status"]) for r in models.generate_stored(prompts, ask, path, round_prompts=5).collect()}
+    assert got == {i: (f"P{i % 40}", "ok") for i in range(120)} | {200: ("", "ok"), 201: ("", "ok"), 202: (None, "failed")}
+    again = open(asked).read().split("\n")
+    counts = {p: again.count(p) for p in {f"p{i}" for i in range(40)}}
+    assert set(counts.values()) <= {1, 2} and sum(v == 2 for v in counts.values()) <= 16  # of the rounds with the lost task and the failing prompt only
+    assert len(before) > 1 or not before
+    models.generate_stored(prompts, ask, path).collect()
+    assert {p for p in open(asked).read().split("\n")[len(again) - 1 :]} <= {"bad", ""}
+
+
 def test_repair_of_replies():
     assert responses.repair_text('so {a} ```json\n{"u": "http://x" // why\n}\n```') == '{"u": "http://x" \n}'
     assert responses.repair_text('first {"a": 1} then {"b": 2} end') == '{"b": 2}'
@@ -210,7 +272,7 @@ def test_scratch_tables_go_and_settings_stay(spark):
             work.drop(gone)
             assert not there(paths[1]) and there(paths[0])
             result = work.release(kept.where("v > 2"))
-            own = runtime._results[id(spark)][-1]
+            own = runtime._results.get()[-1]
         assert not there(paths[0]) and there(own) and result.count() == 2
     assert not there(own)
     with pytest.raises(ZeroDivisionError):
@@ -226,6 +288,25 @@ def test_scratch_tables_go_and_settings_stay(spark):
     assert spark.conf.get(runtime._CLEANUP, None) == before
 
 
+def test_results_of_other_threads_stay(spark):
+    found = []
+    with runtime.discarding_results(spark):
+        thread = threading.Thread(target=lambda: found.append(runtime.materialize(spark.range(3), "t")))
+        thread.start()
+        thread.join()
+        path = runtime.scratch(spark, "mine")
+        spark.range(2).write.parquet(path)
+        with runtime.discarding_results(spark):
+            inner = runtime.materialize(spark.range(5), "t")
+        outer = runtime.materialize(spark.range(4), "t")
+        assert outer.count() == 4
+    assert found[0].count() == 3
+    for gone in (inner, outer):
+        with pytest.raises(Exception, match="exist|NOT_FOUND|No such"):
+            gone.collect()
+    assert not runtime.names_in(spark, path)
+
+
 def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     class Bare:
         class sparkContext:

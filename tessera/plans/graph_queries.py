@@ -268,9 +268,12 @@ def fn_answer_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.answer_body(raw, "answer").alias("body"))
 
 
-@query("SELECT event_id, greatest(0.0, least(1.0, round(value, 2))) AS score FROM events")
+@query(r"SELECT 'd' || doc_id AS id, greatest(0.0, least(1.0, coalesce(try_cast(regexp_extract(text, '([0-9]*\.?[0-9]+)', 1) AS DOUBLE), 0.0))) AS score FROM documents UNION ALL SELECT 'e' || event_id, greatest(0.0, least(1.0, round(value, 2))) FROM events")
 def fn_score_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", X.score_parse(F.concat(F.lit("Score: "), F.format_string("%.2f", "value"), F.lit(" of 1"))).alias("score"))
+    """The first number of every document, and replies that say one."""
+    said = table(spark, sf_dir, "events").select(F.concat(F.lit("e"), "event_id").alias("id"), F.concat(F.lit("Score: "), F.format_string("%.2f", "value"), F.lit(" of 1")).alias("text"))
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text").unionByName(said)
+    return rows.select("id", X.score_parse(F.col("text")).alias("score"))
 
 
 @query(r"SELECT doc_id, count(g)::BIGINT AS n, md5(coalesce(string_agg(g, '|' ORDER BY i), '')) AS digest FROM (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 2), ' ') AS g FROM (SELECT doc_id, w, unnest(CASE WHEN len(w) >= 3 THEN range(1, len(w) - 1) ELSE [NULL] END) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents))) GROUP BY doc_id")

@@ -233,6 +233,19 @@ def udf_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.generate(table(spark, sf_dir, "part").select("p_partkey", prompt.alias("prompt")), shout).select("p_partkey", "raw", "status")
 
 
+@query("SELECT o_orderkey, upper(o_orderpriority || ' ' || o_orderstatus) AS raw, 'ok' AS status FROM orders")
+def udf_generate_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal prompts of many orders are asked once; the second run finds all replies stored."""
+    prompts = table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("prompt"))
+    path = scratch(spark, "replies")
+    models.generate_stored(prompts, lambda asked: [p.upper() for p in asked], path, round_prompts=8)
+
+    def refuse(asked: list[str]) -> list[str]:
+        raise ValueError("asked again")
+
+    return models.generate_stored(prompts, refuse, path).select("o_orderkey", "raw", "status")
+
+
 # streams ----------------------------------------------------------------------------------------
 def _drain(stream: DataFrame, each, where: str, mode: str = "append") -> None:
     writer = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{where}/progress").trigger(availableNow=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import models
 from tessera.functions import text as X
 from tessera.operators import annotation as A
 from tessera.operators import build as B
@@ -107,10 +108,23 @@ def ev_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.summary(_results(spark, sf_dir))
 
 
-@query("SELECT event_id, greatest(0.0, least(1.0, (event_id % 14) / 10.0)) AS score FROM events")
+@query("""SELECT source AS pipeline, round(avg(score), 6) AS mean_score, count(*) AS n, count(*) FILTER (score IS NULL) AS failed FROM (SELECT source,
+  CASE WHEN length(text) % 50 = 0 THEN 0 ELSE least(1.0, (length(text) - length(replace(text, 'a', ''))) % 130 / 100.0) END AS score FROM documents) GROUP BY source""")
 def ev_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reply = F.concat(F.lit("I rate it "), F.format_string("%.1f", F.col("event_id") % 14 / 10), F.lit(", not 0.3"))
-    return table(spark, sf_dir, "events").select("event_id", X.score_parse(reply).alias("score"))
+    """A judge as a user model: a prompt a response, its reply parsed. This one rates by how many a's it reads,
+    says nothing of some responses and more than it should of others."""
+    d = docs(spark, sf_dir)
+
+    def judge(prompts: list[str]) -> list[str]:
+        said = []
+        for p in prompts:
+            text = p.split("\n", 1)[1]
+            said.append("I cannot say." if len(text) % 50 == 0 else f"I rate it {text.count('a') % 130 / 100:.2f}, not 0.3")
+        return said
+
+    prompt = F.concat(F.lit("How consistent is this response?\n"), F.coalesce("text", F.lit("")))
+    replies = models.generate(d.select("source", prompt.alias("prompt")), judge).select(F.col("source").alias("pipeline"), X.score_parse(F.col("raw")).alias("score"), "status")
+    return replies.groupBy("pipeline").agg(F.round(F.avg("score"), 6).alias("mean_score"), F.count("*").alias("n"), F.count(F.when(F.col("status") != "ok", 1)).alias("failed"))
 
 
 @query("SELECT l_orderkey, l_linenumber, s AS start, e AS \"end\" FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 <> 3 THEN l_linenumber END AS s, CAST(l_quantity AS INT) AS e FROM lineitem) WHERE s IS NOT NULL AND s < e")

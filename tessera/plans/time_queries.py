@@ -335,6 +335,16 @@ def vec_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(spark, sf_dir, 5, metadata=["label"]).withColumn("distance", F.round("distance", 6))
 
 
+@query(f"SELECT query_id, id, round(distance, 6) AS distance, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS r FROM ({_TOP})) WHERE r <= 5")
+def vec_topk_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same neighbours out of a stored index: first two cells a query, then those that may hold nearer rows."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    index = V.StoredIndex.build(e, scratch(spark, "index"), cells=16)
+    found = index.search(e.where("id % 50 = 0").withColumnRenamed("id", "query_id"), 6, probes=2).where("id <> query_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return found.withColumn("rank", rank).where("rank <= 5").withColumn("distance", F.round("distance", 6))
+
+
 @query(f"SELECT query_id, string_agg('chunk ' || id, chr(10) || chr(10) ORDER BY r) AS context FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS r FROM ({_TOP})) WHERE r <= 3 GROUP BY query_id")
 def vec_chunk_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("chunk "), "vec_id").alias("text"))

@@ -455,3 +455,30 @@ def test_searches_with_odd_vectors(spark):
     table = spark.createDataFrame(rows, "id int, embedding array<double>")
     got = vectors.top_k(table, table.withColumnRenamed("id", "query_id"), 5, skip_own=True).collect()
     assert {(r["query_id"], r["id"]): r["distance"] for r in got} == {(1, 2): 1.0, (1, 6): 0.4, (2, 1): 1.0, (2, 6): 1.0, (6, 1): 0.4, (6, 2): 1.0}
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_a_stored_index_finds_what_a_comparison_finds(spark, metric):
+    rng = np.random.default_rng(2)
+    centers = rng.normal(size=(25, 8))
+    x = np.repeat(centers, 80, axis=0) + rng.normal(size=(2000, 8)) * 0.25
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, [0.0] * 8), (2001, None), (2002, [float("nan")] + [0.0] * 7), (2003, x[5].tolist()), (2004, x[5].tolist())]
+    table = spark.createDataFrame(rows, "id int, embedding array<double>")
+    asked = table.where("id % 20 = 0 or id > 1999").withColumnRenamed("id", "query_id")
+    index = vectors.StoredIndex.build(table, runtime.scratch(spark, "index"), cells=32, metric=metric)
+    assert index.rows().count() == 2003
+    want = {(r["query_id"], r["rank"]): (r["id"], round(r["distance"], 7)) for r in vectors.top_k(table, asked, 7, metric).collect()}
+    for probes in (1, 3):
+        got = {(r["query_id"], r["rank"]): (r["id"], round(r["distance"], 7)) for r in index.search(asked, 7, probes, part_rows=40).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k][1] - want[k][1]) < 1e-6 for k in want)
+        assert sum(got[k] == want[k] for k in want) >= 0.99 * len(want)  # but for ties within rounding
+    near = index.search(asked, 7, 4, exact=False).collect()
+    assert sum(want.get((r["query_id"], r["rank"]), (None,))[0] == r["id"] for r in near) >= 0.95 * len(want)
+    # cells that cannot hold anything near are not read
+    kept = []
+    visit = vectors.StoredIndex._visit
+    index._visit = lambda *a: kept.append(a[0].count()) or visit(index, *a)
+    index.search(asked, 7, 2).collect()
+    assert sum(kept) < 0.5 * 32 * asked.count()
+    empty = vectors.StoredIndex.build(table.limit(0), runtime.scratch(spark, "index"))
+    assert empty.search(asked, 3).collect() == [] and index.search(asked.limit(0), 3).collect() == []

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import public_tokenizers as P
 import pytest
+import regex
 import sentencepiece
 from pyspark.sql import functions as F
 
@@ -200,7 +201,7 @@ def plain_language(model, text):
     b = re.sub(r"[\W\d_]+", " ", f" {text.lower()} ").encode()
     rows = []
     for n in (2, 3, 4):
-        for i in range(len(b) - n + 1):
+        for i in range(len(b) - n + 1):  # the whole text
             gram = b[i : i + n]
             if b" " in gram[1:-1] or gram == b"  ":
                 continue
@@ -216,7 +217,7 @@ def plain_language(model, text):
 def test_language_equals_a_plain_predictor(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.fit(docs, queries.fold(5) != 0, sample_docs=400)
-    texts = [d["text"][:400] for d in read("documents")[:60]] + ["½", "² ³", "Ⅷ ½ x", "123", "\u0301", "__", "ж", "漢", None, ""]
+    texts = [d["text"] for d in read("documents")[:40]] + [max((d["text"] for d in read("documents")), key=len)] + ["½", "² ³", "Ⅷ ½ x", "123", "\u0301", "__", "ж", "漢", None, ""]
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in langid.predict(table, model).collect():
         lang, score = plain_language(model, r["text"])
@@ -393,6 +394,44 @@ def test_quality_held_out(spark):
     assert all(r["predicted"] == int(r["score"] >= 0.5) for r in got.values())
 
 
+def plain_trees(x, y, trees, depth, bins, rate, l2, least=8):
+    """Split by split: every edge of every feature is tried on the rows of its node."""
+    n, width = x.shape
+    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(width)]
+    mean = min(max(y.mean(), 1e-3), 1 - 1e-3)
+    raw = np.full(n, np.log(mean / (1 - mean)))
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-raw))
+        g, h, nodes = p - y, np.maximum(p * (1 - p), 1e-6), [np.arange(n)]
+        for _ in range(depth):
+            below = []
+            for rows in nodes:
+                best, cut = 1e-9, None
+                for f in range(width):
+                    for e in edges[f]:
+                        left = rows[x[rows, f] <= e]
+                        if least <= len(left) <= len(rows) - least:
+                            right = np.setdiff1d(rows, left)
+                            gain = sum(g[r].sum() ** 2 / (h[r].sum() + l2) * s for r, s in ((left, 1), (right, 1), (rows, -1)))
+                            if gain > best + 1e-12:
+                                best, cut = gain, (f, e)
+                left = rows[x[rows, cut[0]] <= cut[1]] if cut else rows
+                below += [left, np.setdiff1d(rows, left)]
+            nodes = below
+        for rows in nodes:
+            raw[rows] -= rate * g[rows].sum() / (h[rows].sum() + l2)
+    return 1 / (1 + np.exp(-raw))
+
+
+def test_quality_training_equals_a_plain_one():
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(160, 4)), 2)
+    y = ((x[:, 0] * x[:, 1] > 0) | (x[:, 2] > 1)).astype(float)
+    for bins, depth in ((6, 2), (12, 3)):
+        model = quality.train(x, y, trees=6, depth=depth, bins=bins, rate=0.3, l2=1.0)
+        assert np.allclose(quality.score(model, x), plain_trees(x, y, 6, depth, bins, 0.3, 1.0), atol=1e-9)
+
+
 def test_quality_odd_rows_and_trees(spark, odd, none):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(800, 3))
@@ -678,7 +717,15 @@ def test_edit_aware_counts_equal_fresh_counts(spark, odd, none):
     enc = token_counts.load_encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     got = {r["doc_id"]: r for r in queries.op10_token_counts(spark, SF).collect()}
     for d in read("documents"):
-        assert got[d["doc_id"]]["n_tokens"] == len(enc.encode_ordinary(d["text"]))
+        t, r = d["text"], got[d["doc_id"]]
+        assert r["n_tokens"] == len(enc.encode_ordinary(t)) and r["n_pre_tokens"] == len(regex.findall(P.PATTERN, t))
+        signed = spark.range(1).select(F.pmod(F.xxhash64(F.lit(d["doc_id"]).cast("long")), F.lit(40))).first()[0] if d["doc_id"] < 25 else None
+        if signed is not None:
+            size = len(t)
+            for at, removed, added in ((size // 3, 0, f" revised {d['doc_id']}"), (size // 2, signed, ""), (int(size * 0.9), 5, f" {d['source']}.\n")):
+                at = min(at, len(t))
+                t = t[:at] + added + t[at + removed :]
+            assert r["n_tokens_edited"] == len(enc.encode_ordinary(t)) and 0 < r["n_re_encoded"] < r["n_pre_tokens"] + 60
     assert np.mean([r["n_re_encoded"] for r in got.values()]) < 60
     edits = [{"at": 3, "removed": 2, "added": " new's"}, {"at": 10**6, "removed": 5, "added": "\n\n end"}, {"at": -4, "removed": 1, "added": ""}]
 
@@ -690,8 +737,7 @@ def test_edit_aware_counts_equal_fresh_counts(spark, odd, none):
 
     same = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in e.items()]) for e in edits])
     for r in token_counts.count_edits(odd.withColumn("edits", same), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, keep=["doc_id", "text"]).collect():
-        if r["text"]:
-            assert r["n_tokens_edited"] == fresh(r["text"])
+        assert r["n_tokens_edited"] == fresh(r["text"] or "")
     assert token_counts.count_edits(none.withColumn("edits", same), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
 
 

@@ -264,22 +264,29 @@ def stream_chat_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{where}/out").groupBy("conv_id").agg(F.max_by(F.struct("n", "context"), "batch").alias("x")).select("conv_id", "x.n", "x.context")
 
 
-@query("SELECT 'order_' || o_orderkey AS id, o_orderpriority AS name FROM orders")
+@query("SELECT 'order_' || o_orderkey AS id, o_orderpriority AS name FROM orders UNION ALL SELECT 'customer_' || o_custkey || ' made order_' || o_orderkey, o_orderstatus FROM orders")
 def stream_graph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes and edges in one stream, some with an earlier name that a later row replaces."""
     where = scratch(spark, "merge")
     o = table(spark, sf_dir, "orders")
-    rows = o.select(F.lit("g0").alias("graph_id"), F.concat(F.lit("order_"), "o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"), F.lit(1).alias("ord"))
-    rows.unionByName(rows.where("id like '%1'").withColumn("name", F.lit("early")).withColumn("ord", F.lit(0))).repartition(2, "id").write.parquet(f"{where}/in")
+    order, none = F.concat(F.lit("order_"), "o_orderkey"), F.lit(None).cast("string")
+    node = o.select(F.lit("g0").alias("graph_id"), order.alias("id"), none.alias("source"), none.alias("target"), none.alias("relation"), F.col("o_orderpriority").alias("name"), F.lit(1).alias("ord"))
+    edge = o.select(F.lit("g0").alias("graph_id"), none.alias("id"), F.concat(F.lit("customer_"), "o_custkey").alias("source"), order.alias("target"), F.lit("made").alias("relation"), F.col("o_orderstatus").alias("name"), F.lit(1).alias("ord"))
+    rows = node.unionByName(edge)
+    early = rows.where("coalesce(id, target) like '%1'").withColumn("name", F.lit("early")).withColumn("ord", F.lit(0))
+    rows.unionByName(early).repartition(2, "id", "target").write.parquet(f"{where}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
     seen: list[int] = []
-    graph = I.merge_into(f"{where}/graph", compact_every=2)
+    nodes, edges = I.merge_into(f"{where}/nodes", compact_every=2), I.merge_edges_into(f"{where}/edges", compact_every=2)
 
     def each(batch: DataFrame, n: int) -> None:
-        graph.put(batch, n)
+        nodes.put(batch.where("id is not null"), n)
+        edges.put(batch.where("id is null"), n)
         seen.append(n)
 
     _drain(stream, each, where)
-    return graph.read(spark, max(seen)).select("id", "name")
+    made = edges.read(spark, max(seen)).select(F.concat_ws(" ", "source", "relation", "target").alias("id"), "name")
+    return nodes.read(spark, max(seen)).select("id", "name").unionByName(made)
 
 
 @query(W + "SELECT id, name AS document, length(name)::FLOAT AS size FROM nodes WHERE type <> 'item' UNION ALL SELECT id, source || ' ' || relation || ' ' || target, length(source || ' ' || relation || ' ' || target)::FLOAT FROM edges WHERE relation <> 'involves'")

@@ -19,20 +19,30 @@ LABELS = {
     "EVENT": "event", "ACTION": "event", "ENV": "environment_element", "ENV_ELEMENT": "environment_element",
 }
 LEXICON = [
-    ("character", "names", "maria john anna mister miss mr mrs ms dr sir lord lady"),
-    ("character", "roles", "girl boy woman man child daughter son mother father mom dad brother sister friend stranger hero villain"),
-    ("item", "animals", "cat dog bird horse wolf bear rabbit fox demon angel"),
-    ("item", "objects", "notebook book key sword rock bed door window lamp torch potion coin gem ring map compass"),
-    ("item", "rooms", "bedroom kitchen bathroom hall cellar attic room"),
-    ("environment_element", "parts", "wall ceiling floor path trail entrance exit stairs roof chimney fence gate corner window door"),
-    ("event", "nominalizations", "battle arrival departure death meeting fight journey wedding funeral ceremony attack rescue discovery"),
-]
-PRONOUNS = "i you he she it we they me him her us them my your his its our their".split()
-GENERIC_VERBS = "be am is are was were been being have has had do does did will would could should may might can tell let lets go going come look looking sit sitting stay staying walk walking run running appear appeared found lost".split()
-ABSTRACT_NOUNS = "world fact history details event gameplay while stuff thing part place time way day night life system process state scene finish finishes cutie dear ancient greatest little angel".split()
+    ("character", "names", ["maria", "john", "anna", "mister", "miss", "mr", "mrs", "ms", "dr", "sir", "lord", "lady"]),
+    ("character", "roles", ["girl", "boy", "woman", "man", "child", "daughter", "son", "mother", "father", "mom", "dad", "brother", "sister", "friend", "stranger", "hero", "villain"]),
+    ("item", "animals", ["cat", "dog", "bird", "horse", "wolf", "bear", "rabbit", "fox", "demon", "angel"]),
+    ("item", "objects", ["notebook", "book", "key", "sword", "rock", "bed", "door", "window", "lamp", "torch", "potion", "coin", "gem", "ring", "map", "compass"]),
+    ("item", "rooms", ["bedroom", "kitchen", "bathroom", "hall", "cellar", "attic", "room"]),
+    ("environment_element", "parts", ["wall", "ceiling", "floor", "path", "trail", "entrance", "exit", "stairs", "roof", "chimney", "fence", "gate", "corner", "window", "door"]),
+    ("event", "nominalizations", ["battle", "arrival", "departure", "death", "meeting", "fight", "journey", "wedding", "funeral", "ceremony", "attack", "rescue", "discovery"]),
+]
+PRONOUNS = [
+    "i", "you", "he", "she", "it", "we", "they", "me", "him", "her", "us", "them", "my", "your", "his", "its", "our", "their",
+]
+GENERIC_VERBS = [
+    "be", "am", "is", "are", "was", "were", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may",
+    "might", "can", "tell", "let", "lets", "go", "going", "come", "look", "looking", "sit", "sitting", "stay", "staying", "walk", "walking", "run",
+    "running", "appear", "appeared", "found", "lost",
+]
+ABSTRACT_NOUNS = [
+    "world", "fact", "history", "details", "event", "gameplay", "while", "stuff", "thing", "part", "place", "time", "way", "day", "night", "life",
+    "system", "process", "state", "scene", "finish", "finishes", "cutie", "dear", "ancient", "greatest", "little", "angel",
+]
 LINK_WORDS = "of|and|or|but|in|on|at|to|for|with|by|from|into|upon|without"
 STOP_SPANS = "why|oh|wow|yes|no|ok|the|a|an|and|but|or|in|on|at|to|for|with|by|from|is|are|was|were"
-ITEM_HINTS, BEING_HINTS = "key book note".split(), "cat demon girl boy mom dad".split()
+ITEM_HINTS = ["key", "book", "note"]
+BEING_HINTS = ["cat", "demon", "girl", "boy", "mom", "dad"]
 SPAN_EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~ —–"
 
 
@@ -112,7 +122,7 @@ def type_correct(text: Column, predicted: Column, lemma: Column | None = None) -
     lem = F.lower(lemma) if lemma is not None else low
     out = None
     for kind, category, words in LEXICON:
-        hit = low.isin(words.split()) | lem.isin(words.split())
+        hit = low.isin(words) | lem.isin(words)
         value = F.struct(F.lit(kind).alias("type"), F.lit(f"lexicon_override:{category}").alias("reason"))
         out = F.when(hit, value) if out is None else out.when(hit, value)
     return out.otherwise(F.struct(predicted.alias("type"), F.lit("no_override").alias("reason")))

@@ -214,8 +214,8 @@ def fn_span_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id", "label").agg(F.count("*").alias("spans"), F.min("text").alias("first"), F.max("text").alias("last"))
 
 
-_LEX_TYPE = " ".join(f"WHEN low IN {_in(w.split())} THEN '{k}'" for k, _, w in X.LEXICON)
-_LEX_WHY = " ".join(f"WHEN low IN {_in(w.split())} THEN 'lexicon_override:{c}'" for _, c, w in X.LEXICON)
+_LEX_TYPE = " ".join(f"WHEN low IN {_in(w)} THEN '{k}'" for k, _, w in X.LEXICON)
+_LEX_WHY = " ".join(f"WHEN low IN {_in(w)} THEN 'lexicon_override:{c}'" for _, c, w in X.LEXICON)
 _WORDS = ["Maria", "cat ", "Door", "wall", "battle", "tree", "attic", "girl"]
 
 

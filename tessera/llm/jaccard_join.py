@@ -347,10 +347,12 @@ def jaccard_components(
         work.drop(classes, found, label)
         done = sized.where("fingerprint is not null and doc_id is not null").join(vertex, "fingerprint").select("doc_id", "n_shingles", "component_id")
         # a row without words has its id's component, if that has rows with words, else it stays alone
-        bare = sized.where("fingerprint is null or doc_id is null").select("doc_id", "n_shingles")
+        bare = sized.where("fingerprint is null and doc_id is not null").select("doc_id", "n_shingles")
         worded = sized.join(repeated, "doc_id", "left_semi").join(vertex, "fingerprint").groupBy("doc_id").agg(F.min("component_id").alias("c"))
         bare = bare.join(worded, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
-        return work.release(done.union(bare))
+        # rows without an id are in no component, and in no join
+        nameless = sized.where("doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return work.release(done.union(bare).union(nameless))
 
 
 def _links(own: DataFrame, docs: DataFrame, work: Scratch, width: int, percent: int, block: int) -> DataFrame:

@@ -2,10 +2,10 @@
 
 No piece of a vocabulary of this kind holds a white-space marker after another character,
 so no piece crosses from one marked word into the next: a text may be cut before every run
-of markers. Each task keeps a table of the distinct chunks it has met, has the library
+of markers, if the model takes it as it is. Each task keeps a table of the distinct chunks it has met, has the library
 segment every distinct chunk once, and joins the chunks' ids back by position with numpy
-gathers. A model whose pieces do cross markers is detected and its texts are segmented
-whole. The table is emptied when it outgrows ``table_limit`` chunks, so memory is bounded.
+gathers. A model whose pieces do cross markers, or that normalises texts, is detected and its
+texts are segmented whole. The table is emptied when it outgrows ``table_limit`` chunks, so memory is bounded.
 
 Null texts count as empty (only the end id); any length is taken whole; rows keep their
 other columns (``keep``) but ones named like those added; repeated rows give repeated
@@ -29,8 +29,14 @@ _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
 
 def pieces_stay_in_chunks(sp) -> bool:
-    """Whether no piece holds a marker after another character."""
-    return not any(MARK in sp.id_to_piece(i).lstrip(MARK) for i in range(sp.get_piece_size()))
+    """Whether no piece holds a marker after another character, and the model takes texts as they are: one marker
+    before them, one for every space, nothing normalised, taken away or kept whole by a symbol of the user's."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto.FromString(sp.serialized_model_proto())
+    rule, own = model.normalizer_spec, sentencepiece_model_pb2.ModelProto.SentencePiece.USER_DEFINED
+    plain = rule.add_dummy_prefix and rule.escape_whitespaces and not rule.remove_extra_whitespaces and not rule.precompiled_charsmap
+    return plain and not model.trainer_spec.treat_whitespace_as_suffix and not any(MARK in p.piece.lstrip(MARK) or p.type == own for p in model.pieces)
 
 
 class ChunkTable:

@@ -374,6 +374,31 @@ def test_pieces_equal_the_library(spark, odd, none):
     assert {str(r["ids"]) for r in piece_codec.encode_decode(clash, path, keep=["doc_id", "ids", "decoded"]).collect()} == {str(r["ids"]) for r in piece_codec.encode_decode(odd, path).collect()}
 
 
+def test_models_that_change_texts_are_not_cut(spark, tmp_path):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    given = pb.ModelProto.FromString(open(P.path("piece_bpe_32k.model"), "rb").read())
+    texts = ["  two  spaces ", "the user's own word", "a b", " ", None]
+    for change in ("none", "spaces", "symbol", "prefix"):
+        model = pb.ModelProto()
+        model.CopyFrom(given)
+        if change == "spaces":
+            model.normalizer_spec.remove_extra_whitespaces = True
+        elif change == "prefix":
+            model.normalizer_spec.add_dummy_prefix = False
+        elif change == "symbol":
+            model.pieces.add(piece="user's own", score=0, type=pb.ModelProto.SentencePiece.USER_DEFINED)
+        path = str(tmp_path / f"{change}.model")
+        with open(path, "wb") as f:
+            f.write(model.SerializeToString())
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        assert piece_codec.pieces_stay_in_chunks(sp) == (change == "none")
+        rows = piece_codec.encode_decode(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), path).collect()
+        for r in rows:
+            ids = sp.encode(texts[r["k"]] or "")
+            assert r["ids"] == [*ids, sp.eos_id()] and r["decoded"] == sp.decode(ids), (change, r)
+
+
 def test_chunk_table_on_random_texts():
     sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
     rng = np.random.default_rng(3)

@@ -34,9 +34,30 @@ def chunk_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.number(K.split_fixed(docs(spark, sf_dir)).select("doc_id", "pos"), 100).select("doc_id", "pos", "chunk_id")
 
 
-@query()
+def _split_sql() -> str:
+    """Parts by lists of strings, level by level; from every part on, the end of a chunk and the start of the next one
+    by prefix sums; then the chain of these from every text's start."""
+    rows = "SELECT doc_id, [text] AS ps FROM documents WHERE length(text) > 0"
+    for sep in ("chr(10) || chr(10)", "chr(10)", "' '"):
+        cut = f"string_split(p, {sep})"
+        cut = f"list_transform({cut}, lambda x, i: x || CASE WHEN i < len({cut}) THEN {sep} ELSE '' END)"
+        rows = f"SELECT doc_id, flatten(list_transform(ps, lambda p: CASE WHEN length(p) <= 500 THEN [p] ELSE {cut} END)) AS ps FROM ({rows})"
+    cut = "list_transform(range(0, (length(p) + 499) // 500), lambda k: substr(p, k * 500 + 1, 500))"
+    rows = f"SELECT doc_id, list_filter(flatten(list_transform(ps, lambda p: {cut})), lambda p: p <> '') AS ps FROM ({rows})"
+    return f"""WITH RECURSIVE parts AS (SELECT doc_id, unnest(list_transform(ps, lambda p: length(p))) AS n, generate_subscripts(ps, 1) AS i FROM ({rows})),
+  placed AS MATERIALIZED (SELECT *, c1 - n AS c0, lead(c1) OVER (PARTITION BY doc_id ORDER BY i) AS c2
+    FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS c1 FROM parts)),
+  ends AS (SELECT a.doc_id, a.c0 AS s, b.c1 AS e, CASE WHEN b.c2 IS NOT NULL THEN greatest(b.c1 - 50, b.c2 - 500) END AS again
+    FROM placed a ASOF JOIN placed b ON a.doc_id = b.doc_id AND a.c0 + 500 >= b.c1),
+  jump AS MATERIALIZED (SELECT x.doc_id, x.s, x.e, y.c0 AS next FROM ends x ASOF LEFT JOIN placed y ON x.doc_id = y.doc_id AND x.again <= y.c0),
+  chain AS (SELECT doc_id, 0 AS pos, s, e, next FROM jump WHERE s = 0
+    UNION ALL SELECT j.doc_id, c.pos + 1, j.s, j.e, j.next FROM chain c JOIN jump j ON j.doc_id = c.doc_id AND j.s = c.next)
+  SELECT doc_id, pos, (e - s)::INT AS size, md5(substr(text, s + 1, e - s)) AS digest FROM chain JOIN documents USING (doc_id)"""
+
+
+@query(_split_sql())
 def chunk_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.split(docs(spark, sf_dir)).select("doc_id", "pos", F.length("text").alias("size"))
+    return K.split(docs(spark, sf_dir)).select("doc_id", "pos", F.length("text").alias("size"), F.md5("text").alias("digest"))
 
 
 @query("SELECT conv_id, turn, role FROM conversations WHERE role IN ('user', 'assistant')")

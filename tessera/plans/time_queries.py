@@ -445,13 +445,24 @@ _PATH_NODES = """pnd AS (SELECT query_id, id, max(score) AS score FROM (SELECT q
 _SCORED = ["query_id", "id", "score"]
 
 
-@query(f"{_PATHS.replace('>= 0.01', '>= 0.0005')}, {_NEAR}, {_PATH_NODES} SELECT query_id, id, round(score, 6) AS score FROM pnd")
+_ORDER_ENTRY = """ent AS MATERIALIZED (SELECT o_custkey AS query_id, 'order_' || o_orderkey AS id, 1.0 / i AS score, CASE i WHEN 1 THEN 1 ELSE 2 END AS rank
+  FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders) WHERE i IN (1, 4))"""
+
+
+@query(f"{_PATHS.replace(_ENTRY, _ORDER_ENTRY).replace('>= 0.01', '>= 0.0005')}, {_NEAR}, {_PATH_NODES} SELECT query_id, id, round(score, 6) AS score FROM pnd")
 def ret_path_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Along ways that are less likely than elsewhere: nodes within a step of an entry are candidates already."""
-    with _asking(spark, sf_dir) as a:
-        near, _ = Q.expand(a.entries, a.edges, a.nodes)
-        found = Q.path_nodes(Q.paths(Q.entry_pairs(a.entries), a.edges, floor=0.0005), a.entries.select(*_SCORED).unionByName(near.select(*_SCORED)))
-        return a.work.release(found.withColumn("score", F.round("score", 6)))
+    """A question a customer, about its first and fourth order: what leads from one to the other is found
+    along ways that are less likely than elsewhere, and most of it is no neighbour of either."""
+    order = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    asked = table(spark, sf_dir, "orders").withColumn("i", order).where("i in (1, 4)")
+    asked = asked.select(F.col("o_custkey").alias("query_id"), F.concat(F.lit("order_"), "o_orderkey").alias("id"), F.expr("1.0D / i").alias("score"), F.when(F.col("i") == 1, 1).otherwise(2).alias("rank"))
+    g = star_graph(spark, sf_dir)
+    with Scratch(spark) as work:
+        nodes, edges, entries = (work.keep(t, name) for t, name in ((g.nodes, "nodes"), (g.edges, "edges"), (asked, "entries")))
+        near, _ = Q.expand(entries, edges, nodes)
+        candidates = entries.select(*_SCORED).unionByName(near.select(*_SCORED))
+        found = Q.path_nodes(Q.paths(Q.entry_pairs(entries), edges, floor=0.0005), candidates)
+        return work.release(found.withColumn("score", F.round("score", 6)))
 
 
 def _texts_sql(candidates: str, about: str = "n.base_description", more: str = "") -> str:

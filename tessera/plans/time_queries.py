@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ from tessera.operators.graph import Graph
 from tessera.plans.graph_queries import W, lexical_sql, tokens_sql
 from tessera.plans.registry import query, table
 from tessera.plans.star_graph import star_graph
-from tessera.runtime import Scratch, scratch
+from tessera.runtime import Scratch, scratch, submit
 
 #: Levels of orders, without recursion: an order's place among its customer's.
 _LEVELS = "SELECT 'order_' || o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS level FROM orders"
@@ -540,17 +541,27 @@ def _timed(edges: DataFrame) -> DataFrame:
     return rows.withColumn("time_end_event", F.col("__n")).drop("__o", "__n")
 
 
+def _world(nodes: DataFrame, levels: DataFrame, queries: DataFrame) -> DataFrame:
+    """One history a graph, for all its queries."""
+    events = nodes.where("type = 'event'").join(levels.select("id", "level"), "id")
+    said = F.concat_ws(". ", "name", F.col("base_attributes")["time"], "base_description")
+    told = Q.history(events.select(F.col("graph_id").alias("query_id"), "id", "level", said.alias("text")), 300).withColumnRenamed("query_id", "graph_id")
+    return queries.withColumn("graph_id", F.lit("g0")).join(told, "graph_id").select("query_id", F.lit(0).alias("place"), "text")
+
+
 def _context(spark: SparkSession, sf_dir: str, timed: bool) -> DataFrame:
-    with _asking(spark, sf_dir) as a:
-        levels = a.work.keep(_levels(spark, sf_dir), "levels")
-        edges, states = a.edges, None
+    with _asking(spark, sf_dir) as a, ThreadPoolExecutor(2) as pool:
         queries = a.entries.select("query_id").distinct()
+        # levels and the history beside the paths, which only wait for them if times are asked
+        levels = submit(pool, lambda: T.event_levels(a.nodes.where("type = 'event'"), a.edges.where("relation = 'precedes'")))
+        world = submit(pool, lambda: a.work.keep(_world(a.nodes, levels.result(), queries), "world"))
+        edges, states = a.edges, None
         if timed:
-            edges = a.work.keep(T.edges_as_of(_timed(a.edges), levels, _UPPER, _LOWER), "edges")
+            edges = a.work.keep(T.edges_as_of(_timed(a.edges), levels.result(), _UPPER, _LOWER), "timed")
             own = _timed_edges(spark, sf_dir, F.concat(F.lit("customer_"), "o_custkey")).withColumnsRenamed({"id": "node", "time_start_event": "start", "time_end_event": "end"})
             ranges = queries.select(F.lit("g0").alias("graph_id"), "query_id", F.lit(_LOWER).alias("left"), F.lit(_UPPER).alias("right"))
             wanted = a.entries.select(F.col("id").alias("node")).distinct()
-            states = T.states_within(own.join(wanted, "node", "left_semi"), levels, ranges)
+            states = T.states_within(own.join(wanted, "node", "left_semi"), levels.result(), ranges)
         near, texts = Q.expand(a.entries, edges, a.nodes)
         near = a.work.keep(near, "near")
         found = a.work.keep(Q.paths(Q.entry_pairs(a.entries), edges), "paths")
@@ -562,12 +573,9 @@ def _context(spark: SparkSession, sf_dir: str, timed: bool) -> DataFrame:
         item = lambda name, score: [F.concat_ws(" ", *name).alias("id"), F.col(score).alias("score"), X.tokens(F.col("text")).alias("tokens"), "text"]
         lines = Q.between_packed(texts, nodes).select("query_id", *item(["source", "target"], "weight"))
         ways = Q.between_packed(Q.path_texts(found, a.nodes, edges), nodes, ("start", "stop")).select("query_id", *item(["start", "stop", "number"], "score"))
-        events = a.nodes.where("type = 'event'").join(levels.select("id", "level"), "id")
-        said = F.concat_ws(". ", "name", F.col("base_attributes")["time"], "base_description")
-        # one history a graph, for all its queries
-        world = Q.history(events.select(F.col("graph_id").alias("query_id"), "id", "level", said.alias("text")), 300)
-        world = queries.withColumn("graph_id", F.lit("g0")).join(world.withColumnRenamed("query_id", "graph_id"), "graph_id").select("query_id", F.lit(0).alias("place"), "text")
-        blocks = {"NODES": nodes, "EDGES": Q.pack(lines, share("edges")), "PATHS": Q.pack(ways, share("paths")), "HISTORY": world}
+        packed_ways = submit(pool, lambda: a.work.keep(Q.pack(ways, share("paths")), "ways"))
+        lines = a.work.keep(Q.pack(lines, share("edges")), "lines")
+        blocks = {"NODES": nodes, "EDGES": lines, "PATHS": packed_ways.result(), "HISTORY": world.result()}
         return a.work.release(Q.context(blocks, queries))
 
 

@@ -7,9 +7,10 @@ import tempfile
 import threading
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import Executor, Future
 from contextlib import contextmanager
-from contextvars import ContextVar
+from contextvars import ContextVar, copy_context
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -127,6 +128,12 @@ def discarding_results(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
+def submit(pool: Executor, job: Callable[[], DataFrame]) -> Future[DataFrame]:
+    """job() in a thread of the pool, for tables that do not wait for each other. What it writes as results belongs
+    to the ``discarding_results`` of the thread that asks for it."""
+    return pool.submit(copy_context().run, job)
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage is cut, and the files outlive executors.
 

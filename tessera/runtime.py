@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
 import threading
@@ -146,7 +147,7 @@ class Scratch:
     the ``with`` block, by its end or by an error, all others go but the one released as the result."""
 
     def __init__(self, spark: SparkSession):
-        self._spark, self._root, self._n = spark, f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}", 0
+        self._spark, self._root, self._numbers = spark, f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}", itertools.count(1)
         self._paths: dict[int, tuple[DataFrame, str]] = {}
 
     def __enter__(self) -> Scratch:
@@ -156,8 +157,7 @@ class Scratch:
         self.drop(*[t for t, _ in self._paths.values()])
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        self._n += 1
-        path = f"{self._root}/{name}-{self._n}"
+        path = f"{self._root}/{name}-{next(self._numbers)}"
         out = _write(df, path)
         self._paths[id(out)] = (out, path)
         return out

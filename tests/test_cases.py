@@ -3,6 +3,7 @@
 import os
 import random
 import threading
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -12,9 +13,10 @@ from tessera import runtime
 from tessera.functions import models
 from tessera.operators import annotation, build, chunking, evaluation, extraction, merge, resolution, responses, retrieval, vectors
 from tessera.operators.graph import Graph, put_edges, remove_nodes, repair_dangling
-from tessera.plans import source_queries, text_queries
+from tessera.plans import catalogue, source_queries, text_queries
 from tessera.sources import files
 from tessera.streaming import incremental
+from tests import compare
 from tests.conftest import SMALL
 
 
@@ -39,6 +41,19 @@ def test_clusters_equal_sequential_ones(spark, best):
     assert got == sequential(range(60), sim, best)
 
 
+def test_chunks_equal_their_sql(spark, tmp_path):
+    """Kinds of white space that the given texts lack, texts without any, and texts of just a chunk's size."""
+    rng = random.Random(5)
+    some = lambda n: "".join(rng.choice(["word", "a", "long" * 30, " ", " ", "\n", "\n\n", "\n\n\n", "жук"]) for _ in range(n))
+    texts = [some(rng.randrange(1, 900)) for _ in range(40)] + [None, "", " ", "\n\n", "x" * 500, "x" * 501, "x" * 2000 + " y " + "z" * 499, " " * 1300, ("a" * 499 + " ") * 5]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    (tmp_path / "sql").mkdir()
+    one = spark.read.parquet(str(tmp_path / "documents.parquet")).toPandas()
+    one.to_parquet(tmp_path / "sql" / "documents.parquet")
+    name = "chunk_split"
+    assert compare.differ(spark, str(tmp_path / "sql"), catalogue.QUERIES[name], catalogue.ORACLE_SQL[name]) is None
+
+
 def test_chunks_keep_the_text():
     rng = random.Random(2)
     for _ in range(200):
@@ -307,6 +322,16 @@ def test_results_of_other_threads_stay(spark):
     assert not runtime.names_in(spark, path)
 
 
+def test_tables_of_a_pool_belong_to_who_asks(spark):
+    with runtime.discarding_results(spark), runtime.Scratch(spark) as work, ThreadPoolExecutor(2) as pool:
+        jobs = [runtime.submit(pool, lambda n=n: work.keep(spark.range(n), "t")) for n in range(4)]
+        result = runtime.submit(pool, lambda: runtime.materialize(spark.range(7), "t"))
+        assert [j.result().count() for j in jobs] == [0, 1, 2, 3] and result.result().count() == 7
+    for gone in (jobs[3], result):
+        with pytest.raises(Exception, match="exist|NOT_FOUND|No such"):
+            gone.result().collect()
+
+
 def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     class Bare:
         class sparkContext:

@@ -53,9 +53,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether decoding gives its text back; a null text is empty."""
-    done = piece_codec.encode_decode(docs.select(*COLUMNS), vocabularies.path("piece_bpe_32k.model"), keep=["doc_id", "text", "source"])
-    same = (F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "▁", " ")).alias("round_trip")
-    return done.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), same)
+    done = piece_codec.encode_decode(docs.select(*COLUMNS), vocabularies.path("piece_bpe_32k.model"), keep=["doc_id", "source"], round_trip=True)
+    return done.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
 
 STAGES = [("language", language), ("quality", good_quality), ("near_duplicates", near_duplicates), ("source_mix", source_mix), ("pieces", pieces)]

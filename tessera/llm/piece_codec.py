@@ -86,20 +86,27 @@ class ChunkTable:
         return flat, np.diff(ends), decoded
 
 
-def encode_decode(docs: DataFrame, model_path: str, *, keep: list[str] | None = None, text: str = "text", eos: bool = True) -> DataFrame:
-    """Adds ``ids`` (array<int>, with the end id) and ``decoded`` to the columns of ``keep``."""
-    keep = without(keep if keep is not None else [c for c in docs.columns if c != text], ("ids", "decoded"))
-    added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+def encode_decode(
+    docs: DataFrame, model_path: str, *, keep: list[str] | None = None, text: str = "text", eos: bool = True, round_trip: bool = False, batch_chars: int = 250_000, table_limit: int = 100_000
+) -> DataFrame:
+    """Adds ``ids`` (array<int>, with the end id) and ``decoded`` to the columns of ``keep``. With ``round_trip``, a
+    boolean of that name takes the place of ``decoded``: whether decoding gives the text back, markers in it being
+    spaces; the task that decodes a text compares it, and no text is handed back. ``batch_chars`` and
+    ``table_limit`` bound what a task holds beside its batch, not what it does."""
+    last = T.StructField("round_trip", T.BooleanType()) if round_trip else T.StructField("decoded", T.StringType())
+    keep = without(keep if keep is not None else [c for c in docs.columns if c != text], ("ids", last.name))
+    sent = text if text in keep else "__text"
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType())), last]
     schema = T.StructType([docs.schema[c] for c in keep] + added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        table = ChunkTable(sp) if pieces_stay_in_chunks(sp) else None
+        table = ChunkTable(sp, table_limit) if pieces_stay_in_chunks(sp) else None
         for rb in batches:
-            texts = [t or "" for t in rb.column("__text").to_pylist()]
-            for a, b in sub_batches(texts, 1_000_000):
+            texts = [t or "" for t in rb.column(sent).to_pylist()]
+            for a, b in sub_batches(texts, batch_chars):
                 if table is not None:
                     flat, sizes, decoded = table.encode(texts[a:b])
                 else:
@@ -110,6 +117,11 @@ def encode_decode(docs: DataFrame, model_path: str, *, keep: list[str] | None =
                     flat, sizes = np.insert(flat, np.cumsum(sizes), sp.eos_id()), sizes + 1
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int32()))
                 part = rb.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [ids, pa.array(decoded, pa.string())], names=[*keep, "ids", "decoded"])
+                if round_trip:
+                    made = pa.array([d == t.replace(MARK, " ") for d, t in zip(decoded, texts[a:b], strict=True)], pa.bool_())
+                else:
+                    made = pa.array(decoded, pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [ids, made], names=[*keep, "ids", last.name])
 
-    return in_batches(docs).select(*[docs[c] for c in keep], docs[text].alias("__text")).mapInArrow(run, schema)
+    own = [] if sent in keep else [docs[text].alias(sent)]
+    return in_batches(docs).select(*[docs[c] for c in keep], *own).mapInArrow(run, schema)

@@ -374,6 +374,23 @@ def test_pieces_equal_the_library(spark, odd, none):
     assert {str(r["ids"]) for r in piece_codec.encode_decode(clash, path, keep=["doc_id", "ids", "decoded"]).collect()} == {str(r["ids"]) for r in piece_codec.encode_decode(odd, path).collect()}
 
 
+def test_round_trips_are_told_without_handing_texts_back(spark, odd, none):
+    import corpus_pipeline
+
+    path, more = P.path("piece_bpe_32k.model"), [(90, "a▁b ▁"), (91, "<s> \U0001f600\x00 </s>"), (92, " "), (93, "")]
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    told = piece_codec.encode_decode(docs, path, keep=["doc_id", "text"], round_trip=True, batch_chars=3, table_limit=2)
+    plain = piece_codec.encode_decode(docs, path, keep=["doc_id", "text"])
+    rows = lambda df: Counter((r["doc_id"], r["text"], tuple(r["ids"]), r["round_trip"]) for r in df.collect())
+    assert told.columns == ["doc_id", "text", "ids", "round_trip"] and piece_codec.encode_decode(none, path, round_trip=True).count() == 0
+    assert rows(told) == rows(plain.withColumn("round_trip", F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "▁", " ")))
+    # of the pipeline's stage, texts go to Python once and do not come back
+    given = docs.selectExpr("doc_id", "text", "'en' lang", "'a' source", "length(text) n_chars")
+    plan = corpus_pipeline.pieces(spark, given, SF)._jdf.queryExecution().optimizedPlan().toString()
+    (arrow,) = [x for x in plan.splitlines() if "MapInArrow" in x]
+    assert "round_trip" in arrow and "decoded" not in arrow and "text" not in arrow.split("[", 1)[1], arrow
+
+
 def test_models_that_change_texts_are_not_cut(spark, tmp_path):
     from sentencepiece import sentencepiece_model_pb2 as pb
 

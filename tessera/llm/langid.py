@@ -19,8 +19,10 @@ the input named like those added are replaced.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cmp_to_key
 
 import numpy as np
 import pyarrow as pa
@@ -110,7 +112,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], buckets: int, dim: int
     weight = 1 / np.maximum(share * len(langs), 0.05)  # rare languages count alike
 
     def hidden(which):
-        idx, val = np.concatenate([rows[i][1] for i in which]), np.concatenate([rows[i][2] for i in which])
+        idx, val = np.concatenate([rows[i][1] for i in which]), np.concatenate([rows[i][2] for i in which]).astype(float)
         at = np.cumsum([0] + [len(rows[i][1]) for i in which[:-1]])
         return idx, val, at, np.add.reduceat(emb[idx] * val[:, None], at, axis=0)
 
@@ -130,7 +132,8 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], buckets: int, dim: int
             done += 1
     temperature, floor = 1.0, 0.0
     if len(held):
-        logits, y = hidden(held)[3] @ w, label[held]
+        # in slices, as in training: a row for every n-gram of all held-back texts would fill the driver
+        logits, y = np.concatenate([hidden(held[k : k + size])[3] for k in range(0, len(held), size)]) @ w, label[held]
         grid = np.geomspace(0.05, 5, 40)
         loss = [-np.log(softmax(logits / t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid]
         temperature = float(grid[int(np.argmin(loss))])
@@ -138,28 +141,42 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], buckets: int, dim: int
     return Model(langs, emb, w, temperature, floor)
 
 
+def packed(idx: np.ndarray, count: np.ndarray) -> bytes:
+    """Ascending bucket numbers and how often each occurs, small enough for a sample of them to go to the driver."""
+    return zlib.compress(np.concatenate([np.diff(idx, prepend=0), count]).astype("<u4").tobytes(), 1)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket numbers and their weights (summing to 1) of packed()."""
+    step, count = np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64).reshape(2, -1)
+    return np.cumsum(step).astype(np.int32), (count / max(1, int(count.sum()))).astype(np.float32)
+
+
+def _compared(a: tuple[str, np.ndarray, np.ndarray], b: tuple[str, np.ndarray, np.ndarray]) -> int:
+    """Order of two samples; their bytes are made only while they are compared."""
+    if a[0] != b[0]:
+        return -1 if a[0] < b[0] else 1
+    for x, y in zip(a[1:], b[1:], strict=True):
+        p, q = (v.tobytes() if v.dtype == np.int32 else v.astype(float).tobytes() for v in (x, y))
+        if p != q:
+            return -1 if p < q else 1
+    return 0
+
+
 def fit(
     docs: DataFrame, usable: Column, *, sample_docs: int = 2000, buckets: int = 1 << 15, dim: int = 16, epochs: int = 8, rate: float = 2.0, reject_share: float = 0.001
 ) -> Model | None:
     """Learns from text and lang of the ``usable`` rows with non-null lang and text."""
     own = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     chosen = sample_share(own.select("doc_id", "lang", "text"), sample_docs, "doc_id").select("lang", "text", "__order")
-    names = ["lang", "idx", "val", "__order"]
-
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            idx, val = [], []
-            for t in rb.column(1).to_pylist():
-                found = np.concatenate(subwords([letters(t)], buckets)[0])
-                u, n = np.unique(found, return_counts=True)
-                idx.append(u.astype(np.int32))
-                val.append((n / max(1, len(found))).astype(np.float32))
-            made = [pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32()))]
-            yield pa.RecordBatch.from_arrays([rb.column(0), *made, rb.column(2)], names=names)
-
-    got = in_batches(chosen).mapInArrow(features, "lang string, idx array<int>, val array<float>, __order long").orderBy("__order", "lang").limit(sample_docs).toArrow()
-    rows = [(a, np.asarray(i), np.asarray(v, float)) for a, i, v in zip(got["lang"].to_pylist(), got["idx"].to_numpy(), got["val"].to_numpy(), strict=True)]
-    rows.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
+            found = [packed(*np.unique(np.concatenate(subwords([letters(t)], buckets)[0]), return_counts=True)) for t in rb.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(found, pa.binary()), rb.column(2)], names=["lang", "found", "__order"])
+
+    got = in_batches(chosen).mapInArrow(features, "lang string, found binary, __order long").orderBy("__order", "lang").limit(sample_docs).toArrow()
+    rows = [(a, *unpacked(x.as_py())) for a, x in zip(got["lang"].to_pylist(), got["found"], strict=True)]
+    rows.sort(key=cmp_to_key(_compared))
     return train(rows, buckets, dim, epochs, rate, reject_share)
 
 

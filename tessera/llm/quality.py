@@ -132,7 +132,7 @@ def fit(
     got = in_batches(own).mapInArrow(features, "y int, x array<double>").toArrow()
     if not got.num_rows:
         return None
-    y, x = np.asarray(got["y"].to_numpy(), float), np.array(got["x"].to_pylist(), float)
+    y, x = np.asarray(got["y"].to_numpy(), float), got["x"].combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)
     order = np.lexsort([*x.T, y])  # the order rows arrive in must not matter
     return train(x[order], y[order], trees=trees, depth=depth, bins=bins, rate=rate, l2=l2)
 

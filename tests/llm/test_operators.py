@@ -3,6 +3,7 @@
 import hashlib
 import os
 import re
+import tracemalloc
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -16,7 +17,7 @@ import regex
 import sentencepiece
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, chat, common, html_text, jaccard_join, langid, mixing, piece_codec, quality, queries, token_counts, topk_join
+from tessera.llm import ann, chat, common, graph, html_text, jaccard_join, langid, mixing, piece_codec, quality, queries, token_counts, topk_join
 from tessera.llm.common import Scratch, materialize
 from tests import compare
 
@@ -235,6 +236,23 @@ def test_samples_are_bounded_under_repeated_ids(spark):
     assert {r["text"] for r in sample_share(rows, 100_000, "doc_id").collect() if r["doc_id"] == 7} == {"t0"}
 
 
+def test_language_learns_in_little_of_the_driver():
+    rng = np.random.default_rng(5)
+    idx = [np.unique(rng.integers(0, 1 << 15, 3000)) for _ in range(1000)]
+    count = [rng.integers(1, 4, len(i)) for i in idx]
+    # what a task sends of a text is smaller than its plain numbers, and says the same
+    assert sum(len(langid.packed(i, n)) for i, n in zip(idx, count)) < 0.6 * sum(8 * len(i) for i in idx)
+    rows = [(f"l{k % 3}", *langid.unpacked(langid.packed(i, n))) for k, (i, n) in enumerate(zip(idx, count))]
+    assert all((r[1] == i).all() and (r[2] == (n / n.sum()).astype(np.float32)).all() for r, i, n in zip(rows, idx, count))
+    assert [len(x) for x in langid.unpacked(langid.packed(idx[0][:0], count[0][:0]))] == [0, 0]
+    tracemalloc.start()
+    langid.train(rows, 1 << 15, 16, 1, 2.0, 0.001)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # the 200 held-back texts take over 70 MB at once, twice
+    assert peak < 60e6
+
+
 def test_subwords_do_not_cross_texts():
     texts = [langid.letters(t) for t in ("abc def", "x", "", "éa")]
     together = langid.subwords(texts, 1 << 15)
@@ -674,6 +692,28 @@ def plain_components(rows):
     return count, {i: find(i) for i in sets}
 
 
+def test_components_ask_no_round_of_what_is_stars(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name, keep=Scratch.keep: kept.append(name) or keep(self, df, name))
+
+    def found(edges):
+        kept.clear()
+        return {r["v"]: r["c"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+
+    assert found([(1, 5), (6, 1), (1, 5), (3, 9), (4, 4)]) == {1: 1, 5: 1, 6: 1, 3: 3, 9: 3} and kept == ["edges", "result"]
+    # a chain of three is a star after one round, and no further round confirms it
+    assert found([(1, 2), (2, 3)]) == {1: 1, 2: 1, 3: 1} and kept.count("edges") == 2
+    assert found([]) == {}
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 150, (110, 2))] + [(i, i + 1) for i in range(200, 240)] + [(300, i) for i in range(301, 330)]
+    want = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in want:
+        for x, y in edges:
+            if x != y:
+                want[x] = want[y] = min(want[x], want[y])
+    assert found(edges) == want
+
+
 def test_jaccard_components(spark):
     rows = [(d["doc_id"], d["text"]) for d in read("documents")]
     count, comp = plain_components(rows)

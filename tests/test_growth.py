@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import runtime
-from tessera.operators import vectors
+from tessera.operators import temporal, vectors
 from tessera.plans import catalogue, source_queries
 from tessera.streaming import incremental
 from tests import compare
@@ -61,3 +61,23 @@ def test_gathered_parts_are_one_table(spark):
         found = work.gather((keys.where(runtime.in_slice(["id"], k, 5)) for k in range(5)), "keys")
         assert sorted(int(r["id"]) for r in found.collect()) == list(range(100))
     assert [runtime.slices(n) for n in (0, 999_999, 5_000_000, 10**9)] == [1, 1, 5, 16]
+
+
+def test_states_of_one_interval_meet_lists_of_queries(spark):
+    levels = spark.createDataFrame([("g", f"e{i}", i) for i in range(6)], "graph_id string, id string, level int")
+    # equal rows among them; an end before the start; a node that is null
+    states = [("g", None if i == 7 else f"n{i % 90}", f"e{i % 4}" if i % 5 else None, f"e{(i * 3) % 6}" if i % 7 else None) for i in range(300)]
+    asked = [("g", q, None if q % 6 == 1 else q % 7, None if q % 6 == 2 else 5 - q % 4) for q in range(50)]
+    given = spark.createDataFrame(states, "graph_id string, node string, start string, end string"), levels, spark.createDataFrame(asked, "graph_id string, query_id long, left int, right int")
+    want = []
+    for _, q, left, right in asked:
+        low, high = sorted((0 if left is None else left, 5 if right is None else right))
+        for _, node, start, end in states:
+            a, b = int(start[1:]) if start else 0, int(end[1:]) if end else 5
+            if a <= min(high, 5) and b >= low and low <= 5:
+                want.append((q, "g", node, start, end))
+    for n in (4, 512):
+        got = temporal.states_within(*given, list_rows=n)
+        assert got.columns == ["query_id", "graph_id", "node", "start", "end"]
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 2  # not a row a piece and pair

@@ -1,10 +1,11 @@
 """What jobs leave on disk, and how they are cut into parts, on tables small enough to count."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera import runtime
-from tessera.operators import temporal, vectors
+from tessera.operators import resolution, temporal, vectors
 from tessera.plans import catalogue, source_queries
 from tessera.streaming import incremental
 from tests import compare
@@ -81,3 +82,35 @@ def test_states_of_one_interval_meet_lists_of_queries(spark):
         assert got.columns == ["query_id", "graph_id", "node", "start", "end"]
         assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 2  # not a row a piece and pair
+
+
+@pytest.mark.parametrize("threshold, clustered", [(0.2, False), (0.9, True)])
+def test_vectors_that_visit_most_cells_are_not_copied_to_them(spark, threshold, clustered):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 16)) if not clustered else rng.normal(size=(30, 16))[rng.integers(0, 30, 600)] + 0.1 * rng.normal(size=(600, 16))
+    rows = [("g", "t", i, i, f"v{i % 7}", v.tolist()) for i, v in enumerate(x)]
+    nodes = spark.createDataFrame(rows, "graph_id string, type string, id long, ord long, name string, embedding array<float>")
+    got = resolution.similar_pairs(nodes, threshold, part_rows=200, carry=["name"])
+    x = x.astype(np.float32).astype(float)
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    i, j = np.nonzero(np.triu(unit @ unit.T >= threshold, 1))
+    assert {(r["a"], r["b"], r["a_name"], r["b_name"]) for r in got.collect()} == {(a, b, f"v{a % 7}", f"v{b % 7}") for a, b in zip(i.tolist(), j.tolist())}
+    cells = {r["cell"] for r in spark.createDataFrame(_cells(got), "cell int").collect()}
+    assert (len(cells) == 1) != clustered
+
+
+def _cells(pairs):
+    """The cells that pairs are found in."""
+    plan = pairs._jdf.queryExecution().analyzed()
+    child = plan.children().apply(0)
+    from pyspark.sql import DataFrame
+
+    rows = DataFrame(pairs.sparkSession._jvm.org.apache.spark.sql.classic.Dataset.ofRows(pairs.sparkSession._jsparkSession, child), pairs.sparkSession)
+    return [(r["cell"],) for r in rows.select("cell").distinct().collect()]
+
+
+def test_names_of_pairs_take_no_join(spark):
+    rows = [("g", "t", i, i, f"name {i % 3}", [1.0, i / 50]) for i in range(40)]
+    nodes = spark.createDataFrame(rows, "graph_id string, type string, id long, ord long, name string, embedding array<double>")
+    plan = resolution.hybrid_pairs(nodes)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("levenshtein") < plan.index("FlatMapGroupsInPandas") and "Join" not in plan[: plan.index("FlatMapGroupsInPandas")]

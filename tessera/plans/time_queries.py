@@ -20,7 +20,7 @@ from tessera.operators.graph import Graph
 from tessera.plans.graph_queries import W, lexical_sql, tokens_sql
 from tessera.plans.registry import query, table
 from tessera.plans.star_graph import star_graph
-from tessera.runtime import Scratch, scratch, submit
+from tessera.runtime import Scratch, in_slice, scratch, slices, submit
 
 #: Levels of orders, without recursion: an order's place among its customer's.
 _LEVELS = "SELECT 'order_' || o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS level FROM orders"
@@ -263,7 +263,13 @@ def er_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
 def er_remap_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = star_graph(spark, sf_dir)
     leader = F.when(F.col("type") == "item", F.concat(F.lit("part_"), F.regexp_replace("id", "part_", "").try_cast("long") % 10)).otherwise(F.col("id"))
-    return R.remap_edges(g.edges, g.nodes.where("type <> 'location'").select("graph_id", "id", leader.alias("leader"))).select("id", "source", "target")
+    members = g.nodes.where("type <> 'location'").select("graph_id", "id", leader.alias("leader"))
+    remapped = lambda edges: R.remap_edges(edges, members).select("id", "source", "target")
+    n = slices(table(spark, sf_dir, "lineitem").count())
+    if n == 1:
+        return remapped(g.edges)
+    with Scratch(spark) as work:  # rows of one id are in one slice
+        return work.release(work.gather((remapped(g.edges.where(in_slice(["graph_id", "id"], k, n))) for k in range(n)), "edges"))
 
 
 # vector index -----------------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from tests import compare
 from tests.conftest import SMALL
 
 
-@pytest.mark.parametrize("name", ["stream_vec_sync"])
+@pytest.mark.parametrize("name", ["stream_vec_sync", "er_remap_edges"])
 def test_queries_in_slices_equal_their_sql(spark, monkeypatch, name):
     query = catalogue.QUERIES[name]
     monkeypatch.setitem(query.__globals__, "slices", lambda rows: 3)

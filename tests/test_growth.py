@@ -1,18 +1,20 @@
 """What jobs leave on disk, and how they are cut into parts, on tables small enough to count."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera import runtime
-from tessera.operators import resolution, temporal, vectors
+from tessera.operators import resolution, retrieval, temporal, vectors
 from tessera.plans import catalogue, source_queries
 from tessera.streaming import incremental
 from tests import compare
 from tests.conftest import SMALL
 
 
-@pytest.mark.parametrize("name", ["stream_vec_sync", "er_remap_edges"])
+@pytest.mark.parametrize("name", ["stream_vec_sync", "er_remap_edges", "ret_path_nodes"])
 def test_queries_in_slices_equal_their_sql(spark, monkeypatch, name):
     query = catalogue.QUERIES[name]
     monkeypatch.setitem(query.__globals__, "slices", lambda rows: 3)
@@ -114,3 +116,23 @@ def test_names_of_pairs_take_no_join(spark):
     nodes = spark.createDataFrame(rows, "graph_id string, type string, id long, ord long, name string, embedding array<double>")
     plan = resolution.hybrid_pairs(nodes)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("levenshtein") < plan.index("FlatMapGroupsInPandas") and "Join" not in plan[: plan.index("FlatMapGroupsInPandas")]
+
+
+def test_paths_in_parts_leave_whole_paths_only(spark):
+    rng = random.Random(5)
+    pairs = sorted({(f"n{rng.randrange(30)}", f"n{rng.randrange(40)}") for _ in range(90)})  # n30 on are dead ends
+    edges = spark.createDataFrame([(f"{a}>{b}", a, b) for a, b in pairs], "id string, source string, target string")
+    starts = spark.createDataFrame([(i % 6, f"n{i}", f"n{39 - i}") for i in range(12)] + [(9, "n1", "n1")], "query_id long, start string, stop string")
+    with runtime.discarding_results(spark):
+        one, three = (retrieval.paths(starts, edges, parts=n) for n in (1, 3))
+        rows = lambda df, *c: sorted((r["query_id"], r["start"], r["stop"], *(tuple(r[x]) for x in c), round(r["score"], 9)) for r in df.collect())
+        bare = retrieval.paths(starts, edges, parts=3, edge_ids=False)
+        assert rows(one, "nodes", "edges") == rows(three, "nodes", "edges") and rows(bare, "nodes") == rows(one, "nodes")
+        assert one.count() > 5 and "edges" not in bare.columns and len(runtime._results.get()) == 3
+    step = lambda n: [b for a, b in pairs if a == n]
+    want, now = [], [(r["query_id"], r["stop"], (r["start"],), 1.0) for r in starts.collect()]
+    for _ in range(6):
+        want += [w for w in now if w[2][-1] == w[1]]
+        now = [(q, stop, (*way, b), s) for q, stop, way, x in now if way[-1] != stop for b in step(way[-1]) if b not in way and (s := 0.7 * x / len(step(way[-1]))) >= 0.01]
+    with runtime.discarding_results(spark):
+        assert rows(retrieval.paths(starts, edges, parts=2), "nodes") == sorted((q, w[0], stop, w, round(s, 9)) for q, stop, w, s in want)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tessera import runtime
 from tessera.operators import resolution, retrieval, temporal, vectors
-from tessera.plans import catalogue, source_queries
+from tessera.plans import catalogue, source_queries, time_queries
+from tessera.plans.star_graph import star_graph
 from tessera.streaming import incremental
 from tests import compare
 from tests.conftest import SMALL
@@ -136,3 +137,31 @@ def test_paths_in_parts_leave_whole_paths_only(spark):
         now = [(q, stop, (*way, b), s) for q, stop, way, x in now if way[-1] != stop for b in step(way[-1]) if b not in way and (s := 0.7 * x / len(step(way[-1]))) >= 0.01]
     with runtime.discarding_results(spark):
         assert rows(retrieval.paths(starts, edges, parts=2), "nodes") == sorted((q, w[0], stop, w, round(s, 9)) for q, stop, w, s in want)
+
+
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_what_is_near_is_found_round_by_round(spark, most):
+    rng = random.Random(9)
+    pairs = [(f"n{rng.randrange(60)}", f"n{rng.randrange(80)}") for _ in range(110)]
+    edges = spark.createDataFrame(pairs, "source string, target string")
+    entries = spark.createDataFrame([(1, "n1"), (2, "n2"), (2, "n1"), (3, "n99")], "query_id long, id string")
+    want, front = {"n1", "n2", "n99"}, {"n1", "n2", "n99"}
+    for steps in range(5):
+        with runtime.Scratch(spark) as work:
+            assert {r["id"] for r in retrieval.reachable(entries, edges, steps, work, most).collect()} == want
+        front = {b for a, b in pairs if a in front} - want
+        want = want | front
+    assert 10 < len(want) < 60
+
+
+def test_contexts_keep_only_what_is_near(spark):
+    graph = star_graph(spark, SMALL)
+    with time_queries._asking_near(spark, SMALL, graph) as a:
+        every, near = graph.edges.count(), a.edges.count()
+        assert 0 < near < every / 4
+        # all edges out of a node, or none
+        degree = lambda df: df.groupBy("source").agg(F.count("*").alias("d"))
+        assert degree(a.edges).exceptAll(degree(graph.edges)).isEmpty()
+        assert a.entries.join(graph.edges, a.entries["id"] == graph.edges["source"]).count() == a.entries.join(a.edges, a.entries["id"] == a.edges["source"]).count() > 0
+        ends = a.edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+        assert ends.join(a.nodes, "id", "left_anti").count() <= ends.count() / 4  # ends of the last step only

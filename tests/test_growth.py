@@ -165,3 +165,12 @@ def test_contexts_keep_only_what_is_near(spark):
         assert a.entries.join(graph.edges, a.entries["id"] == graph.edges["source"]).count() == a.entries.join(a.edges, a.entries["id"] == a.edges["source"]).count() > 0
         ends = a.edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
         assert ends.join(a.nodes, "id", "left_anti").count() <= ends.count() / 4  # ends of the last step only
+
+
+def test_events_of_one_history_stay_where_they_are(spark):
+    rng = random.Random(3)
+    rows = [(1, f"e{i}", i % 50, " ".join(["word"] * rng.randrange(4))) for i in range(400)]
+    events = spark.createDataFrame(rows, "query_id long, id string, level int, text string")
+    own = retrieval.history(events, 60, few_queries=True)
+    assert own.collect() == retrieval.history(events, 60).collect()
+    assert "SortMergeJoin" not in own._jdf.queryExecution().sparkPlan().toString() and "ShuffledHashJoin" not in own._jdf.queryExecution().sparkPlan().toString()

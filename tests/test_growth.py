@@ -174,3 +174,19 @@ def test_events_of_one_history_stay_where_they_are(spark):
     own = retrieval.history(events, 60, few_queries=True)
     assert own.collect() == retrieval.history(events, 60).collect()
     assert "SortMergeJoin" not in own._jdf.queryExecution().sparkPlan().toString() and "ShuffledHashJoin" not in own._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_timed_edges_need_only_the_levels_of_their_own_times(spark):
+    graph = star_graph(spark, SMALL)
+    levels = runtime.materialize(time_queries._levels(spark, SMALL))
+    with time_queries._asking_near(spark, SMALL, graph) as a:
+        rows = a.work.keep(time_queries._timed(a.edges), "rows")
+        # the ends are those that the whole graph gives, for all edges that a path can hold
+        inner = retrieval.reachable(a.entries, graph.edges, 4, a.work).withColumnRenamed("id", "source")
+        cut = lambda df: df.join(inner, "source", "left_semi").select("id", "time_start_event", "time_end_event")
+        assert cut(rows).exceptAll(cut(time_queries._timed(graph.edges))).isEmpty() and cut(rows).count() == cut(graph.edges.withColumns({"time_start_event": F.lit(0), "time_end_event": F.lit(0)})).count() > 0
+        times = rows.select(F.explode(F.array("time_start_event", "time_end_event")).alias("id")).where("id is not null").distinct()
+        known = levels.join(times, "id", "left_semi")
+        assert 0 < known.count() < levels.count() / 2
+        few, every = (temporal.edges_as_of(rows, lv, 3, 1).select("id", "mark") for lv in (known, levels))
+        assert few.exceptAll(every).isEmpty() and few.count() == every.count() < rows.count()
